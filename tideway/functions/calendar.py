@@ -59,28 +59,6 @@ def unix_day(day: Column | str) -> Column:
     return F.datediff(as_col(day), F.lit("1970-01-01").cast("date"))
 
 
-def sun_times(lat: Column | str, lon: Column | str, day: Column | str) -> tuple[Column, Column]:
-    """Sunrise and sunset in seconds of the UTC day; both null in polar day or night."""
-    rad = math.pi / 180
-    noon = unix_day(day) - F.lit(J2000_UNIX_DAY) + F.lit(0.5) - as_col(lon) / F.lit(360.0)
-    anomaly = F.pmod(F.lit(MEAN_ANOMALY[0]) + F.lit(MEAN_ANOMALY[1]) * noon, F.lit(360.0)) * rad
-    c1, c2, c3 = EQUATION_OF_CENTRE
-    centre = c1 * F.sin(anomaly) + c2 * F.sin(2 * anomaly) + c3 * F.sin(3 * anomaly)
-    ecliptic = F.pmod(anomaly / rad + centre + 180 + PERIHELION, F.lit(360.0)) * rad
-    transit = noon + 0.0053 * F.sin(anomaly) - 0.0069 * F.sin(2 * ecliptic)
-    sin_decl = F.sin(ecliptic) * math.sin(OBLIQUITY * rad)
-    phi = as_col(lat) * rad
-    cos_hour = (F.lit(math.sin(HORIZON * rad)) - F.sin(phi) * sin_decl) / F.nullif(
-        F.cos(phi) * F.sqrt(1 - sin_decl * sin_decl), F.lit(0.0)
-    )
-    half_day = F.when(F.abs(cos_hour) <= 1, F.acos(cos_hour)) / TWO_PI
-    # days since J2000 noon -> seconds of a UTC day
-    def second_of_day(t: Column) -> Column:
-        return F.pmod((t + 0.5) * DAY, F.lit(float(DAY)))
-
-    return second_of_day(transit - half_day), second_of_day(transit + half_day)
-
-
 def sun_phase(second: Column | str, sunrise: Column | str, sunset: Column | str) -> Column:
     """Daylight runs over [0, pi), night over [pi, 2 pi).
 
@@ -113,7 +91,7 @@ def day_period(hour: Column | str, sunrise: Column | str, sunset: Column | str):
     return daytime, length, progress
 
 
-def _new_moon(k: Column) -> Column:
+def new_moon(k: Column) -> Column:
     """Unix day (fractional) of the k-th new moon after January 2000."""
     rad = math.pi / 180
     century = k / LUNATIONS_PER_CENTURY
@@ -139,18 +117,3 @@ def _new_moon(k: Column) -> Column:
             term = term * eccentricity
         out = out + term
     return out
-
-
-def moon_phase(day: Column | str) -> Column:
-    """Fraction of the way from the previous to the next new moon, times 2 pi.
-
-    Evaluated at 00:00 UTC. New moons carry their leading periodic terms, good to some
-    minutes. The expression is long, so use it through ``per_distinct`` on the dates.
-    """
-    t = unix_day(day).cast("double")
-    k = F.floor((t - NEW_MOON_UNIX_DAY) / SYNODIC_DAYS).cast("double")
-    # The true new moon strays up to 0.6 days from the mean one, so test three lunations.
-    before, here, after, beyond = (_new_moon(k + i) for i in (-1, 0, 1, 2))
-    start = F.when(t < here, before).when(t < after, here).otherwise(after)
-    end = F.when(t < here, here).when(t < after, after).otherwise(beyond)
-    return (t - start) / (end - start) * TWO_PI

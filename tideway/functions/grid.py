@@ -84,8 +84,8 @@ def cell_lat(cell: Column | str, res: int = 4) -> Column:
 
 
 def column_longitude(row: Column, col: Column, n: Column) -> Column:
-    lon = (col + F.lit(0.5) + row_shift(row)) / n * 360 - 180
-    return F.when(lon >= 180, lon - 360).otherwise(lon)
+    # one copy of each input: these expressions get nested when Catalyst moves filters
+    return F.pmod((col + F.lit(0.5) + row_shift(row)) / n * 360, F.lit(360.0)) - 180
 
 
 def cell_lon(cell: Column | str, res: int = 4) -> Column:

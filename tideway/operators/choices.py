@@ -8,23 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideway.operators.joins import neighbors
-from tideway.operators.ranking import choice_number, day_slice, sequence_with_next
+from tideway.operators.ranking import TARGET_ROWS, choice_number, sequence_with_next, time_position
 
 DECISION = ("_individual", "_decision")
 
 
 def sequence_decisions(
     df: DataFrame, individual: str, time: str, state: str, tie: Sequence[str] = (),
-    next_name: str | None = None, slice_by: Column | None = None,
+    next_name: str | None = None, target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Number an individual's fixes in time order and attach the state it moves to next.
 
-    The last fix keeps a null next state. Individuals are cut into days, so one that holds a
-    large part of all fixes is still worked on in parallel.
+    The last fix keeps a null next state. An individual with more than ``target_rows`` fixes
+    is cut along time, so one that holds a large part of all fixes is worked on in parallel.
     """
-    cut = slice_by if slice_by is not None else day_slice(df, time)
     return sequence_with_next(
-        df, [individual], [time, *tie], cut, state, "_decision", next_name or f"next_{state}"
+        df, [individual], [time, *tie], time_position(df, time), state, "_decision",
+        next_name or f"next_{state}", target_rows,
     )
 
 

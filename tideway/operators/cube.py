@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.functions.scalar import within_tolerance
+from tideway.functions.calendar import DAY, sun_phase
+from tideway.functions.scalar import epoch_date, epoch_second_of_day, within_tolerance
+from tideway.operators.seasons import circle_columns, date_phases, sun_times
 
 
 def hypercube(
@@ -55,25 +57,52 @@ def hypercube_slice(
     return df.filter(within_tolerance(fixed, tolerance)).groupBy(x, y).agg(F.avg(value).alias(value))
 
 
+def daily_spine(
+    df: DataFrame, start_epoch: int, end_epoch: int, spread: Sequence[str] = (), name: str = "__day"
+) -> DataFrame:
+    """One row per input row and day from start to end.
+
+    ``spread`` names the columns that, with the day, spread the result over the cluster: a
+    short input table would otherwise expand inside the one task that holds it.
+    """
+    days = F.sequence(F.lit(start_epoch).cast("long"), F.lit(end_epoch).cast("long"), F.lit(DAY).cast("long"))
+    out = df.withColumn(name, F.explode(days))
+    return out.repartition(*spread, name) if spread else out
+
+
+def day_steps(
+    df: DataFrame, start_epoch: int, end_epoch: int, step: int = 3600, name: str = "epoch",
+    closed: bool = True, day: str = "__day",
+) -> DataFrame:
+    """Expand days into steps; the end point is included when ``closed``."""
+    if DAY % step:
+        raise ValueError("step must divide a day")
+    inner = F.sequence(F.col(day), F.col(day) + F.lit(DAY - step).cast("long"), F.lit(step).cast("long"))
+    out = df.withColumn(name, F.explode(inner)).drop(day)
+    end = F.lit(end_epoch)
+    return out.filter(F.col(name) <= end if closed else F.col(name) < end)
+
+
 def hourly_spine(
     df: DataFrame, start_epoch: int, end_epoch: int, step: int = 3600, name: str = "epoch",
     closed: bool = True, spread: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per input row and step from start to end, the end included when ``closed``.
+    """One row per input row and step from start to end."""
+    days = daily_spine(df, start_epoch, end_epoch, spread)
+    return day_steps(days, start_epoch, end_epoch, step, name, closed)
+
+
+def state_space(
+    cells: DataFrame, start_epoch: int, end_epoch: int, lat: str = "lat", lon: str = "lon",
+    cell: str = "cell", step: int = 3600, closed: bool = True,
+) -> DataFrame:
+    """Cells by steps with sun, moon and orbit phases.
 
-    Days are generated first and spread over the cluster, then hours: a short input table
-    would otherwise expand inside the one task that holds it.
+    What depends on the day alone is computed before the day is cut into steps.
     """
-    day = 86400
-    days = F.sequence(
-        F.lit(start_epoch).cast("long"), F.lit(end_epoch).cast("long"), F.lit(day).cast("long")
-    )
-    out = df.withColumn("__d", F.explode(days))
-    if spread:
-        out = out.repartition(*spread, "__d")
-    inner = F.sequence(
-        F.col("__d"), F.col("__d") + F.lit(day - step).cast("long"), F.lit(step).cast("long")
-    )
-    out = out.withColumn(name, F.explode(inner)).drop("__d")
-    end = F.lit(end_epoch)
-    return out.filter(F.col(name) <= end if closed else F.col(name) < end)
+    days = daily_spine(cells, start_epoch, end_epoch, [cell])
+    days = days.withColumn("date", epoch_date("__day"))
+    days = date_phases(sun_times(days, lat, lon, "date", "__rise", "__set"), "date")
+    out = day_steps(days, start_epoch, end_epoch, step, closed=closed)
+    phase = sun_phase(epoch_second_of_day("epoch"), "__rise", "__set")
+    return circle_columns(out.withColumn("sun_radians", phase), "sun", "moon", "orbit").drop("__rise", "__set")

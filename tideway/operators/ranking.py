@@ -1,11 +1,15 @@
 """Ranks, running totals, neighbours in time, and dense ids without unbounded window groups.
 
-A window partitioned by an individual puts all rows of that individual into one task. Here
-each key is cut into ordered slices: the window runs inside (key, slice), and a small table
-of slice totals carries the state over slice borders. The window and the join with the slice
-table share one hash exchange on (key, slice).
+A window partitioned by an individual puts all rows of that individual into one task. Here a
+key that holds more than ``target_rows`` is cut into ordered slices: the window runs inside
+(key, slice), and a small table of slice totals carries the state over slice borders. The
+window and the join with the totals share one hash exchange on (key, slice). Keys below the
+target stay whole.
 
-Keys must not be null (they are ids); slices may be.
+Every operator takes a ``position``: a number that never decreases along its order. It decides
+the slice; the full order, ties included, decides the rank.
+
+Keys must not be null (they are ids); positions may be, and sort first.
 """
 
 from __future__ import annotations
@@ -15,27 +19,63 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideway.operators.joins import scalars
 from tideway.session import materialise
 
 SLICE = "__slice"
+TARGET_ROWS = 1_000_000
+#: Key sizes are looked up by hash bucket, so the lookup table has this many entries at most.
+BUCKETS = 4096
+#: Slices per target, to absorb uneven density along the position.
+OVERSPLIT = 8
 
 
-def day_slice(df: DataFrame, time: str, days: int = 1) -> Column:
-    """Slice number that never decreases with ``time`` (epoch seconds, date or timestamp)."""
+def time_position(df: DataFrame, time: str) -> Column:
+    """Position of a time column: epoch seconds as they are, dates and timestamps as seconds."""
     kind = dict(df.dtypes)[time]
     if kind in ("bigint", "int", "double"):
-        return F.floor(F.col(time) / F.lit(86400 * days))
-    return F.floor(F.datediff(F.to_date(time), F.lit("1970-01-01").cast("date")) / F.lit(days))
+        return F.col(time).cast("double")
+    days = F.datediff(F.to_date(time), F.lit("1970-01-01").cast("date"))
+    if kind == "date":
+        return days.cast("double")
+    return (days * 86400 + F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)).cast("double")
 
 
-def hash_slice(hashed: Column, bits: int = 10) -> Column:
+def hash_slice(hashed: Column, bits: int = 18) -> Column:
     """Slice number that never decreases with a signed 64-bit hash; 2**bits slices."""
     return F.shiftright(hashed, 64 - bits)
 
 
-def _sliced(df: DataFrame, slice_by: Column) -> DataFrame:
-    # Null order values sort first in Spark, so a null slice becomes the first one.
-    return df.withColumn(SLICE, F.coalesce(slice_by.cast("long"), F.lit(-(2**63)).cast("long")))
+def _sliced(df: DataFrame, keys: Sequence[str], position: Column, target_rows: int) -> DataFrame:
+    """Add the slice number.
+
+    The number of slices comes from the size of the largest key in the row's hash bucket. It
+    is read from one array of ``BUCKETS`` numbers, computed as a scalar subquery: no join, and
+    what is shipped to the tasks has a fixed size.
+    """
+    place = position.cast("double")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int") if keys else F.lit(0)
+    sizes = df.select(*keys, place.alias("__p")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__p").alias("__lo"), F.max("__p").alias("__hi")
+    )
+    buckets = sizes.groupBy(bucket.alias("__b")).agg(
+        F.max("__n").alias("__n"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi")
+    )
+    slices = (F.ceil(F.col("__n") / F.lit(target_rows)) * OVERSPLIT).cast("long")
+    cut = F.map_from_entries(
+        F.collect_list(F.when(F.col("__n") > target_rows, F.struct("__b", slices)))
+    )
+    plan = buckets.agg(F.min("__lo").alias("lo"), F.max("__hi").alias("hi"), cut.alias("cut")).select(
+        "lo", "hi",
+        F.transform(
+            F.sequence(F.lit(0), F.lit(BUCKETS - 1)),
+            lambda b: F.coalesce(F.try_element_at("cut", b), F.lit(1).cast("long")),
+        ).alias("slices"),
+    )
+    p = scalars(plan)
+    share = (place - p["lo"]) / F.nullif(p["hi"] - p["lo"], F.lit(0.0))
+    number = F.floor(share * F.get(p["slices"], bucket))
+    return df.withColumn(SLICE, F.coalesce(number, F.lit(-1).cast("long")))
 
 
 def _carried(totals: DataFrame, keys: Sequence[str], **expressions: Column) -> DataFrame:
@@ -47,13 +87,11 @@ def _by_key(keys: Sequence[str]):
 
 
 def rank_within(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence, slice_by: Column, name: str = "_rank"
+    df: DataFrame, keys: Sequence[str], order_by: Sequence, position: Column, name: str = "_rank",
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
-    """``row_number() over (partition by keys order by order_by)``.
-
-    ``slice_by`` must never decrease along ``order_by``.
-    """
-    rows = _sliced(df, slice_by)
+    """``row_number() over (partition by keys order by order_by)``."""
+    rows = _sliced(df, keys, position, target_rows)
     before = _by_key(keys).orderBy(SLICE)
     totals = rows.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("__n"))
     offsets = _carried(totals, keys, __before=F.sum("__n").over(before) - F.col("__n"))
@@ -67,10 +105,11 @@ def rank_within(
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence, slice_by: Column, value: str, name: str
+    df: DataFrame, keys: Sequence[str], order_by: Sequence, position: Column, value: str, name: str,
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """``sum(value) over (partition by keys order by order_by rows unbounded preceding)``."""
-    rows = _sliced(df, slice_by)
+    rows = _sliced(df, keys, position, target_rows)
     before = _by_key(keys).orderBy(SLICE)
     totals = rows.groupBy(*keys, SLICE).agg(F.sum(value).alias("__n"))
     offsets = _carried(totals, keys, __before=F.sum("__n").over(before) - F.col("__n"))
@@ -81,11 +120,11 @@ def running_total(
 
 
 def sequence_with_next(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], slice_by: Column, state: str,
-    rank_name: str, next_name: str,
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], position: Column, state: str,
+    rank_name: str, next_name: str, target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Row number and the next row's ``state`` in one pass over (key, slice)."""
-    rows = _sliced(df, slice_by)
+    rows = _sliced(df, keys, position, target_rows)
     over = _by_key(keys).orderBy(SLICE)
     totals = rows.groupBy(*keys, SLICE).agg(
         F.count(F.lit(1)).alias("__n"),
@@ -111,8 +150,8 @@ def sequence_with_next(
 
 
 def rolling_mean(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], slice_by: Column, value: str,
-    width: int = 10, name: str = "rolling", block: int = 4096,
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], position: Column, value: str,
+    width: int = 10, name: str = "rolling", block: int = 65536, target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Mean over the last ``width`` rows of each key.
 
@@ -121,7 +160,7 @@ def rolling_mean(
     """
     if width > block:
         raise ValueError("width must not exceed block")
-    ranked = rank_within(df, keys, order_by, slice_by, "__r")
+    ranked = rank_within(df, keys, order_by, position, "__r", target_rows)
     position = F.col("__r") - 1
     own = F.floor(position / block)
     spill = F.pmod(position, F.lit(block)) > block - width

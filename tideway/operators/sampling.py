@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tideway.functions.hashing import keyed_hash, keyed_pick, keyed_uniform, uniform_between
 from tideway.functions.normal import normal_cdf, normal_ppf
 from tideway.functions.scalar import edge_class, wrap_angle
-from tideway.operators.ranking import hash_slice, rank_within
+from tideway.operators.ranking import TARGET_ROWS, hash_slice, rank_within
 
 
 def take_smallest(
@@ -43,7 +43,7 @@ def sample_rows(
     """``n`` rows, chosen by a hash of their key (or by ``score``)."""
     if score is None:
         score = keyed_hash(seed, *key)
-        slice_by = hash_slice(score, 14)
+        slice_by = hash_slice(score)
     if slice_by is None:
         raise ValueError("a score of your own needs its slices")
     return take_smallest(df, score, n, key, slice_by)
@@ -58,7 +58,7 @@ def split_keys(
     n = keys.agg(F.floor(F.lit(fraction) * F.count(F.lit(1))).alias("n")).scalar()
     if score is None:
         score = keyed_hash(seed, key)
-        slice_by = hash_slice(score, 14)
+        slice_by = hash_slice(score)
     test = take_smallest(keys, score, n, [key], slice_by).withColumn("__test", F.lit(True))
     return keys.join(test, key, "left").select(key, F.col("__test").isNull().alias(name))
 
@@ -169,22 +169,21 @@ def contrasts(
     individual: str = "_individual", decision: str = "_decision", choice: str = "_choice",
     selected: str = "_selected", features: Sequence[str] = (), seed: int = 0,
     pick: Callable[..., Column] | None = None, order: Column | None = None,
-    slice_by: Column | None = None,
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Balanced (selected, unselected) pairs, drawn with replacement.
 
     Every individual gives the same number of decision draws and every draw the same number
     of alternatives, so long histories and wide decisions carry no extra weight. A draw is an
-    index into ranks: decisions are ranked per individual in hash slices (an individual may
-    hold any share of the data), alternatives per decision in a plain window.
+    index into ranks: decisions are ranked per individual by a number (an individual may hold
+    any share of the data), alternatives per decision in a plain window.
 
     ``pick(tag, *cols)`` gives a non-negative long that is reduced modulo the group size;
-    ``order`` and ``slice_by`` rank the decisions. All default to seeded hashes.
+    ``order`` is the number that ranks the decisions. Both default to seeded hashes.
     """
     pick = pick or (lambda tag, *cols: keyed_pick(seed, F.lit(tag), *cols))
     if order is None:
         order = keyed_hash(seed, individual, decision)
-        slice_by = hash_slice(order, 12)
     chosen = F.col(selected)
     usable = (
         df.filter(chosen.isNotNull())
@@ -196,8 +195,8 @@ def contrasts(
         .select(individual, decision, F.col("__alt").cast("long").alias("__alt"))
     )
     ranked = rank_within(
-        usable.withColumns({"__order": order, "__by": slice_by}), [individual],
-        ["__order", decision], F.col("__by"), "__r",
+        usable.withColumn("__order", order), [individual], ["__order", decision], F.col("__order"),
+        "__r", target_rows,
     ).select(individual, decision, "__alt", F.col("__r").cast("long").alias("__r"))
     sizes = usable.groupBy(individual).agg(F.count(F.lit(1)).alias("__size"))
     draws = sizes.withColumn(

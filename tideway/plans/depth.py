@@ -12,9 +12,9 @@ from tideway.functions.scalar import epoch_date, epoch_second_of_day
 from tideway.operators.aggregates import bucket_first
 from tideway.operators.choices import drop_trivial, expand_by_context, mark_selected, require_selected
 from tideway.operators.environment import DEPTH_CLASSES
-from tideway.operators.joins import per_distinct
 from tideway.operators.norms import Norm, apply_norm, fit_norm
 from tideway.operators.sampling import depth_class
+from tideway.operators.seasons import circle_columns, date_phases, sun_times
 from tideway.session import materialise
 
 
@@ -41,20 +41,10 @@ def depth_decisions(
 def add_phases(decisions: DataFrame, res: int = 4) -> DataFrame:
     """Sun, moon and orbit as sines and cosines. The moon is computed per distinct date."""
     out = decisions.withColumns({"lat": grid.cell_lat("cell", res), "lon": grid.cell_lon("cell", res)})
-    rise, fall = calendar.sun_times("lat", "lon", "date")
-    out = out.withColumns({"__rise": rise, "__set": fall, "__t": epoch_second_of_day("epoch")})
-    out = out.withColumn("sun_radians", calendar.sun_phase("__t", "__rise", "__set"))
-    out = per_distinct(
-        out, ["date"],
-        lambda d: d.withColumns(
-            {"moon_radians": calendar.moon_phase("date"), "orbit_radians": calendar.orbit_phase("date")}
-        ),
-    )
-    made = {}
-    for name in ("sun", "moon", "orbit"):
-        made[f"cos_{name}"] = F.cos(f"{name}_radians")
-        made[f"sin_{name}"] = F.sin(f"{name}_radians")
-    return out.withColumns(made).drop("__rise", "__set", "__t", "lat", "lon")
+    out = sun_times(out, "lat", "lon", "date", "__rise", "__set")
+    phase = calendar.sun_phase(epoch_second_of_day("epoch"), "__rise", "__set")
+    out = date_phases(out.withColumn("sun_radians", phase), "date")
+    return circle_columns(out, "sun", "moon", "orbit").drop("__rise", "__set", "lat", "lon")
 
 
 def depth_choices(

@@ -9,13 +9,15 @@ from functools import wraps
 from pyspark.sql import DataFrame
 
 from tideway.operators import (
-    aggregates, choices, columns, environment, evaluation, joins, norms, ranking, sampling, scoring,
+    aggregates, choices, columns, environment, evaluation, joins, norms, ranking,
+    sampling, scoring, seasons,
 )
 
 _REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
 for _module in (
-    aggregates, choices, columns, environment, evaluation, joins, norms, ranking, sampling, scoring
+    aggregates, choices, columns, environment, evaluation, joins, norms, ranking, sampling,
+    scoring, seasons,
 ):
     for _name, _fn in vars(_module).items():
         if not _name.startswith("_") and inspect.isfunction(_fn) and _fn.__module__ == _module.__name__:
