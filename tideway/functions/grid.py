@@ -97,31 +97,44 @@ def centroid_bin(degrees: Column | str, width: float = 10) -> Column:
     return floor_bin(degrees, width)
 
 
-def sphere_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance on the mean sphere."""
-    return F.lit(2 * EARTH_KM) * F.asin(_half_chord(lat1 * RAD, lat2 * RAD, (lon2 - lon1) * RAD))
-
-
-def ellipsoid_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Distance on WGS 84 by Lambert's formula: metres off over thousands of kilometres."""
-    f = FLATTENING
-    b1 = F.atan(F.tan(lat1 * RAD) * (1 - f))
-    b2 = F.atan(F.tan(lat2 * RAD) * (1 - f))
-    half = F.asin(_half_chord(b1, b2, (lon2 - lon1) * RAD))
-    arc = 2 * half
-    p, q = (b1 + b2) / 2, (b2 - b1) / 2
-    cos2, sin2 = F.pow(F.cos(half), 2), F.pow(F.sin(half), 2)
-    x = (arc - F.sin(arc)) * F.pow(F.sin(p) * F.cos(q), 2) / F.nullif(cos2, F.lit(0.0))
-    y = (arc + F.sin(arc)) * F.pow(F.cos(p) * F.sin(q), 2) / F.nullif(sin2, F.lit(0.0))
-    return F.when(half == 0, F.lit(0.0)).otherwise(EQUATOR_KM * (arc - f / 2 * (x + y)))
+def squared(x: Column) -> Column:
+    return x * x
+
+
+def sphere_arc_km(h: Column, _px: Column | None = None, _qy: Column | None = None) -> Column:
+    """Great-circle distance on the mean sphere from the haversine ``h`` = sin^2(arc / 2)."""
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+
+
+def ellipsoid_arc_km(h: Column, px: Column, qy: Column) -> Column:
+    """Lambert's correction for WGS 84, metres off over thousands of kilometres.
 
+    ``h`` is the haversine of the reduced latitudes; ``px`` and ``qy`` depend on the two
+    latitudes alone (see ``latitude_terms``).
+    """
+    h = F.least(h, F.lit(1.0))
+    arc = 2 * F.asin(F.sqrt(h))
+    sine = 2 * F.sqrt(h * (1 - h))
+    x = (arc - sine) * px / F.nullif(1 - h, F.lit(0.0))
+    y = (arc + sine) * qy / F.nullif(h, F.lit(0.0))
+    return F.when(h == 0, F.lit(0.0)).otherwise(EQUATOR_KM * (arc - FLATTENING / 2 * (x + y)))
 
-def _half_chord(a: Column, b: Column, dlon: Column) -> Column:
-    h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(dlon / 2), 2)
-    return F.sqrt(F.least(h, F.lit(1.0)))
+
+def reduced_latitude(lat: Column) -> Column:
+    """Latitude on the auxiliary sphere of the ellipsoid, in radians."""
+    return F.atan(F.tan(lat * RAD) * (1 - FLATTENING))
+
+
+def latitude_terms(b1: Column, b2: Column) -> tuple[Column, Column]:
+    p, q = (b1 + b2) / 2, (b2 - b1) / 2
+    return squared(F.sin(p) * F.cos(q)), squared(F.cos(p) * F.sin(q))
 
 
-DISTANCES = {"ellipsoid": ellipsoid_km, "sphere": sphere_km}
+#: method -> (latitude in radians, distance from haversine and latitude terms)
+DISTANCES = {
+    "ellipsoid": (reduced_latitude, ellipsoid_arc_km),
+    "sphere": (lambda lat: lat * RAD, sphere_arc_km),
+}
 
 
 def heading(north: Column | str, east: Column | str) -> Column:

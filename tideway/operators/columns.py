@@ -31,6 +31,18 @@ def add_columns(
     return df.withColumns(dict(zip(fields, made)))
 
 
+def computed(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once and never folded into what uses them.
+
+    When a filter or projection reads a column several times, Catalyst may push copies of its
+    expression into each place; for long arithmetic that multiplies the work at every step.
+    Output of a generator cannot be folded, and a one-row ``inline`` stays inside
+    whole-stage code generation.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def require(df: DataFrame, *cols: str) -> DataFrame:
     """Keep rows where every named column is present, and a number where it is floating."""
     kinds = dict(df.dtypes)

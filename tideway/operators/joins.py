@@ -3,12 +3,14 @@ measured sizes, and AQE splits hot keys. Only literal tables are broadcast by hi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideway.functions import grid
+from tideway.operators.columns import computed
 
 
 def join_on(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -130,8 +132,16 @@ def distance_km(
     df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, name: str = "distance",
     method: str = "ellipsoid",
 ) -> DataFrame:
-    km = grid.DISTANCES[method](F.col(lat1), F.col(lon1), F.col(lat2), F.col(lon2))
-    return df.withColumn(name, km)
+    """Distance of two points per row; ``method`` is "ellipsoid" (WGS 84) or "sphere"."""
+    radians, arc = grid.DISTANCES[method]
+    d = computed(df, {"__b1": radians(F.col(lat1)), "__b2": radians(F.col(lat2))})
+    b1, b2 = F.col("__b1"), F.col("__b2")
+    px, qy = grid.latitude_terms(b1, b2)
+    dlon = (F.col(lon2) - F.col(lon1)) * (grid.RAD / 2)
+    h = grid.squared(F.sin((b2 - b1) / 2)) + F.cos(b1) * F.cos(b2) * grid.squared(F.sin(dlon))
+    d = computed(d, {"__h": h, "__px": px, "__qy": qy})
+    out = d.withColumn(name, arc(F.col("__h"), F.col("__px"), F.col("__qy")))
+    return out.drop("__b1", "__b2", "__h", "__px", "__qy")
 
 
 def neighbors(
@@ -143,50 +153,59 @@ def neighbors(
     A range join turned into generation: for each row of the grid that can be reached, the
     reachable column span follows from the haversine identity, so almost only true neighbours
     are produced and nothing is joined or shuffled. The fan-out is bounded by the area of the
-    disc. Columns wrap at 180 degrees.
+    disc. Latitude terms are computed once per row of the grid; a candidate costs one sine and
+    one arcsine. Columns wrap at 180 degrees.
     """
-    import math
-
+    radians, arc = grid.DISTANCES[method]
     reach = max_km * 1.006 + 1e-6  # the ellipsoid may shorten a spherical distance this much
-    height = grid.row_height_deg(res)
-    rows = math.ceil(reach / (height * grid.RAD * grid.EARTH_KM))
-    chord2 = math.sin(min(reach / (2 * grid.EARTH_KM), math.pi / 2)) ** 2
+    rows = math.ceil(reach / (grid.row_height_deg(res) * grid.RAD * grid.EARTH_KM))
+    limit = math.sin(min(reach / (2 * grid.EARTH_KM), math.pi / 2)) ** 2
+    c = F.col
+
+    d = df.withColumn("__r0", grid.cell_row(cell))
+    d = computed(d, {"__f0": grid.row_latitude(c("__r0"), res), "__l0": grid.cell_lon(cell, res)})
+    d = computed(d, {"__c0": F.cos(c("__f0") * grid.RAD), "__b0": radians(c("__f0"))})
 
-    d = df.withColumns({"__row0": grid.cell_row(cell)})
-    d = d.withColumns({"__lat0": grid.row_latitude(F.col("__row0"), res), "__lon0": grid.cell_lon(cell, res)})
+    # rows of the grid
     d = d.withColumn("__dr", F.explode(F.sequence(F.lit(-rows), F.lit(rows))))
-    d = d.withColumn("__row", F.col("__row0") + F.col("__dr"))
-    d = d.filter((F.col("__row") >= 0) & (F.col("__row") < grid.row_count(res)))
-    d = d.withColumn("__lat", grid.row_latitude(F.col("__row"), res))
-    d = d.withColumn("__n", grid.row_cells(F.col("__lat"), res))
-
-    # sin^2(dlon/2) <= (sin^2(reach/2R) - sin^2(dlat/2)) / (cos lat0 cos lat)
-    room = F.lit(chord2) - F.pow(F.sin((F.col("__lat") - F.col("__lat0")) * grid.RAD / 2), 2)
-    share = room / F.greatest(
-        F.cos(F.col("__lat") * grid.RAD) * F.cos(F.col("__lat0") * grid.RAD), F.lit(1e-12)
-    )
-    d = d.withColumn("__share", share).filter(F.col("__share") >= 0)
-    half_span = F.asin(F.sqrt(F.least(F.col("__share"), F.lit(1.0)))) / math.pi * F.col("__n")
-    at = (F.col("__lon0") + 180) / 360 * F.col("__n") - 0.5 - grid.row_shift(F.col("__row"))
-    d = d.withColumns({"__half": half_span, "__at": at})
-    whole_row = F.col("__half") * 2 + 1 >= F.col("__n")
-    lo = F.when(whole_row, F.lit(0)).otherwise(F.ceil(F.col("__at") - F.col("__half") - 1e-9))
-    hi = F.when(whole_row, F.col("__n").cast("long") - 1).otherwise(
-        F.floor(F.col("__at") + F.col("__half") + 1e-9)
+    d = computed(d, {"__r": c("__r0") + c("__dr")})
+    d = d.filter((c("__r") >= 0) & (c("__r") < grid.row_count(res)))
+    d = computed(d, {"__f": grid.row_latitude(c("__r"), res)})
+    d = computed(
+        d,
+        {
+            "__cos": F.cos(c("__f") * grid.RAD), "__b": radians(c("__f")),
+            "__up": grid.squared(F.sin((c("__f") - c("__f0")) * (grid.RAD / 2))),
+        },
     )
-    d = d.withColumns({"__lo": lo, "__hi": hi}).filter(F.col("__lo") <= F.col("__hi"))
-    d = d.withColumn("__col", F.explode(F.sequence(F.col("__lo"), F.col("__hi"))))
-    d = d.withColumn("__col", F.pmod(F.col("__col"), F.col("__n").cast("long")))
-    d = d.withColumn("__lon", grid.column_longitude(F.col("__row"), F.col("__col"), F.col("__n")))
-    d = d.withColumns(
+    # sin^2(dlon / 2) <= (sin^2(reach / 2R) - sin^2(dlat / 2)) / (cos lat0 cos lat)
+    room = (F.lit(limit) - c("__up")) / F.greatest(c("__cos") * c("__c0"), F.lit(1e-12))
+    d = computed(d, {"__room": room, "__n": grid.row_cells(c("__f"), res)}).filter(c("__room") >= 0)
+    px, qy = grid.latitude_terms(c("__b0"), c("__b"))
+    d = computed(
+        d,
         {
-            neighbor: grid.pack(res, F.col("__row"), F.col("__col")),
-            distance: grid.DISTANCES[method](
-                F.col("__lat0"), F.col("__lon0"), F.col("__lat"), F.col("__lon")
+            "__half": F.asin(F.sqrt(F.least(c("__room"), F.lit(1.0)))) / math.pi * c("__n"),
+            # place of the origin in this row; exact in its own, so that its distance is 0
+            "__at": F.when(c("__dr") == 0, grid.cell_col(cell).cast("double")).otherwise(
+                (c("__l0") + 180) / 360 * c("__n") - 0.5 - grid.row_shift(c("__r"))
             ),
-        }
+            "__a": grid.squared(F.sin((c("__b") - c("__b0")) / 2)),
+            "__k": F.cos(c("__b0")) * F.cos(c("__b")), "__px": px, "__qy": qy,
+        },
     )
-    return d.filter(F.col(distance) <= max_km).drop(*[c for c in d.columns if c.startswith("__")])
+    # columns in the row
+    whole = c("__half") * 2 + 1 >= c("__n")
+    lo = F.when(whole, F.lit(0)).otherwise(F.ceil(c("__at") - c("__half") - 1e-9))
+    hi = F.when(whole, c("__n").cast("long") - 1).otherwise(F.floor(c("__at") + c("__half") + 1e-9))
+    d = computed(d, {"__lo": lo, "__hi": hi}).filter(c("__lo") <= c("__hi"))
+    d = d.withColumn("__j", F.explode(F.sequence(c("__lo"), c("__hi"))))
+    # the centre's longitude, unwrapped: only its distance from the origin matters
+    dlon = (c("__j") - c("__at")) / c("__n") * math.pi
+    d = computed(d, {"__h": c("__a") + c("__k") * grid.squared(F.sin(dlon))})
+    d = computed(d, {distance: arc(c("__h"), c("__px"), c("__qy"))}).filter(c(distance) <= max_km)
+    column = F.pmod(c("__j"), c("__n").cast("long"))
+    return d.select(*df.columns, grid.pack(res, c("__r"), column).alias(neighbor), distance)
 
 
 def neighbors_from_edges(

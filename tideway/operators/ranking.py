@@ -25,7 +25,7 @@ from tideway.session import materialise
 SLICE = "__slice"
 TARGET_ROWS = 1_000_000
 #: Key sizes are looked up by hash bucket, so the lookup table has this many entries at most.
-BUCKETS = 4096
+BUCKETS = 1024
 #: Slices per target, to absorb uneven density along the position.
 OVERSPLIT = 8
 
