@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tideway.functions.scalar import as_col, floor_bin
+from tideway.functions.scalar import as_col, at_least, at_most, floor_bin
 
 EARTH_KM = 6371.0088
 # WGS 84 ellipsoid.
@@ -41,7 +41,7 @@ def row_count(res: int) -> int:
 
 
 def row_latitude(row: Column, res: int) -> Column:
-    return F.least(F.lit(-90.0) + (row + F.lit(0.5)) * row_height_deg(res), F.lit(90.0))
+    return at_most(F.lit(-90.0) + (row + F.lit(0.5)) * row_height_deg(res), 90.0)
 
 
 def row_cells(lat: Column, res: int) -> Column:
@@ -73,7 +73,7 @@ def cell_col(cell: Column | str) -> Column:
 def cell_of(lat: Column | str, lon: Column | str, res: int = 4) -> Column:
     """Cell id of a point."""
     row = F.floor((as_col(lat) + 90) / row_height_deg(res))
-    row = F.greatest(F.lit(0), F.least(row, F.lit(row_count(res) - 1)))
+    row = at_least(at_most(row, row_count(res) - 1), 0)
     n = row_cells(row_latitude(row, res), res)
     col = F.pmod(F.floor((as_col(lon) + 180) / 360 * n - row_shift(row)), n.cast("long"))
     return pack(res, row, col)
@@ -103,7 +103,7 @@ def squared(x: Column) -> Column:
 
 def sphere_arc_km(h: Column, _px: Column | None = None, _qy: Column | None = None) -> Column:
     """Great-circle distance on the mean sphere from the haversine ``h`` = sin^2(arc / 2)."""
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(at_most(h, 1.0)))
 
 
 def ellipsoid_arc_km(h: Column, px: Column, qy: Column) -> Column:
@@ -112,7 +112,7 @@ def ellipsoid_arc_km(h: Column, px: Column, qy: Column) -> Column:
     ``h`` is the haversine of the reduced latitudes; ``px`` and ``qy`` depend on the two
     latitudes alone (see ``latitude_terms``).
     """
-    h = F.least(h, F.lit(1.0))
+    h = at_most(h, 1.0)
     arc = 2 * F.asin(F.sqrt(h))
     sine = 2 * F.sqrt(h * (1 - h))
     x = (arc - sine) * px / F.nullif(1 - h, F.lit(0.0))

@@ -13,6 +13,18 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def at_least(x: Column | str, bound: float) -> Column:
+    """max(x, bound) that keeps nulls; ``greatest`` would skip them."""
+    v = as_col(x)
+    return F.when(v < F.lit(bound), F.lit(bound)).otherwise(v)
+
+
+def at_most(x: Column | str, bound: float) -> Column:
+    """min(x, bound) that keeps nulls."""
+    v = as_col(x)
+    return F.when(v > F.lit(bound), F.lit(bound)).otherwise(v)
+
+
 def floor_to(epoch: Column | str, seconds: int) -> Column:
     """Floor an epoch to a multiple of ``seconds``; also right before 1970."""
     e = as_col(epoch)
@@ -83,7 +95,7 @@ def code_table(x: Column | str, codes: Mapping, default) -> Column:
 
 def negative_part(x: Column | str, scale: float = 1.0) -> Column:
     """max(0, -x) / scale: an elevation turned into a water depth."""
-    return F.greatest(F.lit(0.0), -as_col(x)) / F.lit(float(scale))
+    return at_least(-as_col(x), 0.0) / F.lit(float(scale))
 
 
 def right_closed_bin(x: Column | str, edges: Sequence[float]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideway.functions.scalar import floor_to, half_even, right_closed_bin
 from tideway.operators.joins import scalars
-from tideway.operators.ranking import TARGET_ROWS, running_total
+from tideway.operators.ranking import running_total
 
 
 def bucket_mean(
@@ -127,7 +127,7 @@ def rounded_counts(df: DataFrame, bins: Mapping[str, Column]) -> DataFrame:
 
 def quantile(
     df: DataFrame, col: str, p: float, by: Sequence[str] = (), name: str = "quantile",
-    accuracy: int = 10000, target_rows: int = TARGET_ROWS,
+    accuracy: int = 10000, slices: int = 4096,
 ) -> DataFrame:
     """Exact quantile with linear interpolation, for groups of any size.
 
@@ -163,7 +163,10 @@ def quantile(
         .groupBy(*keys, "__n", "__lo", "__hi", inside.alias("__x"))
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    ranked = running_total(counts, keys, ["__x"], F.col("__x"), "__c", "__end", target_rows)
+    # the bracket is narrow, so equal steps over it share its values out well
+    step = (F.col("__x") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
+    place = F.when(large, F.floor(step * slices)).otherwise(F.lit(0))
+    ranked = running_total(counts, keys, ["__x"], None, "__c", "__end", slice_by=F.when(F.col("__x").isNotNull(), place))
     at = F.lit(float(p)) * (F.col("__n") - 1)
     low, high = F.floor(at), F.ceil(at)
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideway.functions.scalar import at_least
 from tideway.operators.joins import scalars
 
 
@@ -124,7 +125,7 @@ class WaterDepth(MinMax):
     """Elevation to water depth max(0, -x), then min-max. Land cannot be inverted."""
 
     def shape(self, x):
-        return F.greatest(F.lit(0.0), -x)
+        return at_least(-x, 0.0)
 
     def unshape(self, y):
         return -y
@@ -135,7 +136,7 @@ class LogWaterDepth(Norm):
     """ln of the water depth, at least e, over its largest value."""
 
     def shape(self, x):
-        return F.log(F.greatest(-x, F.lit(math.e)))
+        return F.log(at_least(-x, math.e))
 
     def unshape(self, y):
         return -F.exp(y)

@@ -105,11 +105,17 @@ def rank_within(
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence, position: Column, value: str, name: str,
-    target_rows: int = TARGET_ROWS,
+    df: DataFrame, keys: Sequence[str], order_by: Sequence, position: Column | None, value: str,
+    name: str, target_rows: int = TARGET_ROWS, slice_by: Column | None = None,
 ) -> DataFrame:
-    """``sum(value) over (partition by keys order by order_by rows unbounded preceding)``."""
-    rows = _sliced(df, keys, position, target_rows)
+    """``sum(value) over (partition by keys order by order_by rows unbounded preceding)``.
+
+    ``slice_by`` gives the slice number itself and saves the pass that sizes the keys.
+    """
+    if slice_by is not None:
+        rows = df.withColumn(SLICE, F.coalesce(slice_by.cast("long"), F.lit(-1).cast("long")))
+    else:
+        rows = _sliced(df, keys, position, target_rows)
     before = _by_key(keys).orderBy(SLICE)
     totals = rows.groupBy(*keys, SLICE).agg(F.sum(value).alias("__n"))
     offsets = _carried(totals, keys, __before=F.sum("__n").over(before) - F.col("__n"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tideway.functions.hashing import keyed_hash, keyed_pick, keyed_uniform, uniform_between
 from tideway.functions.normal import normal_cdf, normal_ppf
-from tideway.functions.scalar import edge_class, wrap_angle
+from tideway.functions.scalar import at_least, at_most, edge_class, wrap_angle
+from tideway.operators.columns import computed
 from tideway.operators.ranking import TARGET_ROWS, hash_slice, rank_within
 
 
@@ -96,16 +97,16 @@ def depth_class(
     last = float(classes[-1])
     out = df.withColumns({"__sd": F.col(depth) * relative_sd, "__u": u})
     z = (F.lit(last) - F.col(depth)) / F.nullif(F.col("__sd"), F.lit(0.0))
-    out = out.withColumn("__z", z).withColumn("__top", normal_cdf(F.col("__z")))
+    out = computed(computed(out, {"__z": z}), {"__top": normal_cdf(F.col("__z"))})
     # keep the argument inside (0, 1): u may be 0
-    p = F.least(F.greatest(F.col("__u") * F.col("__top"), F.lit(1e-300)), F.lit(1 - 2.0**-53))
-    out = out.withColumn("__p", p)
+    p = at_most(at_least(F.col("__u") * F.col("__top"), 1e-300), 1 - 2.0**-53)
+    out = computed(out, {"__p": p})
     drawn = F.col(depth) + F.col("__sd") * normal_ppf(F.col("__p"))
-    out = out.withColumn("__d", F.least(drawn, F.lit(last)))
+    out = computed(out, {"__x": drawn}).withColumn("__d", at_most("__x", last))
     klass = F.when(F.col("__sd") == 0, F.lit(float(classes[0]))).otherwise(
         edge_class(F.col("__d"), classes)
     )
-    return out.withColumn(name, klass).drop("__sd", "__u", "__z", "__top", "__p", "__d")
+    return out.withColumn(name, klass).drop("__sd", "__u", "__z", "__top", "__p", "__x", "__d")
 
 
 def class_probabilities(df: DataFrame, depth: str, classes: Sequence[float], name: str = "p") -> DataFrame:
@@ -131,7 +132,7 @@ def class_probabilities(df: DataFrame, depth: str, classes: Sequence[float], nam
 JITTERS: Mapping[str, Callable[[Column, Column], Column]] = {
     "multiply": lambda x, d: x * (1.0 + d),
     "add": lambda x, d: x + d,
-    "add_floor_zero": lambda x, d: F.greatest(x + d, F.lit(0.0)),
+    "add_floor_zero": lambda x, d: at_least(x + d, 0.0),
     "angle": lambda x, d: wrap_angle(x + d),
 }
 

@@ -49,9 +49,9 @@ def sql(spark: SparkSession, text: str, views: dict[str, DataFrame] | None = Non
     return spark.sql(text)
 
 
-def _finished(spark: SparkSession, path: str) -> bool:
+def _finished(spark: SparkSession, marker: str) -> bool:
     try:
-        return spark.read.format("binaryFile").load(f"{path}/_SUCCESS").count() == 1
+        return spark.read.schema("done boolean").parquet(marker).count() == 1
     except AnalysisException:
         return False
 
@@ -59,13 +59,15 @@ def _finished(spark: SparkSession, path: str) -> bool:
 def cached_query(spark: SparkSession, text: str, cache_root: str) -> DataFrame:
     """Result of a query, stored under the SHA-256 of its text and read back when present.
 
-    Only a finished write counts. The text is the whole key: changed inputs need a fresh root.
+    A marker written after the result tells a finished write from a broken one. The text is
+    the whole key: changed inputs need a fresh root.
     """
     name = hashlib.sha256(text.encode("utf-8")).hexdigest()
     path = f"{cache_root.rstrip('/')}/{name}"
-    if not _finished(spark, path):
-        spark.sql(text).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if not _finished(spark, f"{path}/done"):
+        spark.sql(text).write.mode("overwrite").parquet(f"{path}/result")
+        spark.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(f"{path}/done")
+    return spark.read.parquet(f"{path}/result")
 
 
 def _even_files(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
