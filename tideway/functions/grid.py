@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tideway.functions.scalar import as_col, at_least, at_most, floor_bin
+from tideway.functions.scalar import as_col, at_most, floor_bin
 
 EARTH_KM = 6371.0088
 # WGS 84 ellipsoid.
@@ -40,8 +40,14 @@ def row_count(res: int) -> int:
     return math.ceil(180 / row_height_deg(res))
 
 
+# The expressions below read each input once where they can: they get nested in one another,
+# and every second copy would double the work. ``least`` and ``greatest`` skip nulls, so the
+# public functions test for them at the end.
+
+
 def row_latitude(row: Column, res: int) -> Column:
-    return at_most(F.lit(-90.0) + (row + F.lit(0.5)) * row_height_deg(res), 90.0)
+    """Latitude of a row's centre, for a row that is not null."""
+    return F.least(F.lit(-90.0) + (row + F.lit(0.5)) * row_height_deg(res), F.lit(90.0))
 
 
 def row_cells(lat: Column, res: int) -> Column:
@@ -73,18 +79,17 @@ def cell_col(cell: Column | str) -> Column:
 def cell_of(lat: Column | str, lon: Column | str, res: int = 4) -> Column:
     """Cell id of a point."""
     row = F.floor((as_col(lat) + 90) / row_height_deg(res))
-    row = at_least(at_most(row, row_count(res) - 1), 0)
+    row = F.greatest(F.lit(0), F.least(row, F.lit(row_count(res) - 1)))
     n = row_cells(row_latitude(row, res), res)
     col = F.pmod(F.floor((as_col(lon) + 180) / 360 * n - row_shift(row)), n.cast("long"))
-    return pack(res, row, col)
+    return F.when(as_col(lat).isNotNull(), pack(res, row, col))
 
 
 def cell_lat(cell: Column | str, res: int = 4) -> Column:
-    return row_latitude(cell_row(cell), res)
+    return F.when(as_col(cell).isNotNull(), row_latitude(cell_row(cell), res))
 
 
 def column_longitude(row: Column, col: Column, n: Column) -> Column:
-    # one copy of each input: these expressions get nested when Catalyst moves filters
     return F.pmod((col + F.lit(0.5) + row_shift(row)) / n * 360, F.lit(360.0)) - 180
 
 

@@ -94,12 +94,13 @@ def per_distinct(
 
 
 def scalars(params: DataFrame) -> dict[str, Column]:
-    """Columns of a one-row table as scalar subqueries.
+    """Columns of a one-row table as fields of one scalar subquery.
 
-    Spark merges the subqueries of one statement and runs them once, so attaching parameters
-    costs neither a cross join nor a collect.
+    The subquery is the same wherever a field is read, so Spark runs it once; attaching
+    parameters costs neither a cross join nor a collect.
     """
-    return {c: params.select(c).scalar() for c in params.columns}
+    row = params.select(F.struct(*params.columns).alias("row")).scalar()
+    return {c: row[c] for c in params.columns}
 
 
 def attach_row(df: DataFrame, params: DataFrame) -> DataFrame:

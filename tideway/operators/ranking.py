@@ -3,8 +3,9 @@
 A window partitioned by an individual puts all rows of that individual into one task. Here a
 key that holds more than ``target_rows`` is cut into ordered slices: the window runs inside
 (key, slice), and a small table of slice totals carries the state over slice borders. The
-window and the join with the totals share one hash exchange on (key, slice). Keys below the
-target stay whole.
+window and the join with the totals share one hash exchange on (key, slice); the merge hint
+keeps it that way, as the rows are already placed and sorted for it. Keys below the target
+stay whole.
 
 Every operator takes a ``position``: a number that never decreases along its order. It decides
 the slice; the full order, ties included, decides the rank.
@@ -98,7 +99,7 @@ def rank_within(
     local = rows.withColumn(
         name, F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order_by))
     )
-    out = local.join(offsets, [*keys, SLICE])
+    out = local.join(offsets.hint("merge"), [*keys, SLICE])
     return out.withColumn(name, F.col(name) + F.col("__before")).select(
         *[c for c in df.columns if c != name], name
     )
@@ -121,7 +122,7 @@ def running_total(
     offsets = _carried(totals, keys, __before=F.sum("__n").over(before) - F.col("__n"))
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order_by)
     local = rows.withColumn(name, F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    out = local.join(offsets, [*keys, SLICE])
+    out = local.join(offsets.hint("merge"), [*keys, SLICE])
     return out.withColumn(name, F.col(name) + F.col("__before")).drop(SLICE, "__before")
 
 
@@ -146,7 +147,7 @@ def sequence_with_next(
     local = rows.withColumns(
         {"__local": F.row_number().over(inside), "__lead": F.lead(state).over(inside)}
     )
-    out = local.join(carried, [*keys, SLICE])
+    out = local.join(carried.hint("merge"), [*keys, SLICE])
     return out.select(
         *[c for c in df.columns if c not in (rank_name, next_name)],
         (F.col("__local") + F.col("__before")).alias(rank_name),
