@@ -171,14 +171,14 @@ def d21_long(t):
 
 
 @query("d22_pad_decisions", with_sql(*SCORED) + f"""
-, kept as (select * from scored where _choice <= 1 + _decision % 5),
+, kept as (select * from scored where log_odds > -0.93e0),
 slots as (select i, d._individual, d._decision from (select distinct _individual, _decision from kept) d, (select unnest(range(1, 7)) as i)),
 numbered as (select *, row_number() over (partition by _individual, _decision order by _choice) as i from kept)
 select s._decision, cast(s.i as bigint) as slot, coalesce(n._choice, -1) as choice, coalesce(n._selected, false) as selected,
   {q6('coalesce(n.log_odds, -1000)')} as x
 from slots s left join numbered n on n._individual = s._individual and n._decision = s._decision and n.i = s.i""")
 def d22(t):
-    kept = scored_orders(t).filter("_choice <= 1 + _decision % 5")
+    kept = scored_orders(t).filter(F.col("log_odds") > -0.93)
     out = choices.pad_decisions(kept, 6, ["log_odds"], {"log_odds": -1000})
     out = out.select("_decision", F.posexplode("choices").alias("slot", "c"))
     return out.select(

@@ -132,15 +132,15 @@ START, END = "2024-01-01", "2024-01-30"
 
 
 def cell_facts(t: Tables) -> DataFrame:
-    """Environment per visited cell and date; one cell in eleven is missing."""
+    """Environment per visited cell and date; where the layer is deepest it is missing."""
     days = F.sequence(F.lit(START).cast("date"), F.lit(END).cast("date"))
-    rows = visited(t).filter(F.col("cell") % 11 != 0).withColumn("date", F.explode(days))
+    rows = visited(t).withColumn("date", F.explode(days))
     day = F.dayofmonth("date")
     return rows.select(
         "cell", "date",
         (10 + F.col("cell") % 97 / 2.0 + day).alias("mixed_layer_thickness"),
         (30 + (F.col("cell") % 1000 * 7 + day) % 100 / 50.0).alias("salinity"),
-    )
+    ).filter("mixed_layer_thickness < 70")
 
 
 CELL_FACTS = f"""fact_days as (
@@ -148,7 +148,7 @@ CELL_FACTS = f"""fact_days as (
 cell_facts as (
   select cell, date, 10 + cell % 97 / 2.0e0 + day(date) as mixed_layer_thickness,
     30 + (cell % 1000 * 7 + day(date)) % 100 / 50.0e0 as salinity
-  from visited, fact_days where cell % 11 <> 0)"""
+  from visited, fact_days where 10 + cell % 97 / 2.0e0 + day(date) < 70)"""
 
 # --- categorical decisions -----------------------------------------------------------------
 

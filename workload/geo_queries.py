@@ -345,12 +345,12 @@ def d41(t):
 
 @query("d41_mass_balance", f"""
 with days as (select event_type, cast(ts as date) as date, count(*) * 1e0 as q from events group by 1, 2),
-kept as (select event_type, date, q from days where not (event_type = 'error' and day(date) % 3 = 0)),
+kept as (select event_type, date, q from days where not (event_type = 'error' and q < 66)),
 m as (select day(date) as step, sum(q) as mass from kept group by 1)
 select m.step, {q6('m.mass')} as mass, {q6('coalesce(b.mass - m.mass, 0)')} as lost from m left join m b on b.step = m.step - 1""")
 def d41_balance(t):
     rows = t.events.groupBy("event_type", F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).cast("double").alias("_quanta"))
-    rows = rows.filter(~((F.col("event_type") == "error") & (F.dayofmonth("date") % 3 == 0)))
+    rows = rows.filter(~((F.col("event_type") == "error") & (F.col("_quanta") < 66)))
     history = rows.select(F.dayofmonth("date").cast("long").alias("step"), "_quanta")
     out = propagation.mass_balance(history)
     return out.select("step", r6("mass").alias("mass"), r6("lost").alias("lost"))
@@ -415,7 +415,7 @@ def bin_facts(t: Tables):
     rows = cell_facts(t).select("cell", "date", "salinity", bins)
     return rows.select(
         "cell", "date", "depth_bin", (F.col("salinity") + F.col("depth_bin") / 1000).alias("salinity")
-    ).filter((F.col("cell") + F.col("depth_bin").cast("long") + F.dayofmonth("date")) % 13 != 0)
+    ).filter("salinity < 32.1")
 
 
 def bin_values(t: Tables):
@@ -423,7 +423,7 @@ def bin_values(t: Tables):
 
 
 BIN_FACTS = f"""bin_facts as (select cell, date, b * 1e0 as depth_bin, salinity + b / 1000e0 as salinity, cell % 41 / 4e0 + b as nitrate
-  from cell_facts, (values {', '.join(f'({int(c)})' for c in environment.DEPTH_CLASSES)}) v(b) where (cell + b + day(date)) % 13 <> 0)"""
+  from cell_facts, (values {', '.join(f'({int(c)})' for c in environment.DEPTH_CLASSES)}) v(b) where salinity + b / 1000e0 < 32.1e0)"""
 
 
 @query("d_depth_features", with_sql(TELEMETRY, TRACKS, VISITED, CELL_FACTS, BIN_FACTS) + f"""
