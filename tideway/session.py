@@ -55,13 +55,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialise(df: DataFrame, label: str = "stage", **options: str) -> DataFrame:
+    """Write ``df`` once to the shared folder, with the writer's ``options``, and read it back.
 
     Unlike a cache this survives lost executors, fixes the outcome of non-deterministic
     steps, and leaves a columnar table that later steps can prune.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
