@@ -45,3 +45,48 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"), carry=False).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
     )
+
+
+@register("op6_simhash")
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its fingerprint and the smallest doc_id that near fingerprints lead to."""
+    from tideway.llm.simhash import near_groups, with_fingerprint
+    from tideway.session import materialise
+
+    docs = table(spark, folder, "documents")
+    prints = materialise(with_fingerprint(docs, "text", "fp", keep=["doc_id"]), "prints")
+    return prints.join(near_groups(prints, "doc_id"), "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+@register("op1_quality_rules")
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures of every document, the base rules, and the verdict of weighed rule votes."""
+    from tideway.llm.quality import quality
+
+    out = quality(table(spark, folder, "documents"), keep=["doc_id"])
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
+    )
+
+
+@register("op7_packing")
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its place in the sequences of 1024 ids."""
+    from tideway.llm.packing import pack
+
+    pieces = pack(table(spark, folder, "documents"), keep=["doc_id"])
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@register("op10_mixing")
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the words the mix takes from it."""
+    from tideway.llm.mixing import mix
+
+    return mix(table(spark, folder, "documents"), carry=False).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    )
