@@ -34,3 +34,12 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns that an operator is about to add, so that names never clash."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def shield(df: DataFrame, prefix: str):
+    """(``df`` with columns that begin with an operator's own ``prefix`` renamed, a function that names them back).
+
+    Operators name their working columns by a prefix; this keeps them apart from whatever the caller's table has.
+    """
+    away = {c: f"own {c}" for c in df.columns if c.lower().startswith(prefix)}
+    return (df.withColumnsRenamed(away) if away else df), lambda out: out.withColumnsRenamed({v: k for k, v in away.items()}) if away else out

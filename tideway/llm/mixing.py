@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideway.llm.common import count_words, text_of, without
+from tideway.llm.common import count_words, shield, text_of, without
 from tideway.operators.ranking import dense_ids
 from tideway.session import materialise
 
@@ -150,7 +150,7 @@ def mix(
     one. An empty table gives an empty result. Columns named like an added one are replaced. ``carry=False`` returns the
     id and the added columns only.
     """
-    df = without(df, "size", "source_size", "target", "copies")
+    df, back = shield(without(df, "size", "source_size", "target", "copies"), "_mx_")
     own = list(df.columns) if carry else [id_col]
     stored = df.select(
         *[F.col(f"`{c}`") for c in own],
@@ -167,4 +167,4 @@ def mix(
     copies = materialise(copies_of(rows, targets, seed), "copies").withColumnRenamed("row", "_mx_row")
     at = targets.select(F.col("source").alias("_mx_at"), "source_size", "target")
     out = stored.join(copies, "_mx_row").join(at, F.col("_mx_source").eqNullSafe(F.col("_mx_at")))
-    return out.select(*[F.col(f"`{c}`") for c in own], "size", "source_size", "target", "copies")
+    return back(out.select(*[F.col(f"`{c}`") for c in own], "size", "source_size", "target", "copies"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tideway.llm.common import shield
 from tideway.llm.tokens import default_vocabulary, encode
 from tideway.session import materialise
 
@@ -50,11 +51,11 @@ def shortest_pack_first(counts: dict[int, int], length: int) -> list[tuple[int,
     return sorted((p for packs in open_packs.values() for p in packs), key=lambda p: (p[1], p[0]), reverse=True)
 
 
-PLACES = "pk_rem int, slot_from long, slot_to long, copies int, first_sequence long, offsets array<int>"
+PLACES = "pk_rem int, pk_slot_from long, pk_slot_to long, pk_copies int, pk_first_sequence long, pk_offsets array<int>"
 
 
 def places(plan: list[tuple[int, tuple[int, ...]]]) -> list[tuple]:
-    """Rows of ``PLACES``: ranks [slot_from, slot_to) of a length take ``copies`` places in each pack of one pattern."""
+    """Rows of ``PLACES``: ranks [slot_from, slot_to) of a length take ``pk_copies`` places in each pack of one pattern."""
     taken: Counter = Counter()
     rows, sequence = [], 0
     for packs, pattern in plan:
@@ -123,7 +124,9 @@ def pack(
     """
     spark = df.sparkSession
     added = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
-    own = [c for c in (df.columns if keep is None else keep) if c.lower() not in added]
+    keep = df.columns if keep is None else keep
+    df, back = shield(df, "pk_")
+    own = [c if c in df.columns else f"own {c}" for c in keep if c.lower() not in added]
     stored = tokenised(df, text_col, own, length, end_id, vocabulary or default_vocabulary())
 
     counts = stored.groupBy("pk_part", "pk_rem").agg(
@@ -139,19 +142,19 @@ def pack(
     earlier = Window.partitionBy("pk_rem").orderBy("pk_part").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("pk_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
     fulls = counts.groupBy("pk_part").agg(F.sum("full").alias("n")).select(
-        "pk_part", (F.coalesce(F.sum("n").over(before), F.lit(0)) + packs).alias("full_from")
+        "pk_part", (F.coalesce(F.sum("n").over(before), F.lit(0)) + packs).alias("pk_full_from")
     )
-    bases = counts.select("pk_part", "pk_rem", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rank_from"))
+    bases = counts.select("pk_part", "pk_rem", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("pk_rank_from"))
     bases = materialise(bases.join(fulls, "pk_part"), "bases")
 
-    ranked = stored.join(bases.hint("shuffle_hash"), ["pk_part", "pk_rem"]).withColumn("slot", F.col("pk_rank") + F.col("rank_from"))
+    ranked = stored.join(bases.hint("shuffle_hash"), ["pk_part", "pk_rem"]).withColumn("pk_slot", F.col("pk_rank") + F.col("pk_rank_from"))
     # The plan is as large as the histogram, not the corpus.
     placed = ranked.join(
-        F.broadcast(spots.withColumnRenamed("pk_rem", "at_rem")),
-        (F.col("pk_rem") == F.col("at_rem")) & (F.col("slot") >= F.col("slot_from")) & (F.col("slot") < F.col("slot_to")),
+        F.broadcast(spots.withColumnRenamed("pk_rem", "pk_at_rem")),
+        (F.col("pk_rem") == F.col("pk_at_rem")) & (F.col("pk_slot") >= F.col("pk_slot_from")) & (F.col("pk_slot") < F.col("pk_slot_to")),
         "left",
     )
-    in_range = F.col("slot") - F.col("slot_from")
+    in_range = F.col("pk_slot") - F.col("pk_slot_from")
     whole = F.floor(F.col("doc_tokens") / length)
     piece = F.explode(
         F.transform(
@@ -159,22 +162,23 @@ def pack(
             lambda k: F.struct(
                 (k * length).alias("start"),
                 F.least(F.lit(length).cast("long"), F.col("doc_tokens") - k * length).alias("length"),
-                F.when(k < whole, F.col("full_from") + F.col("pk_full") + k)
-                .otherwise(F.col("first_sequence") + F.floor(in_range / F.col("copies")))
+                F.when(k < whole, F.col("pk_full_from") + F.col("pk_full") + k)
+                .otherwise(F.col("pk_first_sequence") + F.floor(in_range / F.col("pk_copies")))
                 .alias("sequence_id"),
                 F.when(k < whole, F.lit(0).cast("long"))
-                .otherwise(F.get("offsets", (in_range % F.col("copies")).cast("int")).cast("long"))
+                .otherwise(F.get("pk_offsets", (in_range % F.col("pk_copies")).cast("int")).cast("long"))
                 .alias("offset"),
             ),
         )
     )
-    pieces = placed.select(*[F.col(f"`{c}`") for c in own], "pk_ids", "doc_tokens", piece.alias("p"))
-    return pieces.select(
+    pieces = placed.select(*[F.col(f"`{c}`") for c in own], "pk_ids", "doc_tokens", piece.alias("pk_piece"))
+    out = pieces.select(
         *[F.col(f"`{c}`") for c in own],
-        F.col("p.start").alias("start"),
-        F.col("p.length").alias("length"),
-        F.expr("substring(pk_ids, cast(p.start * 4 + 1 as int), cast(p.length * 4 as int))").alias("ids"),
+        F.col("pk_piece.start").alias("start"),
+        F.col("pk_piece.length").alias("length"),
+        F.expr("substring(pk_ids, cast(pk_piece.start * 4 + 1 as int), cast(pk_piece.length * 4 as int))").alias("ids"),
         "doc_tokens",
-        F.col("p.sequence_id").alias("sequence_id"),
-        F.col("p.offset").alias("offset"),
+        F.col("pk_piece.sequence_id").alias("sequence_id"),
+        F.col("pk_piece.offset").alias("offset"),
     )
+    return back(out)
