@@ -8,11 +8,11 @@ few runs (one per salt) are then merged.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideway.llm.common import SPACES, shuffle_parts, text_of, without
+from tideway.llm.common import SPACES, shield, shuffle_parts, text_of, without
 from tideway.session import materialise
 
 START, HASH, SALT, NORM, FIRST = "_xd_start", "_xd_hash", "_xd_salt", "_xd_norm", "_xd_first"
@@ -27,12 +27,11 @@ def normalised(text_col: str) -> Column:
 
 def _hot_hashes(keyed: DataFrame, text_col: str, n: int) -> DataFrame:
     """Hashes whose rows weigh more than 1/n of the table: fewer than n rows by construction."""
-    seen = Observation()
     weighed = keyed.select(HASH, (F.length(text_of(text_col)) + ROW_BYTES).alias("weight"))
-    weighed = weighed.observe(seen, F.sum("weight").alias("total"))
     groups = weighed.groupBy(HASH).agg(F.count("*").alias("copies"), F.sum("weight").alias("weight"))
     groups = materialise(groups.filter("copies > 1"), "copy-groups")
-    return groups.filter(F.col("weight") * n > (seen.get["total"] or 0)).select(HASH, F.lit(True).alias("_xd_hot"))
+    total = weighed.agg(F.sum("weight")).first()[0] or 0
+    return groups.filter(F.col("weight") * n > total).select(HASH, F.lit(True).alias("_xd_hot"))
 
 
 def exact_dedup(
@@ -47,7 +46,7 @@ def exact_dedup(
     """
     added = ("keep_id", "group_size", "kept", "text_sha256")
     n = shuffle_parts(df, parts)
-    df = without(df, *added)
+    df, back = shield(without(df, *added), "_xd_")
     own = list(df.columns) if carry else [id_col]
     if not carry:
         df = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
@@ -74,10 +73,11 @@ def exact_dedup(
         F.min("keep_id").alias("_xd_keep"), F.sum("group_size").alias("_xd_size")
     )
     whole = runs.join(F.broadcast(cut), "text_sha256", "left")
-    return whole.select(
+    out = whole.select(
         *[F.col(f"`{c}`") for c in own],
         F.coalesce("_xd_keep", "keep_id").alias("keep_id"),
         F.coalesce("_xd_size", "group_size").alias("group_size"),
         (F.col(FIRST) & row_id.eqNullSafe(F.coalesce("_xd_keep", "keep_id"))).alias("kept"),
         "text_sha256",
     )
+    return back(out)
