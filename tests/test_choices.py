@@ -88,7 +88,7 @@ def test_norms_invert(tables):
 
 def test_contrasts_are_balanced_and_repeatable(tables):
     rows = scored_orders(tables)
-    a = sampling.contrasts(rows, 7, 3, features=["log_odds"], seed=2, target_rows=3)
+    a = sampling.contrasts(rows, 7, 3, features=["log_odds"], seed=2, parts=3)
     b = sampling.contrasts(rows.repartition(13), 7, 3, features=["log_odds"], seed=2)
     per = a.groupBy("_individual").count()
     assert per.filter("count != 21").isEmpty()

@@ -108,12 +108,12 @@ def right_closed_bin(x: Column | str, edges: Sequence[float]) -> Column:
 
 
 def edge_class(x: Column | str, classes: Sequence[float]) -> Column:
-    """First class value >= x; values above the last class take the last class."""
+    """First class value >= x; values above the last class take the last class, null and NaN none."""
     v = as_col(x)
     out = F.lit(float(classes[-1]))
     for c in reversed(classes[:-1]):
         out = F.when(v <= F.lit(float(c)), F.lit(float(c))).otherwise(out)
-    return F.when(v.isNotNull(), out)
+    return F.when(v.isNotNull() & ~F.isnan(v.cast("double")), out)
 
 
 def within_tolerance(pairs: Mapping[str, float], tolerance: float = 0.001) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideway.functions.scalar import floor_to, half_even, right_closed_bin
-from tideway.operators.joins import scalars
+from tideway.operators.joins import join_totals, scalars
 from tideway.operators.ranking import running_total
+from tideway.session import materialise
 
 
 def bucket_mean(
@@ -66,7 +67,7 @@ def duplicates_only(df: DataFrame, keys: Sequence[str], more_than: int = 1) -> D
     Counting first and semi-joining keeps hot groups in pieces.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > more_than)
-    return df.join(counts.select(*keys), list(keys), "left_semi")
+    return join_totals(df, counts.select(*keys), keys, "left_semi")
 
 
 def bin_mean(
@@ -125,70 +126,86 @@ def rounded_counts(df: DataFrame, bins: Mapping[str, Column]) -> DataFrame:
     return out.withColumn("log_n", F.log("n"))
 
 
-def quantile(
-    df: DataFrame, col: str, p: float, by: Sequence[str] = (), name: str = "quantile",
-    accuracy: int = 10000, slices: int = 4096,
+def quantiles(
+    df: DataFrame, col: str, probabilities: Mapping[str, float], by: Sequence[str] = (), accuracy: int = 10000,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
-    """Exact quantile with linear interpolation, for groups of any size.
+    """Exact quantiles with linear interpolation, one column per name, for groups of any size, in one pass over the ranks.
 
-    ``percentile`` would gather every distinct value of a group in one task. Here a mergeable
-    sketch first brackets the rank (its error bound proves the bracket), then values inside
-    the bracket are counted exactly and ranked with sliced running totals. Values below the
-    bracket collapse to one count, so nothing large is sorted or moved.
+    ``percentile`` would gather every distinct value of a group in one task. Here a mergeable sketch first brackets each
+    rank (its error bound proves the brackets), then values inside a bracket are counted exactly and ranked with running
+    totals. Values between brackets collapse to one count each, so nothing large is sorted or moved. ``extra`` aggregates
+    of the same groups ride along. Groups without a value have null quantiles; null keys are groups like any other.
     """
-    keys = list(by)
-    rows = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("__v"))
+    keys, ps = list(by), list(probabilities.values())
+    value = F.col(col).cast("double")
     margin = 2.0 / accuracy
-    stats = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.min("__v").alias("__min"),
-        F.max("__v").alias("__max"),
-        F.percentile_approx("__v", F.array(F.lit(max(p - margin, 0.0)), F.lit(min(p + margin, 1.0))),
-                            F.lit(accuracy)).alias("__q"),
+    cuts = [c for p in ps for c in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    stats = df.groupBy(*keys).agg(
+        F.count(value).alias("__n"), F.min(value).alias("__min"), F.max(value).alias("__max"),
+        F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(accuracy)).alias("__q"), *extra,
     )
     # Small groups are taken whole: a sketch margin of under two ranks proves nothing.
     large = F.col("__n") >= 4 * accuracy
-    stats = stats.select(
-        *keys, "__n",
-        F.when(large & F.lit(p > margin), F.col("__q")[0]).otherwise(F.col("__min")).alias("__lo"),
-        F.when(large & F.lit(p + margin < 1), F.col("__q")[1]).otherwise(F.col("__max")).alias("__hi"),
-    )
+    ends = [
+        (F.when(large & F.lit(p > margin), F.col("__q")[2 * i]).otherwise(F.col("__min")),
+         F.when(large & F.lit(p + margin < 1), F.col("__q")[2 * i + 1]).otherwise(F.col("__max")))
+        for i, p in enumerate(ps)
+    ]
+    brackets = F.array(*[F.struct(lo.alias("lo"), hi.alias("hi")) for lo, hi in ends])
+    stats = materialise(stats.withColumn("__brackets", brackets).drop("__q", "__min", "__max"), "quantile-brackets")
+    side = stats.select(*[F.col(k).alias(f"__on_{k}") for k in keys], "__n", "__brackets")
+
+    rows = df.filter(value.isNotNull()).select(*keys, value.alias("__v"))
     if keys:
-        bracketed = rows.join(stats, keys)
+        rows = rows.join(side, [F.col(k).eqNullSafe(F.col(f"__on_{k}")) for k in keys])
     else:
-        bracketed = rows.withColumns(scalars(stats))
-    inside = F.when(F.col("__v") >= F.col("__lo"), F.col("__v"))
+        rows = rows.withColumns(scalars(side))
+    real = F.exists("__brackets", lambda b: (F.col("__v") >= b["lo"]) & (F.col("__v") <= b["hi"]))
+    above = F.array_min(F.transform(F.filter("__brackets", lambda b: b["lo"] > F.col("__v")), lambda b: b["lo"]))
     counts = (
-        bracketed.filter(F.col("__v") <= F.col("__hi"))
-        .groupBy(*keys, "__n", "__lo", "__hi", inside.alias("__x"))
-        .agg(F.count(F.lit(1)).alias("__c"))
+        rows.withColumns({"__real": real, "__x": F.when(real, F.col("__v")).otherwise(above)})
+        .filter("__x is not null")
+        .groupBy(*keys, "__n", "__x", "__real").agg(F.count(F.lit(1)).alias("__c"))
     )
-    # the bracket is narrow, so equal steps over it share its values out well
-    step = (F.col("__x") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
-    place = F.when(large, F.floor(step * slices)).otherwise(F.lit(0))
-    ranked = running_total(counts, keys, ["__x"], None, "__c", "__end", slice_by=F.when(F.col("__x").isNotNull(), place))
-    at = F.lit(float(p)) * (F.col("__n") - 1)
-    low, high = F.floor(at), F.ceil(at)
+    ranked = running_total(counts, keys, ["__x", "__real"], "__c", "__end")
+
+    def at(p: float) -> Column:
+        return F.lit(float(p)) * (F.col("__n") - 1)
 
     def value_at(rank: Column) -> Column:
-        hit = (F.col("__end") > rank) & (F.col("__end") - F.col("__c") <= rank)
+        hit = F.col("__real") & (F.col("__end") > rank) & (F.col("__end") - F.col("__c") <= rank)
         return F.max(F.when(hit, F.col("__x")))
 
-    near = ranked.filter((F.col("__end") > low) & (F.col("__end") - F.col("__c") <= high))
-    picked = near.groupBy(*keys).agg(
-        value_at(low).alias("__a"), value_at(high).alias("__b"), F.max(at - low).alias("__f")
-    )
-    return picked.select(*keys, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__f")).alias(name))
+    picked = ranked.groupBy(*keys).agg(*[
+        c for i, p in enumerate(ps)
+        for c in (value_at(F.floor(at(p))).alias(f"__a{i}"), value_at(F.ceil(at(p))).alias(f"__b{i}"),
+                  F.max(at(p) - F.floor(at(p))).alias(f"__f{i}"))
+    ])
+    made = {
+        name: F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * F.col(f"__f{i}") for i, name in enumerate(probabilities)
+    }
+    picked = picked.select(*[F.col(k).alias(f"__on_{k}") for k in keys], *[c.alias(n) for n, c in made.items()])
+    kept = stats.drop("__n", "__brackets")
+    if not keys:
+        return kept.withColumns(scalars(picked)) if extra else picked
+    return kept.join(picked, [F.col(k).eqNullSafe(F.col(f"__on_{k}")) for k in keys], "left").drop(*[f"__on_{k}" for k in keys])
+
+
+def quantile(
+    df: DataFrame, col: str, p: float, by: Sequence[str] = (), name: str = "quantile", accuracy: int = 10000
+) -> DataFrame:
+    """One exact quantile; see ``quantiles``."""
+    return quantiles(df, col, {name: p}, by, accuracy)
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
-    """count, mean, std, min, quartiles and max of one column, as one row."""
-    base = df.agg(
+    """count, mean, std, min, max and quartiles of one column, as one row."""
+    base = (
         F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
         F.min(col).alias("min"), F.max(col).alias("max"),
     )
-    quarters = {f"q{int(p * 100)}": quantile(df, col, p).scalar() for p in (0.25, 0.5, 0.75)}
-    return base.withColumns(quarters)
+    return quantiles(df, col, {f"q{int(p * 100)}": p for p in (0.25, 0.5, 0.75)}, extra=base)
 
 
 def response_curve(

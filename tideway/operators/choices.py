@@ -7,24 +7,23 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideway.operators.joins import neighbors
-from tideway.operators.ranking import TARGET_ROWS, choice_number, sequence_with_next, time_position
+from tideway.operators.joins import join_totals, neighbors
+from tideway.operators.ranking import choice_number, sequence_with_next
 
 DECISION = ("_individual", "_decision")
 
 
 def sequence_decisions(
     df: DataFrame, individual: str, time: str, state: str, tie: Sequence[str] = (),
-    next_name: str | None = None, target_rows: int = TARGET_ROWS,
+    next_name: str | None = None, parts: int | None = None,
 ) -> DataFrame:
     """Number an individual's fixes in time order and attach the state it moves to next.
 
-    The last fix keeps a null next state. An individual with more than ``target_rows`` fixes
-    is cut along time, so one that holds a large part of all fixes is worked on in parallel.
+    The last fix keeps a null next state. The fixes are sorted over ``parts`` partitions (by
+    default as many as their number asks for), so one individual may hold any share of them.
     """
     return sequence_with_next(
-        df, [individual], [time, *tie], time_position(df, time), state, "_decision",
-        next_name or f"next_{state}", target_rows,
+        df, [individual], [time, *tie], state, "_decision", next_name or f"next_{state}", parts
     )
 
 
@@ -104,7 +103,7 @@ def min_decisions(
         .filter(F.col("__d") >= n)
         .select(individual)
     )
-    return df.join(enough, individual, "left_semi")
+    return join_totals(df, enough, [individual], "left_semi")
 
 
 def pad_decisions(

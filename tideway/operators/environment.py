@@ -91,15 +91,18 @@ def attach_home(
     regions: DataFrame, key: str = "tag_key", region: str = "region",
     positions: Mapping[str, tuple[float, float]] = HOME_POSITIONS, unknown: float = UNKNOWN_HOME,
 ) -> DataFrame:
-    """Home position per individual: full outer join with the region table, unknowns filled.
+    """Home position per individual, unknowns filled.
 
-    A region without individuals is kept with a null key, as an outer join does.
+    The literal region table is broadcast, so individuals of one region stay where they are. A region without
+    individuals is kept with a null key, as an outer join does.
     """
     table = regions.sparkSession.createDataFrame(
         [(r, lat, lon) for r, (lat, lon) in positions.items()],
         f"{region} string, home_lat double, home_lon double",
     )
-    out = regions.select(key, region).join(table, region, "full_outer")
+    known = regions.select(key, region)
+    empty = table.join(known.select(region).distinct(), region, "left_anti")
+    out = known.join(F.broadcast(table), region, "left").unionByName(empty, allowMissingColumns=True)
     out = out.fillna({"home_lat": unknown, "home_lon": unknown})
     return out.withColumns(
         {"normed_home_lat": F.col("home_lat") / 90.0, "normed_home_lon": F.col("home_lon") / 180.0}

@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 
 from tideway.functions import grid
 from tideway.operators.aggregates import macro_mean, response_curve
-from tideway.operators.joins import paired
+from tideway.operators.joins import join_totals, paired
+
+
+def log_chance(df: DataFrame, probability: str = "probability") -> Column:
+    """Log probability: the scored column where there is one, else the logarithm, minus infinity for zero.
+
+    Spark's logarithm of zero is null, which a mean would skip: the worst misses would leave the score.
+    """
+    if probability == "probability" and "log_probability" in df.columns:
+        return F.col("log_probability")
+    return F.when(F.col(probability) == 0, F.lit(float("-inf"))).otherwise(F.log(probability))
 
 
 def selected_only(df: DataFrame, selected: str = "_selected") -> DataFrame:
@@ -27,16 +37,16 @@ def nlp(
     expected rate of right guesses.
     """
     rows = selected_only(df, selected)
-    p = F.col(probability)
+    p, log_p = F.col(probability), log_chance(df, probability)
     plain = rows.groupBy(*by).agg(
-        F.avg(F.log(p)).alias("nlp"), F.avg(p).alias("correct_rate"), F.count(F.lit(1)).alias("n")
+        F.avg(log_p).alias("nlp"), F.avg(p).alias("correct_rate"), F.count(F.lit(1)).alias("n")
     )
     if level == "contrast":
         return plain.withColumn("geometric_p", F.exp("nlp"))
     if level != "decision":
         raise ValueError("level is 'contrast' or 'decision'")
     per = rows.groupBy(*by, individual).agg(
-        F.avg(F.log(p)).alias("__l"), F.sum(p).alias("__p"), F.count(F.lit(1)).alias("__n")
+        F.avg(log_p).alias("__l"), F.sum(p).alias("__p"), F.count(F.lit(1)).alias("__n")
     )
     out = per.groupBy(*by).agg(
         F.avg("__l").alias("nlp"), (F.sum("__p") / F.sum("__n")).alias("correct_rate"),
@@ -46,7 +56,7 @@ def nlp(
 
 
 def macro_loss(df: DataFrame, individual: str = "_individual", name: str = "loss") -> DataFrame:
-    return macro_mean(selected_only(df), [individual], -F.log("probability"), name)
+    return macro_mean(selected_only(df), [individual], -log_chance(df), name)
 
 
 def compare_models(
@@ -58,7 +68,7 @@ def compare_models(
     Both sides keep one row per decision before the join. ``how`` names the aggregate.
     """
     def side(df: DataFrame, extra: Sequence[str]) -> DataFrame:
-        return selected_only(df).select(*on, *extra, F.log("probability").alias("ll"))
+        return selected_only(df).select(*on, *extra, log_chance(df).alias("ll"))
 
     extra = [c for c in by if c not in on]
     joined = paired(side(old, extra), side(new, []), on, ["ll"], ("_old", "_new"))
@@ -104,7 +114,7 @@ def monthly_score(df: DataFrame, time: str, train: str = "_train") -> DataFrame:
     """Mean log likelihood and count per month over held-out selections."""
     rows = selected_only(df).filter(~F.col(train))
     return rows.groupBy(F.month(time).alias("month")).agg(
-        F.avg(F.log("probability")).alias("mean"), F.count(F.lit(1)).alias("count")
+        F.avg(log_chance(df)).alias("mean"), F.count(F.lit(1)).alias("count")
     )
 
 
@@ -138,7 +148,7 @@ def relative_density(df: DataFrame, region: str, origin: str, number: str, densi
     """
     weight = F.col(number) * F.col(density)
     totals = df.groupBy(region).agg(F.sum(weight).alias("__t"))
-    return df.join(totals, region).withColumn(
+    return join_totals(df, totals, [region]).withColumn(
         "relative_density", weight / F.nullif(F.col("__t"), F.lit(0.0))
     ).drop("__t")
 

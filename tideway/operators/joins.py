@@ -1,5 +1,7 @@
 """Joins. Sides that grow with the data carry no broadcast hint: Catalyst and AQE decide on
-measured sizes, and AQE splits hot keys. Only literal tables are broadcast by hint."""
+measured sizes. Only literal tables are broadcast by hint. AQE splits a hot key between two plain
+sides, but not beside an aggregate or in a full outer join: totals of a growing table are therefore
+written before they are joined back (``join_totals``), and ``outer_fill`` is a left and an anti join."""
 
 from __future__ import annotations
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tideway.functions import grid
 from tideway.operators.columns import computed
+from tideway.session import materialise
 
 
 def join_on(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -19,6 +22,18 @@ def join_on(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inne
     return df.join(other, list(on), how)
 
 
+def join_totals(df: DataFrame, totals: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows to an aggregate of their own keys; null keys meet each other.
+
+    The aggregate is written first, so that the join sees a plain, sized side and a hot key of ``df`` is split.
+    """
+    side = materialise(totals, "totals")
+    side = side.withColumnsRenamed({k: f"__on_{k}" for k in on})
+    match = [F.col(k).eqNullSafe(F.col(f"__on_{k}")) for k in on]
+    out = df.join(side, match, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"__on_{k}" for k in on])
+
+
 def join_floored(
     df: DataFrame, other: DataFrame, on: Sequence[str], epoch: str, seconds: int, other_epoch: str
 ) -> DataFrame:
@@ -58,13 +73,18 @@ def natural_join(df: DataFrame, other: DataFrame, how: str = "inner") -> DataFra
 
 
 def outer_fill(df: DataFrame, other: DataFrame, on: Sequence[str], fill: Mapping[str, object]) -> DataFrame:
-    """Full outer join, then defaults for missing values."""
-    return df.join(other, list(on), "full_outer").fillna(dict(fill))
+    """Full outer join, then defaults for missing values.
+
+    Written as a left join and the rows only ``other`` has, so that a hot key is split on either side.
+    """
+    left = df.join(other, list(on), "left")
+    rest = other.join(df.select(*on), list(on), "left_anti")
+    return left.unionByName(rest, allowMissingColumns=True).fillna(dict(fill))
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows whose key qualifies."""
-    return df.join(keys.select(*on), list(on), "left_semi")
+    """Rows whose key qualifies; null qualifies if listed."""
+    return join_totals(df, keys.select(*on), on, "left_semi")
 
 
 def drop_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -86,11 +106,10 @@ def per_distinct(
 ) -> DataFrame:
     """Run ``fn`` on the distinct keys only and join its columns back.
 
-    Worth it when the expression is costly and the keys are few. The distinct side is not
-    hinted; when it is small AQE broadcasts it, otherwise it is joined by its keys.
+    Worth it when the expression is costly and the keys are few. The distinct side is written;
+    when it is small it is broadcast, otherwise it is joined by its keys. Null is a key like any other.
     """
-    made = fn(df.select(*keys).distinct())
-    return df.join(made, list(keys))
+    return join_totals(df, fn(df.select(*keys).distinct()), keys)
 
 
 def scalars(params: DataFrame) -> dict[str, Column]:

@@ -76,8 +76,8 @@ def propagate(
 
     Each state is written below ``history`` (a fresh folder in the shared scratch space by
     default) and read back, so the plan never grows and a lost executor costs one step. Only
-    the transitions of the state's date take part in a step; keep that table partitioned by
-    date and the others are never read.
+    the transitions of the state's dates take part in a step; keep that table partitioned by
+    date and the others are never read. Steps of a longer earlier run in the same folder are not returned.
     """
     spark = seed.sparkSession
     root = history or scratch_path(spark, "mass")
@@ -89,13 +89,13 @@ def propagate(
         state.write.mode("overwrite").parquet(path)
         written = spark.read.schema(schema).parquet(path)
         if dates is None:
-            row = written.agg(F.min("date"), F.max("date")).first()
-            dates = row if row[0] == row[1] else False  # one start date: prune by literal
+            dates = written.agg(F.min("date"), F.max("date")).first()  # pruned by literals
         step = transitions
-        if dates and dates[0] is not None:
-            step = transitions.filter(F.col("date") == F.date_add(F.lit(dates[0]), i))
+        if dates[0] is not None:
+            step = transitions.filter(F.col("date").between(F.date_add(F.lit(dates[0]), i), F.date_add(F.lit(dates[1]), i)))
         state = step_mass(written, step)
-    return spark.read.schema(f"{schema}, step int").option("basePath", root).parquet(root)
+    paths = [f"{root}/step={i}" for i in range(steps + 1)]
+    return spark.read.schema(f"{schema}, step int").option("basePath", root).parquet(*paths)
 
 
 def mass_balance(history: DataFrame) -> DataFrame:

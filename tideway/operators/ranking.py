@@ -1,16 +1,11 @@
 """Ranks, running totals, neighbours in time, and dense ids without unbounded window groups.
 
-A window partitioned by an individual puts all rows of that individual into one task. Here a
-key that holds more than ``target_rows`` is cut into ordered slices: the window runs inside
-(key, slice), and a small table of slice totals carries the state over slice borders. The
-window and the join with the totals share one hash exchange on (key, slice); the merge hint
-keeps it that way, as the rows are already placed and sorted for it. Keys below the target
-stay whole.
+A window partitioned by an individual puts all rows of that individual into one task. Here the rows are sorted by one
+range exchange on (keys, full order), which cuts any key anywhere, and written once with their place in their partition.
+Windows then run inside (partition, key), and what a key has gathered in earlier partitions is added from the edges: the
+first and the last key of each partition, at most two rows per partition, the only side that is broadcast.
 
-Every operator takes a ``position``: a number that never decreases along its order. It decides
-the slice; the full order, ties included, decides the rank.
-
-Keys must not be null (they are ids); positions may be, and sort first.
+Null keys form a group of their own, as in a plain window. Rows that tie in the order keep the order they were written in.
 """
 
 from __future__ import annotations
@@ -20,26 +15,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideway.operators.joins import scalars
 from tideway.session import materialise
 
-SLICE = "__slice"
-TARGET_ROWS = 1_000_000
-#: Key sizes are looked up by hash bucket, so the lookup table has this many entries at most.
-BUCKETS = 1024
-#: Slices per target, to absorb uneven density along the position.
-OVERSPLIT = 8
+PART, AT = "__part", "__at"
+#: Rows wanted in a partition that is dealt by range.
+ROWS_PER_PART = 2_000_000
 
 
-def time_position(df: DataFrame, time: str) -> Column:
-    """Position of a time column: epoch seconds as they are, dates and timestamps as seconds."""
-    kind = dict(df.dtypes)[time]
-    if kind in ("bigint", "int", "double"):
-        return F.col(time).cast("double")
-    days = F.datediff(F.to_date(time), F.lit("1970-01-01").cast("date"))
-    if kind == "date":
-        return days.cast("double")
-    return (days * 86400 + F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)).cast("double")
+def measured_parts(df: DataFrame, parts: int | None = None) -> int:
+    """``parts``, or as many as the counted rows ask for, and the session's number at least."""
+    if parts:
+        return parts
+    session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(session, -(-df.count() // ROWS_PER_PART))
 
 
 def hash_slice(hashed: Column, bits: int = 18) -> Column:
@@ -47,118 +35,91 @@ def hash_slice(hashed: Column, bits: int = 18) -> Column:
     return F.shiftright(hashed, 64 - bits)
 
 
-def _sliced(df: DataFrame, keys: Sequence[str], position: Column, target_rows: int) -> DataFrame:
-    """Add the slice number.
+def _placed(df: DataFrame, order_by: Sequence, parts: int | None, label: str) -> DataFrame:
+    """Rows sorted over partitions, with the partition and the place in it, written once.
 
-    The number of slices comes from the size of the largest key in the row's hash bucket. It
-    is read from one array of ``BUCKETS`` numbers, computed as a scalar subquery: no join, and
-    what is shipped to the tasks has a fixed size.
+    Range bounds are sampled, so all uses of the sorted table must see one and the same run.
     """
-    place = position.cast("double")
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int") if keys else F.lit(0)
-    sizes = df.select(*keys, place.alias("__p")).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__p").alias("__lo"), F.max("__p").alias("__hi")
-    )
-    buckets = sizes.groupBy(bucket.alias("__b")).agg(
-        F.max("__n").alias("__n"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi")
-    )
-    slices = (F.ceil(F.col("__n") / F.lit(target_rows)) * OVERSPLIT).cast("long")
-    cut = F.map_from_entries(
-        F.collect_list(F.when(F.col("__n") > target_rows, F.struct("__b", slices)))
-    )
-    plan = buckets.agg(F.min("__lo").alias("lo"), F.max("__hi").alias("hi"), cut.alias("cut")).select(
-        "lo", "hi",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(BUCKETS - 1)),
-            lambda b: F.coalesce(F.try_element_at("cut", b), F.lit(1).cast("long")),
-        ).alias("slices"),
-    )
-    p = scalars(plan)
-    share = (place - p["lo"]) / F.nullif(p["hi"] - p["lo"], F.lit(0.0))
-    number = F.floor(share * F.get(p["slices"], bucket))
-    return df.withColumn(SLICE, F.coalesce(number, F.lit(-1).cast("long")))
+    rows = df.repartitionByRange(measured_parts(df, parts), *order_by).sortWithinPartitions(*order_by)
+    rows = rows.withColumn("__mid", F.monotonically_increasing_id())
+    at = F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))
+    return materialise(rows.withColumns({PART: F.shiftright("__mid", 33), AT: at}).drop("__mid"), label)
 
 
-def _carried(totals: DataFrame, keys: Sequence[str], **expressions: Column) -> DataFrame:
-    return totals.select(*keys, SLICE, *[e.alias(n) for n, e in expressions.items()])
+def _with_edges(placed: DataFrame, keys: Sequence[str], gathered: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
+    """Attach ``carried`` to rows whose key reaches over the border of their partition.
+
+    ``gathered`` are aggregates of a key inside one partition; ``carried`` are expressions over them in a window along the
+    partitions of the key. Other rows get nulls.
+    """
+    over = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]) if keys else Window.partitionBy(F.lit(0))
+    earlier = over.orderBy(PART)
+    runs = placed.groupBy(PART, *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(
+        F.min(AT).alias("__lo"), F.max(AT).alias("__hi"), *[c.alias(n) for n, c in gathered.items()]
+    )
+    ends = placed.groupBy(PART).agg(F.max(AT).alias("__end"))
+    edges = runs.join(F.broadcast(ends), PART).filter("__lo = 0 or __hi = __end")
+    edges = edges.select(
+        F.col(PART).alias("__edge"), "__hi", *[f"__k{i}" for i in range(len(keys))],
+        *[(c.over(earlier) if n.startswith("__next") else c.over(earlier.rowsBetween(Window.unboundedPreceding, -1))).alias(n)
+          for n, c in carried.items()],
+    )
+    on = F.col(PART) == F.col("__edge")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return placed.join(F.broadcast(edges), on, "left")
 
 
-def _by_key(keys: Sequence[str]):
-    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+def _inside(keys: Sequence[str]):
+    return Window.partitionBy(PART, *keys).orderBy(AT)
 
 
 def rank_within(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence, position: Column, name: str = "_rank",
-    target_rows: int = TARGET_ROWS,
+    df: DataFrame, keys: Sequence[str], order_by: Sequence, name: str = "_rank", parts: int | None = None
 ) -> DataFrame:
     """``row_number() over (partition by keys order by order_by)``."""
-    rows = _sliced(df, keys, position, target_rows)
-    before = _by_key(keys).orderBy(SLICE)
-    totals = rows.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = _carried(totals, keys, __before=F.sum("__n").over(before) - F.col("__n"))
-    local = rows.withColumn(
-        name, F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order_by))
-    )
-    out = local.join(offsets.hint("merge"), [*keys, SLICE])
-    return out.withColumn(name, F.col(name) + F.col("__before")).select(
-        *[c for c in df.columns if c != name], name
-    )
+    placed = _placed(df, [*keys, *order_by], parts, "ranked")
+    out = _with_edges(placed, keys, {"__n": F.count(F.lit(1))}, {"__before": F.sum("__n")})
+    rank = F.row_number().over(_inside(keys)) + F.coalesce("__before", F.lit(0))
+    return out.withColumn("__rank", rank).select(*[c for c in df.columns if c != name], F.col("__rank").alias(name))
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence, position: Column | None, value: str,
-    name: str, target_rows: int = TARGET_ROWS, slice_by: Column | None = None,
+    df: DataFrame, keys: Sequence[str], order_by: Sequence, value: str, name: str, parts: int | None = None
 ) -> DataFrame:
-    """``sum(value) over (partition by keys order by order_by rows unbounded preceding)``.
-
-    ``slice_by`` gives the slice number itself and saves the pass that sizes the keys.
-    """
-    if slice_by is not None:
-        rows = df.withColumn(SLICE, F.coalesce(slice_by.cast("long"), F.lit(-1).cast("long")))
-    else:
-        rows = _sliced(df, keys, position, target_rows)
-    before = _by_key(keys).orderBy(SLICE)
-    totals = rows.groupBy(*keys, SLICE).agg(F.sum(value).alias("__n"))
-    offsets = _carried(totals, keys, __before=F.sum("__n").over(before) - F.col("__n"))
-    inside = Window.partitionBy(*keys, SLICE).orderBy(*order_by)
-    local = rows.withColumn(name, F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    out = local.join(offsets.hint("merge"), [*keys, SLICE])
-    return out.withColumn(name, F.col(name) + F.col("__before")).drop(SLICE, "__before")
+    """``sum(value) over (partition by keys order by order_by rows unbounded preceding)``."""
+    placed = _placed(df, [*keys, *order_by], parts, "running")
+    out = _with_edges(placed, keys, {"__n": F.sum(value)}, {"__before": F.sum("__n")})
+    local = F.sum(value).over(_inside(keys).rowsBetween(Window.unboundedPreceding, 0))
+    total = F.when(F.col("__before").isNull(), local).otherwise(F.coalesce(local, F.lit(0)) + F.col("__before"))
+    return out.withColumn("__total", total).select(*[c for c in df.columns if c != name], F.col("__total").alias(name))
 
 
 def sequence_with_next(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], position: Column, state: str,
-    rank_name: str, next_name: str, target_rows: int = TARGET_ROWS,
+    df: DataFrame, keys: Sequence[str], order_by: Sequence, state: str, rank_name: str, next_name: str,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Row number and the next row's ``state`` in one pass over (key, slice)."""
-    rows = _sliced(df, keys, position, target_rows)
-    over = _by_key(keys).orderBy(SLICE)
-    totals = rows.groupBy(*keys, SLICE).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.min_by(F.struct(F.col(state).alias("s")), F.struct(*order_by)).alias("__first"),
-    )
-    carried = _carried(
-        totals, keys,
-        __n=F.col("__n"),
-        __before=F.sum("__n").over(over) - F.col("__n"),
-        __next=F.lead(F.col("__first")["s"]).over(over),
+    """Row number and the next row's ``state``, from one sorted table."""
+    placed = _placed(df, [*keys, *order_by], parts, "sequence")
+    first = F.min_by(F.struct(F.col(state).alias("s")), F.col(AT))
+    out = _with_edges(
+        placed, keys, {"__n": F.count(F.lit(1)), "__first": first},
+        {"__before": F.sum("__n"), "__next": F.lead("__first")},
     )
-    inside = Window.partitionBy(*keys, SLICE).orderBy(*order_by)
-    local = rows.withColumns(
-        {"__local": F.row_number().over(inside), "__lead": F.lead(state).over(inside)}
+    inside = _inside(keys)
+    out = out.withColumns(
+        {"__rank": F.row_number().over(inside) + F.coalesce("__before", F.lit(0)), "__lead": F.lead(state).over(inside)}
     )
-    out = local.join(carried.hint("merge"), [*keys, SLICE])
     return out.select(
         *[c for c in df.columns if c not in (rank_name, next_name)],
-        (F.col("__local") + F.col("__before")).alias(rank_name),
-        F.when(F.col("__local") == F.col("__n"), F.col("__next"))
-        .otherwise(F.col("__lead")).alias(next_name),
+        F.col("__rank").alias(rank_name),
+        F.when(F.col(AT) == F.col("__hi"), F.col("__next")["s"]).otherwise(F.col("__lead")).alias(next_name),
     )
 
 
 def rolling_mean(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], position: Column, value: str,
-    width: int = 10, name: str = "rolling", block: int = 65536, target_rows: int = TARGET_ROWS,
+    df: DataFrame, keys: Sequence[str], order_by: Sequence, value: str, width: int = 10,
+    name: str = "rolling", block: int = 65536, parts: int | None = None,
 ) -> DataFrame:
     """Mean over the last ``width`` rows of each key.
 
@@ -167,7 +128,7 @@ def rolling_mean(
     """
     if width > block:
         raise ValueError("width must not exceed block")
-    ranked = rank_within(df, keys, order_by, position, "__r", target_rows)
+    ranked = rank_within(df, keys, order_by, "__r", parts)
     position = F.col("__r") - 1
     own = F.floor(position / block)
     spill = F.pmod(position, F.lit(block)) > block - width
@@ -184,44 +145,31 @@ def rolling_mean(
 def dense_ids(
     df: DataFrame, order_by: Sequence, name: str = "_id", start: int = 1, parts: int | None = None
 ) -> DataFrame:
-    """Consecutive ids over the whole table in the given order.
-
-    One range exchange sorts the table over ``parts`` partitions. The position inside a sorted
-    partition comes from ``monotonically_increasing_id`` in the same stage, and the number of
-    rows in earlier partitions is added from a table with one row per partition - the only
-    side that is broadcast, and its size is the partition count. The sorted rows are written
-    to the shared folder first: range bounds are sampled, so the two uses of the sorted table
-    must see one and the same run.
+    """Consecutive ids over the whole table in the given order, which must be total for ids to be the same in every run.
+
+    One range exchange sorts the table; the number of rows in earlier partitions is added from a table with one row per
+    partition - the only side that is broadcast, and its size is the partition count. Rows with equal order values share
+    a partition, so an order of few values should end with a key.
     """
-    spark = df.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = (
-        df.repartitionByRange(n, *order_by)
-        .sortWithinPartitions(*order_by)
-        .withColumn("__mid", F.monotonically_increasing_id())
-        .withColumns(
-            {
-                "__part": F.shiftright("__mid", 33),
-                "__at": F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1)),
-            }
-        )
-        .drop("__mid")
-    )
-    placed = materialise(placed, "dense-ids")
-    sizes = placed.groupBy("__part").agg((F.max("__at") + 1).alias("__n"))
-    over = Window.partitionBy(F.lit(0)).orderBy("__part")
-    offsets = sizes.select("__part", (F.sum("__n").over(over) - F.col("__n")).alias("__before"))
-    out = placed.join(F.broadcast(offsets), "__part")
-    return out.withColumn(name, F.col("__at") + F.col("__before") + F.lit(start)).select(
-        *[c for c in df.columns if c != name], name
+    placed = _placed(df, order_by, parts, "dense-ids")
+    sizes = placed.groupBy(PART).agg((F.max(AT) + 1).alias("__n"))
+    over = Window.partitionBy(F.lit(0)).orderBy(PART)
+    offsets = sizes.select(PART, (F.sum("__n").over(over) - F.col("__n")).alias("__before"))
+    out = placed.join(F.broadcast(offsets), PART)
+    return out.withColumn("__id", F.col(AT) + F.col("__before") + F.lit(start)).select(
+        *[c for c in df.columns if c != name], F.col("__id").alias(name)
     )
 
 
 def reindex(df: DataFrame, key: str, name: str = "_individual", start: int = 0) -> DataFrame:
-    """Replace or add a dense id per distinct key, numbered in key order."""
-    ids = dense_ids(df.select(F.col(key)).distinct(), [key], "__id", start)
-    out = df.join(ids, key)
-    return out.withColumn(name, F.col("__id")).drop("__id")
+    """Replace or add a dense id per distinct key, numbered in key order; null is a key like any other.
+
+    The ids are written before the join, so a hot key meets a plain sized side and is split.
+    """
+    ids = dense_ids(df.select(F.col(key).alias("__key")).distinct(), ["__key"], "__id", start)
+    ids = materialise(ids, "key-ids")
+    out = df.join(ids, F.col(key).eqNullSafe(F.col("__key")))
+    return out.select(*[c for c in df.columns if c != name], F.col("__id").alias(name))
 
 
 def offset_ids(df: DataFrame, name: str, by: int) -> DataFrame:

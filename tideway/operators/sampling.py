@@ -11,7 +11,7 @@ from tideway.functions.hashing import keyed_hash, keyed_pick, keyed_uniform, uni
 from tideway.functions.normal import normal_cdf, normal_ppf
 from tideway.functions.scalar import at_least, at_most, edge_class, wrap_angle
 from tideway.operators.columns import computed
-from tideway.operators.ranking import TARGET_ROWS, hash_slice, rank_within
+from tideway.operators.ranking import hash_slice, rank_within
 
 
 def take_smallest(
@@ -89,7 +89,7 @@ def depth_class(
     ``mode="draw"`` takes the true depth as normal around the reading, cuts it at the last
     class and bins it: the same law as drawing a class from renormalised bin probabilities,
     with one quantile per row instead of one CDF per class. A zero reading gives the first
-    class. ``mode="edge"`` bins the reading itself.
+    class, null and NaN none. ``mode="edge"`` bins the reading itself.
     """
     if mode == "edge":
         return df.withColumn(name, edge_class(depth, classes))
@@ -106,6 +106,7 @@ def depth_class(
     klass = F.when(F.col("__sd") == 0, F.lit(float(classes[0]))).otherwise(
         edge_class(F.col("__d"), classes)
     )
+    klass = F.when(~F.isnan(F.col(depth).cast("double")), klass)
     return out.withColumn(name, klass).drop("__sd", "__u", "__z", "__top", "__p", "__x", "__d")
 
 
@@ -170,7 +171,7 @@ def contrasts(
     individual: str = "_individual", decision: str = "_decision", choice: str = "_choice",
     selected: str = "_selected", features: Sequence[str] = (), seed: int = 0,
     pick: Callable[..., Column] | None = None, order: Column | None = None,
-    target_rows: int = TARGET_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Balanced (selected, unselected) pairs, drawn with replacement.
 
@@ -196,8 +197,7 @@ def contrasts(
         .select(individual, decision, F.col("__alt").cast("long").alias("__alt"))
     )
     ranked = rank_within(
-        usable.withColumn("__order", order), [individual], ["__order", decision], F.col("__order"),
-        "__r", target_rows,
+        usable.withColumn("__order", order), [individual], ["__order", decision], "__r", parts
     ).select(individual, decision, "__alt", F.col("__r").cast("long").alias("__r"))
     sizes = usable.groupBy(individual).agg(F.count(F.lit(1)).alias("__size"))
     draws = sizes.withColumn(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideway.operators.choices import DECISION
+from tideway.operators.joins import join_totals
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,8 @@ class MlpModel:
 
         def forward(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for part in parts:
-                x = np.column_stack([s.to_numpy(dtype=float) for s in part])
+                columns = part if isinstance(part, tuple) else (part,)  # one feature comes bare
+                x = np.column_stack([s.to_numpy(dtype=float) for s in columns])
                 for i, (w, b) in enumerate(layers):
                     x = x @ w + b
                     if i < len(layers) - 1:
@@ -80,10 +82,11 @@ def score_with(
 def choice_probability(
     df: DataFrame, decision: Sequence[str] = DECISION, log_odds: str = "log_odds", wide: bool = False
 ) -> DataFrame:
-    """Adds odds, sum_odds and probability over the alternatives of each decision.
+    """Adds odds, sum_odds, probability and log_probability over the alternatives of each decision.
 
     The probability subtracts the decision's largest log-odds before ``exp``, so it cannot
-    overflow; ``odds`` and ``sum_odds`` are the plain values.
+    overflow; its logarithm is log-odds less their log-sum-exp and stays finite where the
+    probability itself is too small for a double. ``odds`` and ``sum_odds`` are the plain values.
 
     The default is one window per decision, whose size is the number of alternatives. Use
     ``wide`` when a decision may hold any number of rows: totals are then combined on the map
@@ -96,7 +99,10 @@ def choice_probability(
     out = df.withColumns({"odds": F.exp(phi), "__peak": F.max(phi).over(w)})
     out = out.withColumn("__e", F.exp(phi - F.col("__peak")))
     return out.withColumns(
-        {"sum_odds": F.sum("odds").over(w), "probability": F.col("__e") / F.sum("__e").over(w)}
+        {
+            "sum_odds": F.sum("odds").over(w), "probability": F.col("__e") / F.sum("__e").over(w),
+            "log_probability": phi - F.col("__peak") - F.log(F.sum("__e").over(w)),
+        }
     ).drop("__peak", "__e")
 
 
@@ -115,26 +121,26 @@ def _wide_probability(df: DataFrame, decision: Sequence[str], log_odds: str) ->
         F.sum(F.col("__s") * F.exp((F.col("__k") - F.col("__top")) * band)).alias("__total"),
         F.sum("__odds").alias("sum_odds"),
     )
-    out = df.withColumn("odds", F.exp(phi)).join(totals, list(decision))
-    probability = F.exp(phi - F.col("__top") * band) / F.col("__total")
-    return out.withColumn("probability", probability).drop("__top", "__total")
+    out = join_totals(df.withColumn("odds", F.exp(phi)), totals, decision)
+    shifted = phi - F.col("__top") * band
+    return out.withColumns(
+        {"probability": F.exp(shifted) / F.col("__total"), "log_probability": shifted - F.log("__total")}
+    ).drop("__top", "__total")
 
 
 def renormalise(
-    df: DataFrame, keep: Column, decision: Sequence[str] = DECISION, odds: str = "odds"
+    df: DataFrame, keep: Column, decision: Sequence[str] = DECISION, log_odds: str = "log_odds"
 ) -> DataFrame:
-    """Drop alternatives and share their probability among the rest."""
-    w = Window.partitionBy(*decision)
-    kept = df.filter(keep).withColumn("sum_odds", F.sum(odds).over(w))
-    return kept.withColumn("probability", F.col(odds) / F.col("sum_odds"))
+    """Drop alternatives and share their probability among the rest, again from the log-odds."""
+    return choice_probability(df.filter(keep), decision, log_odds)
 
 
 def null_model(
     df: DataFrame, decision: Sequence[str] = DECISION, probability: str = "probability"
 ) -> DataFrame:
     """Every alternative alike: 1 / number of alternatives."""
-    w = Window.partitionBy(*decision)
-    return df.withColumn(probability, F.lit(1.0) / F.count(F.lit(1)).over(w))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*decision))
+    return df.withColumns({probability: F.lit(1.0) / n, "log_probability": -F.log(n.cast("double"))})
 
 
 def scored_back(rows: DataFrame, scores: DataFrame, value: str = "probability") -> DataFrame:

@@ -28,7 +28,7 @@ def depth_decisions(
     A decision is identified by (individual, bucket), so it needs no numbering pass.
     """
     first = bucket_first(telemetry, ["tag_key"], "epoch", seconds, "depth", tie)
-    first = first.filter(F.col("depth").isNotNull())
+    first = first.filter(F.col("depth").isNotNull() & ~F.isnan(F.col("depth").cast("double")))
     first = depth_class(
         first, "depth", classes, key=["tag_key", "epoch"], uniform=uniform, mode=mode, name="depth_bin_selected"
     )

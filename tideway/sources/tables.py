@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +32,11 @@ def read_csv_keyed(
 ) -> DataFrame:
     """CSV (also gzipped) with a fixed schema, its key as string, stamped with the load's key.
 
-    A gzip file arrives as one partition; give ``parts`` to spread it over the cluster.
+    A gzip file arrives as one partition, so rows are spread over ``parts`` tasks, by default as many as the session shuffles.
     """
     df = spark.read.schema(schema).csv(path, header=True)
     df = df.withColumns({key: F.col(key).cast("string"), "upload_key": F.lit(upload_key)})
-    return df.repartition(parts) if parts else df
+    return df.repartition(parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def register_views(views: dict[str, DataFrame]) -> None:
@@ -70,6 +71,22 @@ def cached_query(spark: SparkSession, text: str, cache_root: str) -> DataFrame:
     return spark.read.parquet(f"{path}/result")
 
 
+#: Bytes wanted in a file; shuffle partitions are far smaller, as alternatives multiply their rows.
+FILE_BYTES = "256m"
+
+
+@contextmanager
+def _file_sized(spark: SparkSession):
+    """While a table is written, partitions are merged and split to the size of files."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, FILE_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _even_files(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
     # Rebalance groups rows by partition value, splits values that are too large for one file
     # and merges small ones; a plain repartition would send a hot value to one task.
@@ -86,7 +103,8 @@ def write_table(
         writer = writer.option("maxRecordsPerFile", max_rows_per_file)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with _file_sized(df.sparkSession):
+        writer.parquet(path)
 
 
 def save_as_table(
@@ -99,7 +117,8 @@ def save_as_table(
         writer = writer.option("path", path)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(name)
+    with _file_sized(df.sparkSession):
+        writer.saveAsTable(name)
 
 
 def create_table_as(

@@ -8,7 +8,8 @@ from tideway.operators import choices, norms, sampling
 from tideway.operators.aggregates import bucket_first, bucket_mean
 from tideway.operators.environment import DEPTH_CLASSES
 from workload.derive import (
-    ORDER_DECISIONS, PRIORITIES, PRIORITY_FACTS, SCORED, TELEMETRY, order_decisions, priority_facts,
+    NATION_FACTS, ORDER_DECISIONS, PRIORITIES, PRIORITY_FACTS, SCORED, TELEMETRY, nation_decisions, nation_facts,
+    order_decisions, priority_facts,
     scored_orders, telemetry, with_sql,
 )
 from workload.function_queries import sql_cdf, sql_poly
@@ -91,23 +92,23 @@ def d17(t):
     )
 
 
-@query("d18_require_selected", with_sql(ORDER_DECISIONS, PRIORITY_FACTS) + """
-select * from (select d._individual, d._decision, f.priority, d.actual = f.priority as _selected,
-  max(d.actual = f.priority) over (partition by d._individual, d._decision) as has
-  from order_decisions d join priority_facts f on f.month = d.month and f.n > 35) where has""".replace("select * from (", "select _individual, _decision, priority, _selected from ("))
+@query("d18_require_selected", with_sql(ORDER_DECISIONS, NATION_FACTS) + """
+select _individual, _decision, priority, _selected from (
+  select d._individual, d._decision, f.priority, d.actual = f.priority as _selected,
+    max(d.actual = f.priority) over (partition by d._individual, d._decision) as has
+  from nation_decisions d join nation_facts f on f.nation = d.nation and f.month = d.month) where has""")
 def d18(t):
-    facts = priority_facts(t).filter("n > 35")
-    rows = choices.expand_by_context(order_decisions(t), facts, ["month"], "priority", PRIORITIES)
+    rows = choices.expand_by_context(nation_decisions(t), nation_facts(t), ["nation", "month"], "priority", PRIORITIES)
     out = choices.require_selected(choices.mark_selected(rows, "actual", "priority"))
     return out.select("_individual", "_decision", "priority", "_selected")
 
 
-@query("d19_drop_trivial", with_sql(ORDER_DECISIONS, PRIORITY_FACTS) + """
-select _decision, priority from (select d._decision, f.priority, count(*) over (partition by d._individual, d._decision) as c
-  from order_decisions d join priority_facts f on f.month = d.month and f.n > 42) where c > 1""")
+@query("d19_drop_trivial", with_sql(ORDER_DECISIONS, NATION_FACTS) + """
+select _decision, priority from (
+  select d._decision, f.priority, count(*) over (partition by d._individual, d._decision) as c
+  from nation_decisions d join nation_facts f on f.nation = d.nation and f.month = d.month) where c > 1""")
 def d19(t):
-    facts = priority_facts(t).filter("n > 42")
-    rows = choices.expand_by_context(order_decisions(t), facts, ["month"], "priority", PRIORITIES)
+    rows = choices.expand_by_context(nation_decisions(t), nation_facts(t), ["nation", "month"], "priority", PRIORITIES)
     return choices.drop_trivial(rows).select("_decision", "priority")
 
 
@@ -153,7 +154,7 @@ def d21(t):
     rows = scored_orders(t).withColumn("probability", r6("probability"))
     order = (F.col("_decision") * 31) % 10007
     out = sampling.contrasts(
-        rows, 6, 3, features=["probability"], pick=_mix, order=order, target_rows=4
+        rows, 6, 3, features=["probability"], pick=_mix, order=order
     )
     return out.select(
         "_individual", "_decision", F.col("_draw").cast("long").alias("_draw"), F.col("_pair").cast("long").alias("_pair"),
@@ -171,15 +172,13 @@ def d21_long(t):
 
 
 @query("d22_pad_decisions", with_sql(*SCORED) + f"""
-, kept as (select * from scored where log_odds > -0.93e0),
-slots as (select i, d._individual, d._decision from (select distinct _individual, _decision from kept) d, (select unnest(range(1, 7)) as i)),
-numbered as (select *, row_number() over (partition by _individual, _decision order by _choice) as i from kept)
+, slots as (select i, d._individual, d._decision from (select distinct _individual, _decision from scored) d, (select unnest(range(1, 7)) as i)),
+numbered as (select *, row_number() over (partition by _individual, _decision order by _choice) as i from scored)
 select s._decision, cast(s.i as bigint) as slot, coalesce(n._choice, -1) as choice, coalesce(n._selected, false) as selected,
   {q6('coalesce(n.log_odds, -1000)')} as x
 from slots s left join numbered n on n._individual = s._individual and n._decision = s._decision and n.i = s.i""")
 def d22(t):
-    kept = scored_orders(t).filter(F.col("log_odds") > -0.93)
-    out = choices.pad_decisions(kept, 6, ["log_odds"], {"log_odds": -1000})
+    out = choices.pad_decisions(scored_orders(t), 6, ["log_odds"], {"log_odds": -1000})
     out = out.select("_decision", F.posexplode("choices").alias("slot", "c"))
     return out.select(
         "_decision", (F.col("slot") + 1).cast("long").alias("slot"), F.coalesce("c.choice", F.lit(-1)).alias("choice"),

@@ -113,9 +113,9 @@ def p13(t):
 
 
 @query("p14_clamp_and_scale", f"""
-select c_custkey, {q6('case when c_acctbal >= 0 then 0 else -c_acctbal / 4983.178342862019e0 end')} as n_elevation from customer""")
+select c_custkey, {q6('case when c_acctbal >= 0 then 0 else -c_acctbal / 5000e0 end')} as n_elevation from customer""")
 def p14(t):
-    return t.customer.select("c_custkey", r6(scalar.negative_part("c_acctbal", 4983.178342862019)).alias("n_elevation"))
+    return t.customer.select("c_custkey", r6(scalar.negative_part("c_acctbal", 5000)).alias("n_elevation"))
 
 
 @query("p15_conditional_overwrite", f"""

@@ -132,7 +132,7 @@ START, END = "2024-01-01", "2024-01-30"
 
 
 def cell_facts(t: Tables) -> DataFrame:
-    """Environment per visited cell and date; where the layer is deepest it is missing."""
+    """Environment per visited cell and date; cells in reach that nobody visited have none."""
     days = F.sequence(F.lit(START).cast("date"), F.lit(END).cast("date"))
     rows = visited(t).withColumn("date", F.explode(days))
     day = F.dayofmonth("date")
@@ -140,7 +140,7 @@ def cell_facts(t: Tables) -> DataFrame:
         "cell", "date",
         (10 + F.col("cell") % 97 / 2.0 + day).alias("mixed_layer_thickness"),
         (30 + (F.col("cell") % 1000 * 7 + day) % 100 / 50.0).alias("salinity"),
-    ).filter("mixed_layer_thickness < 70")
+    )
 
 
 CELL_FACTS = f"""fact_days as (
@@ -148,7 +148,7 @@ CELL_FACTS = f"""fact_days as (
 cell_facts as (
   select cell, date, 10 + cell % 97 / 2.0e0 + day(date) as mixed_layer_thickness,
     30 + (cell % 1000 * 7 + day(date)) % 100 / 50.0e0 as salinity
-  from visited, fact_days where 10 + cell % 97 / 2.0e0 + day(date) < 70)"""
+  from visited, fact_days)"""
 
 # --- categorical decisions -----------------------------------------------------------------
 
@@ -183,6 +183,28 @@ PRIORITY_FACTS = """priority_facts as (
   from order_decisions group by 1, 2)"""
 
 
+def nation_facts(t: Tables) -> DataFrame:
+    """What a nation's customers chose the month before; a class nobody chose has no row."""
+    later = F.add_months(F.to_date("o_orderdate"), 1)
+    rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    return rows.groupBy(
+        F.col("c_nationkey").alias("nation"), (F.year(later) * 100 + F.month(later)).cast("long").alias("month"),
+        F.col("o_orderpriority").alias("priority"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+def nation_decisions(t: Tables) -> DataFrame:
+    nations = t.customer.select(F.col("c_custkey").alias("_individual"), F.col("c_nationkey").alias("nation"))
+    return order_decisions(t).join(nations, "_individual")
+
+
+NATION_FACTS = """nation_facts as (
+  select c_nationkey as nation, o_orderpriority as priority, count(*) as n,
+    cast(year(cast(o_orderdate as date) + interval 1 month) * 100 + month(cast(o_orderdate as date) + interval 1 month) as bigint) as month
+  from orders join customer on c_custkey = o_custkey group by all),
+nation_decisions as (select d.*, c_nationkey as nation from order_decisions d join customer on c_custkey = _individual)"""
+
+
 def scored_orders(t: Tables) -> DataFrame:
     """Five alternatives per order with a fixed linear score and its probability."""
     from tideway.operators.choices import expand_classes, mark_selected

@@ -127,10 +127,8 @@ def d08(t):
 @query("d09_sun_phase", f"""
 with a as (select event_id, cast(event_id * 7919 % 86400 as double) as t, cast(event_id * 104729 % 86400 as double) as up,
   cast(event_id * 15485863 % 86400 as double) as down from events),
-b as (select *, case when up <= t and t < down then true when down <= t and t < up then false when up > down then true else false end as is_up,
-  case when up > down then 86400 - (up - down) else down - up end as light from a)
-select event_id, {q6(f'''case when is_up then (case when t >= up then t - up else 86400 + t - up end) / light * pi()
-  else pi() + (case when t >= down then t - down else 86400 + t - down end) / (86400 - light) * pi() end''')} as phase from b""")
+b as (select event_id, (t - up + 86400) % 86400 as since_rise, (down - up + 86400) % 86400 as light from a)
+select event_id, {q6('pi() * if(since_rise < light, since_rise / light, 1 + (since_rise - light) / (86400 - light))')} as phase from b""")
 def d09(t):
     e = F.col("event_id")
     rows = t.events.select(
@@ -210,10 +208,9 @@ def d11(t):
 
 @query("d12_day_period", f"""
 with a as (select event_id, cast(hour(ts) as double) as h, cast(event_id * 7 % 24 as double) as up, cast(event_id * 11 % 23 as double) + 0.5 as down from events),
-b as (select *, (h < down and h >= up) or (h >= up and up > down) or (h < down and up > down) as daytime,
-  case when up < down then down - up else 24 - up + down end as len from a)
-select event_id, daytime, {q6('len')} as length, {q6('''case when daytime and h >= up then (h - up) / len when daytime then (h + 24 - up) / len
-  when h >= down then (h - down) / (24 - len) else (h + 24 - down) / (24 - len) end''')} as progress from b""")
+b as (select event_id, (h - up + 24) % 24 as since_rise, (down - up + 24) % 24 as light from a)
+select event_id, since_rise < light as daytime, {q6('light')} as length,
+  {q6('if(since_rise < light, since_rise / light, (since_rise - light) / (24 - light))')} as progress from b""")
 def d12(t):
     e = F.col("event_id")
     rows = t.events.select(
@@ -345,12 +342,10 @@ def d41(t):
 
 @query("d41_mass_balance", f"""
 with days as (select event_type, cast(ts as date) as date, count(*) * 1e0 as q from events group by 1, 2),
-kept as (select event_type, date, q from days where not (event_type = 'error' and q < 66)),
-m as (select day(date) as step, sum(q) as mass from kept group by 1)
+m as (select day(date) as step, sum(q) as mass from days group by 1)
 select m.step, {q6('m.mass')} as mass, {q6('coalesce(b.mass - m.mass, 0)')} as lost from m left join m b on b.step = m.step - 1""")
 def d41_balance(t):
     rows = t.events.groupBy("event_type", F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).cast("double").alias("_quanta"))
-    rows = rows.filter(~((F.col("event_type") == "error") & (F.col("_quanta") < 66)))
     history = rows.select(F.dayofmonth("date").cast("long").alias("step"), "_quanta")
     out = propagation.mass_balance(history)
     return out.select("step", r6("mass").alias("mass"), r6("lost").alias("lost"))
@@ -415,7 +410,7 @@ def bin_facts(t: Tables):
     rows = cell_facts(t).select("cell", "date", "salinity", bins)
     return rows.select(
         "cell", "date", "depth_bin", (F.col("salinity") + F.col("depth_bin") / 1000).alias("salinity")
-    ).filter("salinity < 32.1")
+    )
 
 
 def bin_values(t: Tables):
@@ -423,7 +418,7 @@ def bin_values(t: Tables):
 
 
 BIN_FACTS = f"""bin_facts as (select cell, date, b * 1e0 as depth_bin, salinity + b / 1000e0 as salinity, cell % 41 / 4e0 + b as nitrate
-  from cell_facts, (values {', '.join(f'({int(c)})' for c in environment.DEPTH_CLASSES)}) v(b) where salinity + b / 1000e0 < 32.1e0)"""
+  from cell_facts, (values {', '.join(f'({int(c)})' for c in environment.DEPTH_CLASSES)}) v(b))"""
 
 
 @query("d_depth_features", with_sql(TELEMETRY, TRACKS, VISITED, CELL_FACTS, BIN_FACTS) + f"""

@@ -78,28 +78,28 @@ def j07(t):
 
 
 @query("j08_left_join_of_aggregates", f"""
-with a as (select l_suppkey, avg(l_discount) as loss from lineitem where l_linenumber <= 4 group by 1),
-b as (select l_suppkey, avg(l_discount) as loss from lineitem where l_linenumber = 7 and l_discount > 0.07 and l_tax > 0.07 group by 1)
-select a.l_suppkey, {q6('a.loss')} as a_loss, {q6('coalesce(b.loss, -1)')} as b_loss, {q6('coalesce(b.loss - a.loss, -1)')} as diff
-from a left join b on a.l_suppkey = b.l_suppkey""")
+with a as (select c_custkey, avg(c_acctbal) as balance from customer group by 1),
+b as (select o_custkey, avg(o_totalprice) as price from orders group by 1)
+select a.c_custkey, {q6('a.balance')} as balance, {q6('coalesce(b.price, -1)')} as price, {q6('coalesce(b.price - a.balance, -1)')} as diff
+from a left join b on a.c_custkey = b.o_custkey""")
 def j08(t):
-    a = t.lineitem.filter("l_linenumber <= 4").groupBy("l_suppkey").agg(F.avg("l_discount").alias("a_loss"))
-    b = t.lineitem.filter("l_linenumber = 7 and l_discount > 0.07 and l_tax > 0.07").groupBy("l_suppkey").agg(F.avg("l_discount").alias("b_loss"))
-    out = joins.join_on(a, b, ["l_suppkey"], "left")
+    a = t.customer.groupBy("c_custkey").agg(F.avg("c_acctbal").alias("balance"))
+    b = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("price"))
+    out = joins.join_on(a, b, ["c_custkey"], "left")
     return out.select(
-        "l_suppkey", r6("a_loss").alias("a_loss"), r6(F.coalesce("b_loss", F.lit(-1.0))).alias("b_loss"),
-        r6(F.coalesce(F.col("b_loss") - F.col("a_loss"), F.lit(-1.0))).alias("diff"),
+        "c_custkey", r6("balance").alias("balance"), r6(F.coalesce("price", F.lit(-1.0))).alias("price"),
+        r6(F.coalesce(F.col("price") - F.col("balance"), F.lit(-1.0))).alias("diff"),
     )
 
 
 @query("j09_outer_fill", """
-select coalesce(a.k, b.k) as k, coalesce(a.balance, 360) as balance, coalesce(b.total, 360) as total
-from (select c_custkey as k, c_acctbal as balance from customer where c_acctbal > 2000) a
-full join (select o_custkey as k, max(o_totalprice) as total from orders where o_totalprice > 450000 group by 1) b on a.k = b.k""")
+select coalesce(a.k, b.k) as k, coalesce(a.total, 360) as total, coalesce(b.price, 360) as price
+from (select o_custkey as k, max(o_totalprice) as total from orders group by 1) a
+full join (select l_partkey as k, max(l_extendedprice) as price from lineitem group by 1) b on a.k = b.k""")
 def j09(t):
-    a = t.customer.filter("c_acctbal > 2000").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"))
-    b = t.orders.filter("o_totalprice > 450000").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("total"))
-    return joins.outer_fill(a, b, ["k"], {"balance": 360.0, "total": 360.0})
+    a = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("total"))
+    b = t.lineitem.groupBy(F.col("l_partkey").alias("k")).agg(F.max("l_extendedprice").alias("price"))
+    return joins.outer_fill(a, b, ["k"], {"total": 360.0, "price": 360.0})
 
 
 @query("j10_natural_join", """
@@ -117,15 +117,14 @@ def j11(t):
 
 
 @query("j12_paired_models", f"""
-select a._individual, a._decision, a.day, {q6('a.ll')} as ll_old, {q6('b.ll')} as ll_new
-from (select o_custkey as _individual, o_orderkey as _decision, dayofmonth(o_orderdate) as day, ln(o_totalprice) as ll from orders) a
-join (select o_custkey as _individual, o_orderkey as _decision, ln(o_totalprice) / 2 as ll from orders where o_orderstatus <> 'P') b
-  on a._individual = b._individual and a._decision = b._decision""")
+select a._decision, a.day, {q6('a.ll')} as ll_old, {q6('b.ll')} as ll_new
+from (select o_orderkey as _decision, dayofmonth(o_orderdate) as day, ln(o_totalprice) as ll from orders) a
+join (select l_orderkey as _decision, ln(max(l_extendedprice)) / 2 as ll from lineitem group by 1) b on a._decision = b._decision""")
 def j12(t):
-    keys = [F.col("o_custkey").alias("_individual"), F.col("o_orderkey").alias("_decision")]
-    old = t.orders.select(*keys, F.dayofmonth("o_orderdate").cast("long").alias("day"), r6(F.log("o_totalprice")).alias("ll"))
-    new = t.orders.filter("o_orderstatus <> 'P'").select(*keys, r6(F.log("o_totalprice") / 2).alias("ll"))
-    return joins.paired(old, new, ["_individual", "_decision"], ["ll"], ("_old", "_new"))
+    key = F.col("o_orderkey").alias("_decision")
+    old = t.orders.select(key, F.dayofmonth("o_orderdate").cast("long").alias("day"), r6(F.log("o_totalprice")).alias("ll"))
+    new = t.lineitem.groupBy(F.col("l_orderkey").alias("_decision")).agg(r6(F.log(F.max("l_extendedprice")) / 2).alias("ll"))
+    return joins.paired(old, new, ["_decision"], ["ll"], ("_old", "_new"))
 
 
 @query("j13_per_distinct", f"""

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tideway import transforms
 from tideway.functions import grid
 from tideway.operators import choices, evaluation, fitting, norms, sampling, scoring
-from tideway.operators.ranking import time_position
 from tideway.plans import priority
 from tideway.session import materialise
 from workload.aggregate_queries import RUN_LOG, run_log
@@ -107,10 +106,9 @@ def d29(t):
 
 
 @query("d30_null_model", with_sql(*SCORED) + f"""
-select _decision, _choice, {q6('1e0 / count(*) over (partition by _individual, _decision)')} as probability from scored
-where log_odds > -0.93e0""")
+select _decision, _choice, {q6('1e0 / count(*) over (partition by _individual, _decision)')} as probability from scored""")
 def d30(t):
-    out = scoring.null_model(scored_orders(t).filter(F.col("log_odds") > -0.93))
+    out = scoring.null_model(scored_orders(t))
     return out.select("_decision", "_choice", r6("probability").alias("probability"))
 
 
@@ -234,13 +232,13 @@ def sql_rounds() -> str:
         parts.append(f"""r{i} as (select s.priority, s._selected, u.odds,
   u.odds / sum(u.odds) over (partition by _individual, _decision) as p from kept s join u{i} u on u.priority = s.priority),
 u{i + 1} as (select priority, avg(odds * (1 + case when _selected then 1 - p else -p end)) as odds from r{i} group by 1)""")
-    return ", kept as (select * from scored where _selected or log_odds > -0.93e0),\n" + ",\n".join(parts) + "\n"
+    return ", kept as (select * from scored ),\n" + ",\n".join(parts) + "\n"
 
 
 @query("d47_fit_tabular_odds", with_sql(*SCORED) + sql_rounds() + f"""
 select priority, {q6('odds')} as odds from u{ROUNDS}""")
 def d47(t):
-    rows = scored_orders(t).filter(F.col("_selected") | (F.col("log_odds") > -0.93))
+    rows = scored_orders(t)
     out = fitting.fit_tabular_odds(rows, "priority", ROUNDS, checkpoint_every=2)
     return out.withColumn("odds", r6("odds"))
 
@@ -259,12 +257,12 @@ def d48(t):
 
 
 @query("d48_density_weights", f"""
-with a as (select event_type, count(*) as n from events group by 1), b as (select event_type, count(*) as n from events where value > 50 group by 1)
+with a as (select event_type, count(*) as n from events group by 1), b as (select event_type, count(distinct user_id) as n from events group by 1)
 select a.event_type, {q6('a.n / (select sum(n) from a)')} as rho, {q6('b.n / (select sum(n) from b)')} as p,
   {q6('(a.n / (select sum(n) from a)) / (b.n / (select sum(n) from b))')} as weight from a join b on a.event_type = b.event_type""")
 def d48_weights(t):
     a = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    b = t.events.filter("value > 50").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    b = t.events.groupBy("event_type").agg(F.count_distinct("user_id").alias("n"))
     out = evaluation.density_weights(a, b, "event_type")
     return out.select("event_type", *[r6(c).alias(c) for c in ("rho", "p", "weight")])
 

@@ -23,7 +23,7 @@ TIMED = """timed as (select t.*, e.event_type from telemetry t join events e on
 select event_id, tag_key, row_number() over (partition by tag_key order by epoch, event_id) as _decision from telemetry""")
 def w01(t: Tables):
     rows = telemetry(t).select("event_id", "tag_key", "epoch")
-    out = ranking.rank_within(rows, ["tag_key"], ["epoch", "event_id"], ranking.time_position(rows, "epoch"), "_decision", 32)
+    out = ranking.rank_within(rows, ["tag_key"], ["epoch", "event_id"], "_decision")
     return out.select("event_id", "tag_key", F.col("_decision").cast("long").alias("_decision"))
 
 
@@ -85,7 +85,7 @@ select l_orderkey, l_linenumber, l_partkey, max(l_discount > 0.09) over (partiti
 def w08(t):
     # an order holds a few lines, but nothing bounds them: aggregate and join back
     flags = t.lineitem.groupBy("l_orderkey").agg(F.max(F.col("l_discount") > 0.09).alias("has"))
-    return joins.join_on(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), flags, ["l_orderkey"])
+    return joins.join_totals(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), flags, ["l_orderkey"])
 
 
 @query("w09_reindex", """
@@ -104,12 +104,12 @@ def w10(t):
     # the previous type is the next one of the reversed order
     rows = rows.withColumns({"back": -F.col("epoch"), "back_id": -F.col("event_id")})
     out = sequence_decisions(
-        rows, "tag_key", "back", "event_type", tie=["back_id"], next_name="previous", target_rows=64
+        rows, "tag_key", "back", "event_type", tie=["back_id"], next_name="previous"
     )
     stay = F.coalesce(F.col("event_type") == F.col("previous"), F.lit(False)).cast("double")
     out = out.select("event_id", "tag_key", "epoch", stay.alias("stay"))
     out = ranking.rolling_mean(
-        out, ["tag_key"], ["epoch", "event_id"], ranking.time_position(out, "epoch"), "stay", 10, block=64
+        out, ["tag_key"], ["epoch", "event_id"], "stay", 10, block=64
     )
     return out.select("event_id", r6("rolling").alias("rolling"))
 
