@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideway.llm.common import SPACES, text_of, without, words_of
+from tideway.llm.common import SPACES, shield, text_of, words_of
 from tideway.session import materialise
 
 #: Names of the measures a rule may use; all are longs.
@@ -32,10 +32,13 @@ def _let(value: Column, body) -> Column:
 
 def _pairs(left: Column, step: int) -> Column:
     """Hashes of each element with the one ``step`` further on; shorter by ``step``."""
-    return F.zip_with(
-        F.slice(left, 1, F.greatest(F.size(left) - step, F.lit(0))),
-        F.slice(left, step + 1, F.greatest(F.size(left) - step, F.lit(0))),
-        lambda a, b: F.xxhash64(a, b),
+    return _let(
+        left,
+        lambda x: F.zip_with(
+            F.slice(x, 1, F.greatest(F.size(x) - step, F.lit(0))),
+            F.slice(x, step + 1, F.greatest(F.size(x) - step, F.lit(0))),
+            lambda a, b: F.xxhash64(a, b),
+        ),
     )
 
 
@@ -85,14 +88,14 @@ def measures(text: Column) -> Column:
         line_counts = _let(lines, lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("unlike")))
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
-            F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+            F.length(F.regexp_replace(text, SPACES, "")).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
             line_counts.alias("lines"),
             repeated_words(words).alias("n_repeat_words"),
             stutters.cast("long").alias("n_stutters"),
             F.length(F.regexp_replace(text, "[^\\p{Lu}]+", "")).cast("long").alias("n_upper"),
             F.length(F.regexp_replace(text, "[^\\p{L}\\p{M}]+", "")).cast("long").alias("n_letters"),
-            (F.length(text) - F.length(F.translate(text, "!", ""))).cast("long").alias("n_exclaims"),
+            F.length(F.regexp_replace(text, "[^!]+", "")).cast("long").alias("n_exclaims"),
         )
 
     return _let(words_of(text), found)
@@ -112,7 +115,7 @@ class Rule:
     bad: float
 
     def vote(self) -> Column:
-        value = F.col(self.measure) / (F.col(self.per) if self.per else F.lit(1))
+        value = F.try_divide(F.col(self.measure), F.col(self.per) if self.per else F.lit(1))
         up = self.bad > self.good
         is_bad = value >= self.bad if up else value <= self.bad
         is_good = value <= self.good if up else value >= self.good
@@ -214,7 +217,9 @@ def quality_model(
     """As ``quality``, with the fitted model."""
     added = (*MEASURES, "base_failed", "quality", "kept")
     votes = [f"_q_{r.name}" for r in rules]
-    own = [c for c in (df.columns if keep is None else keep) if c.lower() not in added]
+    keep = df.columns if keep is None else keep
+    df, back = shield(df, "_q")
+    own = [c if c in df.columns else f"own {c}" for c in keep if c.lower() not in added]
     text = text_of(text_col)
     # The generator keeps the measures from being computed once per use.
     found = df.select(*[F.col(f"`{c}`") for c in own], F.explode(F.array(measures(text))).alias("_q"))
@@ -230,4 +235,4 @@ def quality_model(
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     out = voted.withColumn("base_failed", failed).withColumn("quality", model.posterior(votes))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
-    return out.select(*[F.col(f"`{c}`") for c in own], *added), model
+    return back(out.select(*[F.col(f"`{c}`") for c in own], *added)), model
