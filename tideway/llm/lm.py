@@ -28,11 +28,38 @@ class Shape:
 
 @dataclass
 class Model:
+    """What is learned. Counts travel as the cells that were seen; the table made of them is built where it is used."""
+
     shape: Shape
     symbol: np.ndarray  # of each id
     cls: np.ndarray  # of each id
-    inside: np.ndarray  # log chance of each id inside its class, by bucket of the id before
+    seen: tuple[np.ndarray, np.ndarray] | None  # flat cells (id, bucket of the id before) and their counts
     weights: dict[str, np.ndarray]
+    table: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "table": None}
+
+    def without_counts(self) -> "Model":
+        """All that training needs."""
+        return Model(self.shape, self.symbol, self.cls, None, self.weights)
+
+    @property
+    def inside(self) -> np.ndarray:
+        """Log chance of each id inside its class, by bucket of the id before; few sightings lean on the plain chance."""
+        if self.table is None:
+            shape, (cell, n) = self.shape, self.seen
+            follow = np.zeros(shape.ids * shape.buckets, np.float32)
+            follow[cell] = n
+            follow = follow.reshape(shape.ids, shape.buckets)
+            prior = follow.sum(axis=1, dtype=np.float64) + 0.1
+            prior = (prior / np.bincount(self.cls, prior, shape.classes)[self.cls]).astype(np.float32)
+            given = np.zeros((shape.classes, shape.buckets), np.float32)
+            np.add.at(given, (self.cls[cell // shape.buckets], cell % shape.buckets), n)
+            follow += 5 * prior[:, None]
+            follow /= given[self.cls] + 5
+            self.table = np.log(follow, out=follow)
+        return self.table
 
 
 def bucket_of(ids: np.ndarray, shape: Shape) -> np.ndarray:
@@ -73,11 +100,6 @@ def start_model(follow: np.ndarray, shape: Shape, seed: int = 5) -> Model:
     counts = follow.sum(axis=1).astype(np.float64)
     cls = clusters(follow, shape.classes)
     per_class = np.bincount(cls, counts + 0.1, shape.classes)
-    prior = (counts + 0.1) / per_class[cls]
-    given = np.zeros((shape.classes, shape.buckets))
-    np.add.at(given, cls, follow)
-    # Few sightings lean on the chance without the id before.
-    inside = np.log((follow + 5.0 * prior[:, None]) / (given[cls] + 5.0)).astype(np.float32)
     rank = np.empty(shape.ids, np.int64)
     rank[np.argsort(-counts, kind="stable")] = np.arange(shape.ids)
     half = shape.symbols // 2
@@ -94,7 +116,9 @@ def start_model(follow: np.ndarray, shape: Shape, seed: int = 5) -> Model:
         "out": draw(d, shape.classes, scale=0.05),
         "bias": np.log(per_class / per_class.sum()).astype(np.float32),
     }
-    return Model(shape, symbol, cls, inside, weights)
+    cell = np.flatnonzero(follow)
+    seen = cell.astype(np.int32), follow.ravel()[cell].astype(np.float32)
+    return Model(shape, symbol.astype(np.int32), cls.astype(np.int32), seen, weights)
 
 
 def _mask(t: int) -> np.ndarray:

@@ -103,7 +103,7 @@ def _unflat(data: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 def train_round(model: lm.Model, texts: DataFrame, nth: int, vocabulary, end_id: int, rate: float) -> None:
     """One round: every task trains from the same weights on its texts; the means, weighted by ids, become the weights."""
-    sent = texts.sparkSession.sparkContext.broadcast(model)
+    sent = texts.sparkSession.sparkContext.broadcast(model.without_counts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = sent.value
