@@ -22,7 +22,7 @@ class Shape:
     classes: int = 64
     width: int = 16
     window: int = 32
-    stride: int = 24
+    stride: int = 26
     buckets: int = 256
 
 
@@ -136,13 +136,13 @@ def forward(w: dict[str, np.ndarray], symbols: np.ndarray):
     a /= a.sum(axis=2, keepdims=True)
     z = a @ v
     h = x + z @ w["o"]
-    return h @ w["out"] + w["bias"], (x, q, k, v, a, z, h)
+    logits = h @ w["out"] + w["bias"]
+    return np.minimum(logits, 60, out=logits), (x, q, k, v, a, z, h)
 
 
 def log_classes(logits: np.ndarray) -> np.ndarray:
-    """log of the sum of exponentials over classes."""
-    top = logits.max(axis=-1, keepdims=True)
-    return (top + np.log(np.exp(logits - top).sum(axis=-1, keepdims=True)))[..., 0]
+    """log of the sum of exponentials over classes; ``forward`` bounds logits, so no maximum has to be taken out."""
+    return np.log(np.exp(logits).sum(axis=-1) + 1e-30)
 
 
 def gradients(w: dict[str, np.ndarray], symbols: np.ndarray, target: np.ndarray, scored: np.ndarray):
@@ -224,7 +224,7 @@ def train(model: Model, docs: list[np.ndarray], start_id: int, opt: Adam, batch:
     return total / max(1, steps)
 
 
-def score(model: Model, docs: list[np.ndarray], start_id: int, batch: int = 1024) -> np.ndarray:
+def score(model: Model, docs: list[np.ndarray], start_id: int, batch: int = 256) -> np.ndarray:
     """log10 probability of each document."""
     inp, out, scored, doc = windows(docs, start_id, model.shape)
     total = np.zeros(len(docs))
