@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideway.functions.calendar import DAY, sun_phase
 from tideway.functions.scalar import epoch_date, epoch_second_of_day, within_tolerance
+from tideway.operators.aggregates import pivot_mean
 from tideway.operators.seasons import circle_columns, date_phases, sun_times
 
 
@@ -57,6 +58,14 @@ def hypercube_slice(
     return df.filter(within_tolerance(fixed, tolerance)).groupBy(x, y).agg(F.avg(value).alias(value))
 
 
+def hypercube_pivot(
+    df: DataFrame, x: str, y: str, fixed: Mapping[str, float], columns: Sequence, value: str = "odds",
+    tolerance: float = 0.001,
+) -> DataFrame:
+    """``hypercube_slice`` as a matrix: one row per ``x``, one column per given value of ``y``."""
+    return pivot_mean(df.filter(within_tolerance(fixed, tolerance)), x, y, value, columns)
+
+
 def daily_spine(
     df: DataFrame, start_epoch: int, end_epoch: int, spread: Sequence[str] = (), name: str = "__day"
 ) -> DataFrame:

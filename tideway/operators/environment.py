@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideway.functions import grid
 from tideway.operators.aggregates import bin_mean
-from tideway.operators.joins import to_cell
+from tideway.operators.joins import scalars, to_cell
 
 # Study boxes, (lon from, lon to), (lat from, lat to).
 REGION_BOXES = {
@@ -29,6 +29,7 @@ HOME_POSITIONS = {
     "SEAK": (53.0, -130.0),
     "BC": (57.0, -136.0),
 }
+# Fixed value: what stands for a home that is not known.
 UNKNOWN_HOME = 360.0
 
 # Source names of the ocean variables and the names used here.
@@ -107,3 +108,25 @@ def attach_home(
     return out.withColumns(
         {"normed_home_lat": F.col("home_lat") / 90.0, "normed_home_lon": F.col("home_lon") / 180.0}
     )
+
+
+def home_attributes(
+    df: DataFrame, region: str = "region", positions: Mapping[str, tuple[float, float]] = HOME_POSITIONS,
+) -> DataFrame:
+    """Home of each row with unknown regions at the mean of the known rows, both coordinates scaled to 0..1, and a flag.
+
+    The mean of known rows lies between their extremes, so one aggregate gives all three; rows do not move.
+    """
+    table = df.sparkSession.createDataFrame(
+        [(r, lat, lon) for r, (lat, lon) in positions.items()], f"{region} string, home_lat double, home_lon double"
+    )
+    placed = df.drop("home_lat", "home_lon").join(F.broadcast(table), region, "left")
+    stats = scalars(placed.agg(*[
+        f(c).alias(f"{f.__name__}_{c}") for c in ("home_lat", "home_lon") for f in (F.avg, F.min, F.max)
+    ]))
+    out = placed.withColumn("region_unknown", F.col("home_lat").isNull().cast("double"))
+    for c in ("home_lat", "home_lon"):
+        low, high = stats[f"min_{c}"], stats[f"max_{c}"]
+        out = out.withColumn(c, F.coalesce(c, stats[f"avg_{c}"]))
+        out = out.withColumn(f"normed_{c}", (F.col(c) - low) / F.nullif(high - low, F.lit(0.0)))
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tideway.functions import scalar
 from tideway.operators import columns, cube
 from tideway.operators.joins import explode_values
-from workload.derive import PRIORITIES, TELEMETRY, telemetry, with_sql
+from workload.derive import PRIORITIES, SCORED, TELEMETRY, scored_orders, telemetry, with_sql
 from workload.registry import Tables, num, q6, query, r6
 
 
@@ -239,3 +239,12 @@ where l_discount between 0.03 - 0.001 and 0.03 + 0.001 and l_tax between 0.04 -
 def d38(t):
     out = cube.hypercube_slice(t.lineitem, "l_linenumber", "l_returnflag", {"l_discount": 0.03, "l_tax": 0.04}, "l_quantity")
     return out.withColumn("l_quantity", r6("l_quantity"))
+
+
+@query("d38_cube_pivot", with_sql(*SCORED) + f"""
+select priority, {', '.join(f"{q6(f'avg(odds) filter (where _individual % 7 = {k})')} as s{k}" for k in range(7))}
+from scored where _decision % 5 = 2 group by 1""")
+def d38_pivot(t):
+    cube_rows = scored_orders(t).withColumns({"five": F.col("_decision") % 5, "seven": F.col("_individual") % 7})
+    out = cube.hypercube_pivot(cube_rows, "priority", "seven", {"five": 2.0}, list(range(7)))
+    return out.select("priority", *[r6(F.col(f"`{k}`")).alias(f"s{k}") for k in range(7)])

@@ -253,6 +253,27 @@ def movement(t):
     )
 
 
+WATER_FACTS = """water_facts as (select *, cell % 13 / 6.0e0 - 1 as velocity_north, cell % 17 / 8.0e0 - 1 as velocity_east from cell_facts)"""
+
+
+@query("d_movement_water", with_sql(TRACKS, VISITED, BOX_CELLS, NEAR, TRACK_DECISIONS, CELL_FACTS, WATER_FACTS) + f"""
+select tag_key, _decision, neighbor as cell, {q6('atan2(velocity_north, velocity_east)')} as water_heading,
+  {q6(f"atan2({sql_lat('neighbor')} - {sql_lat('origin_cell')}, {sql_lon('neighbor')} - {sql_lon('origin_cell')})")} as movement_heading
+from track_decisions d join near on origin = origin_cell join water_facts f on f.cell = neighbor and f.date = d.date
+where distance <= 100""")
+def movement_water(t):
+    facts = cell_facts(t).withColumns(
+        {"velocity_north": F.col("cell") % 13 / 6.0 - 1, "velocity_east": F.col("cell") % 17 / 8.0 - 1}
+    )
+    rows = movement_plan.movement_decisions(tracks(t), res=RES)
+    water = ("velocity_north", "velocity_east")
+    out = movement_plan.movement_choices(rows, [facts], 100, res=RES, method="sphere", water=water)
+    return out.select(
+        "tag_key", F.col("_decision").cast("long").alias("_decision"), "cell",
+        *[r6(c).alias(c) for c in ("water_heading", "movement_heading")],
+    )
+
+
 @query("d49_displacement", with_sql(TRACKS, VISITED, BOX_CELLS, NEAR, TRACK_DECISIONS) + f"""
 select tag_key, _decision, {q6(sql_lon('origin_cell'))} as x, {q6(sql_lat('origin_cell'))} as y,
   {q6(f"{sql_lon('next_cell')} - {sql_lon('origin_cell')}")} as u, {q6(f"{sql_lat('next_cell')} - {sql_lat('origin_cell')}")} as v
@@ -405,6 +426,21 @@ def d44(t):
     )
 
 
+@query("d44_home_attributes", f"""
+with r as (select c_custkey, case c_mktsegment when 'BUILDING' then 'WA/OR' when 'MACHINERY' then 'SEAK' when 'AUTOMOBILE' then 'BC' else 'other' end as region from customer),
+placed as (select r.*, home_lat, home_lon from r left join
+  (values ('WA/OR', 46e0, -125e0), ('SEAK', 53e0, -130e0), ('BC', 57e0, -136e0)) v(region, home_lat, home_lon) on v.region = r.region),
+known as (select *, coalesce(home_lat, avg(home_lat) over ()) as lat, coalesce(home_lon, avg(home_lon) over ()) as lon from placed)
+select c_custkey, if(home_lat is null, 1e0, 0e0) as region_unknown, {q6('lat')} as home_lat,
+  {q6('(lat - min(lat) over ()) / (max(lat) over () - min(lat) over ())')} as normed_home_lat,
+  {q6('(lon - min(lon) over ()) / (max(lon) over () - min(lon) over ())')} as normed_home_lon from known""")
+def d44_attributes(t):
+    segment = F.col("c_mktsegment")
+    region = F.when(segment == "BUILDING", "WA/OR").when(segment == "MACHINERY", "SEAK").when(segment == "AUTOMOBILE", "BC").otherwise("other")
+    out = environment.home_attributes(t.customer.select("c_custkey", region.alias("region")))
+    return out.select("c_custkey", "region_unknown", *[r6(c).alias(c) for c in ("home_lat", "normed_home_lat", "normed_home_lon")])
+
+
 def bin_facts(t: Tables):
     bins = F.explode(F.array(*[F.lit(c) for c in environment.DEPTH_CLASSES])).alias("depth_bin")
     rows = cell_facts(t).select("cell", "date", "salinity", bins)
