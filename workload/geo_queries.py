@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from tideway.functions import calendar, grid
 from tideway.operators import environment, evaluation, joins, norms, propagation, seasons
+from tideway.operators.aggregates import bucket_first
 from tideway.operators.choices import expand_neighbors
 from tideway.operators.columns import in_box
 from tideway.operators.cube import state_space
+from tideway.operators.sampling import depth_class
 from tideway.operators.scoring import LinearModel
 from tideway.plans import depth as depth_plan
 from tideway.plans import movement as movement_plan
@@ -486,6 +488,60 @@ def depth_features(t):
     )
 
 
+@query("d_daily_depth_features", with_sql(TELEMETRY, TRACKS, VISITED) + f"""
+, firsts as (select tag_key, epoch - epoch % 900 as epoch, depth from telemetry
+  qualify row_number() over (partition by tag_key, epoch - epoch % 900 order by epoch, event_id) = 1),
+days as (select tag_key, date, {sql_cell('latitude', 'longitude')} as cell, cast(tag_key as bigint) * 7 % 24 * 1e0 as up,
+  (cast(tag_key as bigint) * 11 + day(date)) % 23 + 0.5e0 as down from tracks),
+joined as (select f.tag_key, f.epoch, {sql_edge('f.depth')} as picked, 100e0 - cell % 4000 as elevation,
+    month(date) * 1e0 as month, (floor(f.epoch % 86400 / 3600) - up + 24) % 24 as since_rise, (down - up + 24) % 24 as light
+  from firsts f join days k on k.tag_key = f.tag_key and k.date = cast(make_timestamp(f.epoch * 1000000) as date)),
+numbered as (select *, row_number() over (order by tag_key, epoch) as _decision, dense_rank() over (order by tag_key) as _individual,
+    if(since_rise < light, since_rise / light, (since_rise - light) / (24 - light)) as progress from joined),
+expanded as (select n.*, c * 1e0 as class, i from numbered n, (values {', '.join(f'({int(c)}, {i + 1})' for i, c in enumerate(environment.DEPTH_CLASSES))}) v(c, i))
+select tag_key, epoch, _individual, _decision, (_decision - 1) * {len(environment.DEPTH_CLASSES)} + i as _choice, picked = class as _selected,
+  _individual % 3 <> 0 as _train, if(since_rise < light, 1e0, 0e0) as daytime, {q6('(class - avg(class) over ()) / stddev(class) over ()')} as depth_class,
+  {q6('(progress - avg(progress) over ()) / stddev(progress) over ()')} as period_progress,
+  {q6('(elevation - avg(elevation) over ()) / stddev(elevation) over ()')} as elevation, {q6('avg(elevation) over ()')} as avg_elevation
+from expanded""")
+def daily_depth(t):
+    tag = F.col("tag_key").cast("long")
+    first = bucket_first(telemetry(t), ["tag_key"], "epoch", 900, "depth", ["event_id"])
+    readings = depth_class(first, "depth", environment.DEPTH_CLASSES, mode="edge", name="selected_depth_class")
+    days = tracks(t).select(
+        "tag_key", (F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long") * 86400).alias("day_epoch"),
+        grid.cell_of("latitude", "longitude", RES).alias("cell"), (tag * 7 % 24).cast("double").alias("sunrise"),
+        ((tag * 11 + F.dayofmonth("date")) % 23 + 0.5).cast("double").alias("sunset"),
+    )
+    elevation = visited(t).withColumn("elevation", 100.0 - F.col("cell") % 4000)
+    out = depth_plan.daily_depth_features(readings, days, elevation)
+    return out.select(
+        "tag_key", "epoch", "_individual", "_decision", F.col("_choice").cast("long").alias("_choice"), "_selected", "_train",
+        "daytime", *[r6(c).alias(c) for c in ("depth_class", "period_progress", "elevation", "avg_elevation")],
+    )
+
+
+@query("d_full_year_features", with_sql(TRACKS, VISITED, CELL_FACTS, BIN_FACTS) + f"""
+, states as (select v.cell, d.date, cast(epoch(d.date) as bigint) as epoch, 100e0 - v.cell % 4000 as elevation,
+    row_number() over (order by v.cell, d.date) as _decision from visited v, fact_days d),
+p as (select min(salinity) as lo, max(salinity) as hi, min(ln(nitrate + 0.001e0)) as nlo, max(ln(nitrate + 0.001e0)) as nhi from bin_facts
+  where cell % 3 <> 0)
+select s._decision, s.cell, s.epoch, b.depth_bin, {q6('(b.salinity - lo) / (hi - lo)')} as n_salinity,
+  {q6('(ln(b.nitrate + 0.001e0) - nlo) / (nhi - nlo)')} as n_nitrate
+from states s join bin_facts b on b.cell = s.cell and b.date = s.date, p""")
+def full_year(t):
+    spec = {"salinity": norms.MinMax(), "nitrate": norms.LogMinMax(tolerance=0.001)}
+    seen = bin_facts(t).join(bin_values(t), ["cell", "date", "depth_bin"])
+    params = materialise(norms.fit_norm(seen.filter("cell % 3 <> 0"), spec), "stored-params")
+    cells = visited(t).withColumns({"lat": grid.cell_lat("cell", RES), "lon": grid.cell_lon("cell", RES)})
+    start = 1704067200  # 2024-01-01
+    space = state_space(cells, start, start + 29 * 86400, step=86400)
+    elevation = visited(t).withColumn("elevation", 100.0 - F.col("cell") % 4000)
+    choices = depth_plan.inference_choices(space, elevation, [bin_facts(t), bin_values(t)])
+    out = depth_plan.inference_features(choices, spec, params)
+    return out.select("_decision", "cell", "epoch", "depth_bin", *[r6(f"n_{c}").alias(f"n_{c}") for c in spec])
+
+
 @query("d_depth_phases")
 def depth_phases(t):
     splits = telemetry(t).select("tag_key").distinct().withColumn("_train", F.col("tag_key").cast("long") % 3 != 0)
