@@ -21,6 +21,13 @@ def keyed_uniform(seed: int, *cols: Column | str) -> Column:
     return F.shiftrightunsigned(keyed_hash(seed, *cols), 11).cast("double") * F.lit(2.0**-53)
 
 
-def uniform_between(low: float, high: float, seed: int, *cols: Column | str) -> Column:
+def portable_uniform(seed: int, *cols: Column | str) -> Column:
+    """Uniform double in [0, 1) from an MD5 of the seed and the keys as text: other engines draw the same."""
+    text = F.concat_ws("|", F.lit(str(int(seed))), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") * F.lit(2.0**-52)
+
+
+def uniform_between(low: float, high: float, seed: int, *cols: Column | str, portable: bool = False) -> Column:
     """Uniform double in [low, high)."""
-    return F.lit(float(low)) + keyed_uniform(seed, *cols) * F.lit(float(high) - float(low))
+    draw = portable_uniform if portable else keyed_uniform
+    return F.lit(float(low)) + draw(seed, *cols) * F.lit(float(high) - float(low))

@@ -11,6 +11,7 @@ from tideway.functions.calendar import DAY, sun_phase
 from tideway.functions.scalar import epoch_date, epoch_second_of_day, within_tolerance
 from tideway.operators.aggregates import pivot_mean
 from tideway.operators.seasons import circle_columns, date_phases, sun_times
+from tideway.session import materialise
 
 
 def hypercube(
@@ -107,11 +108,15 @@ def state_space(
 ) -> DataFrame:
     """Cells by steps with sun, moon and orbit phases.
 
-    What depends on the day alone is computed before the day is cut into steps.
+    What depends on the day alone is computed before the day is cut into steps, and what depends on the date alone on
+    the days between start and end, so the spine is built once.
     """
+    spark = cells.sparkSession
+    dates = spark.range(start_epoch, end_epoch + 1, DAY).select(epoch_date("id").alias("date"))
+    dates = materialise(date_phases(dates, "date"), "dates")
     days = daily_spine(cells, start_epoch, end_epoch, [cell])
     days = days.withColumn("date", epoch_date("__day"))
-    days = date_phases(sun_times(days, lat, lon, "date", "__rise", "__set"), "date")
+    days = sun_times(days, lat, lon, "date", "__rise", "__set").join(dates, "date")
     out = day_steps(days, start_epoch, end_epoch, step, closed=closed)
     phase = sun_phase(epoch_second_of_day("epoch"), "__rise", "__set")
     return circle_columns(out.withColumn("sun_radians", phase), "sun", "moon", "orbit").drop("__rise", "__set")

@@ -12,6 +12,7 @@ from tideway.functions.normal import normal_cdf, normal_ppf
 from tideway.functions.scalar import at_least, at_most, edge_class, wrap_angle
 from tideway.operators.columns import computed
 from tideway.operators.ranking import hash_slice, rank_within
+from tideway.session import materialise
 
 
 def take_smallest(
@@ -196,6 +197,8 @@ def contrasts(
         .filter((F.col("__sel") > 0) & (F.col("__alt") > 0))
         .select(individual, decision, F.col("__alt").cast("long").alias("__alt"))
     )
+    # One narrow row per decision, written once: ranks and sizes never read the choices again.
+    usable = materialise(usable, "usable")
     ranked = rank_within(
         usable.withColumn("__order", order), [individual], ["__order", decision], "__r", parts
     ).select(individual, decision, "__alt", F.col("__r").cast("long").alias("__r"))

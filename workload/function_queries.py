@@ -111,14 +111,11 @@ def f12(t):
     return t.customer.select("c_custkey", scalar.floor_bin("c_acctbal").alias("bin"))
 
 
-@query("f13_uniform_draw")
+@query("f13_uniform_draw", f"""
+select event_id, {q6("cast('0x' || substr(md5('7|' || event_id), 1, 13) as bigint) / 4503599627370496e0 * 0.5e0 - 0.25e0")} as u from events""")
 def f13(t):
-    u = hashing.uniform_between(-0.25, 0.25, 7, "event_id")
-    rows = t.events.select("event_id", u.alias("u"))
-    return rows.agg(
-        F.count(F.lit(1)).alias("n"), F.min("u").alias("low"), F.max("u").alias("high"), F.avg("u").alias("mean"),
-        F.stddev("u").alias("sd"),
-    )
+    u = hashing.uniform_between(-0.25, 0.25, 7, "event_id", portable=True)
+    return t.events.select("event_id", r6(u).alias("u"))
 
 
 @query("f14_cast_nan_negate", """
