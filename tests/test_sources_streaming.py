@@ -84,3 +84,27 @@ def test_entry_point(spark):
 
     assert entry.entry(spark).count() == 2
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_files_are_sized_apart_from_shuffles(spark, tmp_path):
+    import glob
+
+    from tideway.sources import tables
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    df = spark.range(400_000).selectExpr("id", "sha2(cast(id as string), 256) as h").repartition(16)
+    tables.write_table(df, str(tmp_path / "t"))
+    assert len(glob.glob(str(tmp_path / "t" / "*.parquet"))) == 1 and spark.conf.get(key) == before
+
+
+def test_gzip_is_spread(spark, tmp_path):
+    import gzip
+
+    from tideway.sources import tables
+
+    path = tmp_path / "rows.csv.gz"
+    with gzip.open(path, "wt") as f:
+        f.write("k,v\n" + "".join(f"{i},{i}\n" for i in range(1000)))
+    df = tables.read_csv_keyed(spark, str(path), "k int, v int", "k", "load-1")
+    assert df.count() == 1000 and df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

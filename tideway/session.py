@@ -23,13 +23,21 @@ DEFAULTS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+#: On a cluster a shuffle starts from this many partitions, which adaptive execution merges where they are small; without
+#: it, a large shuffle never has enough of them.
+CLUSTER_DEFAULTS = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4000"}
+
 
 def build_session(app: str = "tideway", master: str | None = None, **conf: str) -> SparkSession:
-    """Create (or get) a session with the library defaults; ``conf`` overrides them."""
+    """Create (or get) a session with the library defaults; ``conf`` overrides them.
+
+    Without a master, or with one that is not local, the defaults for clusters are added.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    cluster = {} if (master or "").startswith("local") else CLUSTER_DEFAULTS
+    for key, value in {**DEFAULTS, **cluster, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

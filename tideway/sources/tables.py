@@ -78,13 +78,18 @@ FILE_BYTES = "256m"
 @contextmanager
 def _file_sized(spark: SparkSession):
     """While a table is written, partitions are merged and split to the size of files."""
-    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, FILE_BYTES)
+    sized = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": FILE_BYTES,
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    before = {k: spark.conf.get(k) for k in sized}
     try:
+        for k, v in sized.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def _even_files(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
