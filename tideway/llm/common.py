@@ -43,3 +43,10 @@ def shield(df: DataFrame, prefix: str):
     """
     away = {c: f"own {c}" for c in df.columns if c.lower().startswith(prefix)}
     return (df.withColumnsRenamed(away) if away else df), lambda out: out.withColumnsRenamed({v: k for k, v in away.items()}) if away else out
+
+
+def set_aside(df: DataFrame, *names: str):
+    """(``df`` with columns called like ``names`` renamed, a function that names them back)."""
+    taken = {n.lower() for n in names}
+    away = {c: f"aside {c}" for c in df.columns if c.lower() in taken}
+    return (df.withColumnsRenamed(away) if away else df), lambda out: out.drop(*away).withColumnsRenamed({v: k for k, v in away.items()}) if away else out
