@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideway.llm.common import without
+from tideway.llm.common import shield, without
 from tideway.llm.components import connected_components
 from tideway.session import materialise
 
 #: Mean fingerprints wanted in the largest subtree of a task, and the deepest cut of the trie.
 SUBTREE, DEEPEST = 20_000, 16
 #: Pairs of trie nodes handled at a time, and the product of sizes below which two nodes are compared directly.
-FRONTIER, LEAF = 50_000, 64
+FRONTIER, LEAF = 50_000, 32
 FP = "_sh_fp"
 
 
@@ -127,14 +127,16 @@ def trie_links(a: np.ndarray, b: np.ndarray, depth: int, errors: int, budget: in
         low = ~np.uint64((int(bit) << 1) - 1)
         mid1 = np.searchsorted(a, (a[lo1] & low) | bit)
         mid2 = np.searchsorted(b, (b[lo2] & low) | bit)
+        below = []
         for left1, right1, left2, right2, more in (
             (lo1, mid1, lo2, mid2, 0), (mid1, hi1, mid2, hi2, 0), (lo1, mid1, mid2, hi2, 1), (mid1, hi1, lo2, mid2, 1)
         ):
             live = (left1 < right1) & (left2 < right2) & (err + more <= budget)
             if same:
                 live &= left1 <= left2  # the mirrored pair is met elsewhere
-            if live.any():
-                stack.append((d + 1, left1[live], right1[live], left2[live], right2[live], err[live] + more))
+            below.append((left1[live], right1[live], left2[live], right2[live], err[live] + more))
+        # One wide step per level; the stack only cuts steps that are too wide.
+        stack.append((d + 1, *map(np.concatenate, zip(*below))))
 
 
 def trie_self_join(distinct: DataFrame, budget: int = 2) -> DataFrame:
@@ -206,19 +208,21 @@ def simhash_groups(
     ids in it are null. ``kept`` marks one row per component: the smallest id (null last), and of rows that repeat it
     the first in stored order. An empty table gives an empty result. Columns of ``df`` named like an added one are replaced. ``carry=False`` returns the id and the added columns only.
     """
-    df = without(df, "fingerprint", "component_id", "kept")
+    df, back = shield(without(df, "fingerprint", "component_id", "kept"), "_sh_")
     own = list(df.columns) if carry else [id_col]
     stored, groups, first = _stored_groups(df, id_col, text_col, width, budget, own)
     out = stored.join(groups, FP).join(first.withColumn("_sh_first", F.lit(True)), "_sh_row", "left")
-    return out.select(
+    out = out.select(
         *[F.col(f"`{c}`") for c in own],
         F.lower(F.lpad(F.hex(FP), 16, "0")).alias("fingerprint"),
         "component_id",
         F.coalesce("_sh_first", F.lit(False)).alias("kept"),
     )
+    return back(out)
 
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
     """The rows of ``df`` that stay: one per component, as marked by ``kept`` of ``simhash_groups``; same columns."""
+    df, back = shield(df, "_sh_")
     stored, _, first = _stored_groups(df, id_col, text_col, width, budget, list(df.columns))
-    return stored.join(first, "_sh_row", "left_semi").drop("_sh_row", FP)
+    return back(stored.join(first, "_sh_row", "left_semi").drop("_sh_row", FP))
