@@ -21,8 +21,8 @@ class Shape:
     symbols: int = 4096
     classes: int = 64
     width: int = 16
-    window: int = 32
-    stride: int = 26
+    window: int = 24
+    stride: int = 20
     buckets: int = 256
 
 
@@ -125,19 +125,29 @@ def _mask(t: int) -> np.ndarray:
     return np.where(np.tri(t, dtype=bool), 0.0, -1e9).astype(np.float32)
 
 
-def forward(w: dict[str, np.ndarray], symbols: np.ndarray):
-    """Logits over classes (window, position, class) of what follows each symbol, and what the gradient needs."""
+def attend(w: dict[str, np.ndarray], symbols: np.ndarray):
+    """State after each symbol (window, position, width), and what the gradient needs."""
     x = w["emb"][symbols] + w["pos"][: symbols.shape[1]]
-    q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
+    q, k, v = x @ (w["q"] * np.float32(x.shape[2] ** -0.5)), x @ w["k"], x @ w["v"]
     a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(x.shape[2] ** -0.5)
     a += _mask(symbols.shape[1])
     np.exp(np.minimum(a, 30.0, out=a), out=a)  # bounded, so no maximum has to be taken out
-    a /= a.sum(axis=2, keepdims=True)
+    total = a.sum(axis=2, keepdims=True)
     z = a @ v
-    h = x + z @ w["o"]
+    z /= total
+    return x + z @ w["o"], (x, q, k, v, a, total, z)
+
+
+def classes(w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Logits of the class of the next id, bounded above."""
     logits = h @ w["out"] + w["bias"]
-    return np.minimum(logits, 60, out=logits), (x, q, k, v, a, z, h)
+    return np.minimum(logits, 60, out=logits)
+
+
+def forward(w: dict[str, np.ndarray], symbols: np.ndarray):
+    """Logits over classes (window, position, class) of what follows each symbol, and what the gradient needs."""
+    h, (x, q, k, v, a, total, z) = attend(w, symbols)
+    return classes(w, h), (x, q, k, v, a / total, z, h)
 
 
 def log_classes(logits: np.ndarray) -> np.ndarray:
@@ -163,8 +173,8 @@ def gradients(w: dict[str, np.ndarray], symbols: np.ndarray, target: np.ndarray,
     dz = dh @ w["o"].T
     da = dz @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dz
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(d**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    dq, dk = ds @ k * np.float32(d**-0.5), ds.transpose(0, 2, 1) @ q  # q holds the scale already
     g["q"], g["k"], g["v"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
     dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
     g["pos"] = np.zeros_like(w["pos"])
@@ -230,9 +240,12 @@ def score(model: Model, docs: list[np.ndarray], start_id: int, batch: int = 256)
     total = np.zeros(len(docs))
     for at in range(0, len(inp), batch):
         cut = slice(at, at + batch)
-        logits, _ = forward(model.weights, model.symbol[inp[cut]])
-        cls = model.cls[out[cut]]
-        logp = np.take_along_axis(logits, cls[..., None], axis=2)[..., 0] - log_classes(logits)
-        logp = np.where(scored[cut], logp + model.inside[out[cut], bucket_of(inp[cut], model.shape)], 0.0).sum(axis=1)
-        total += np.bincount(doc[cut], logp, len(docs))
+        h, _ = attend(model.weights, model.symbol[inp[cut]])
+        # Only the positions that are scored here go on to the classes.
+        row, col = np.nonzero(scored[cut])
+        before, now = inp[cut][row, col], out[cut][row, col]
+        logits = classes(model.weights, h[row, col])
+        logp = logits[np.arange(len(row)), model.cls[now]] - log_classes(logits)
+        logp = logp + model.inside[now, bucket_of(before, model.shape)]
+        total += np.bincount(doc[cut][row], logp, len(docs))
     return total / np.log(10)

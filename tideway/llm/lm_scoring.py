@@ -10,6 +10,7 @@ shuffled to meet their counts.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,19 +21,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideway.llm import lm
-from tideway.llm.common import shield, text_of, words_of
-from tideway.llm.tokens import default_vocabulary, encode
+from tideway.llm.common import shield
+from tideway.llm.tokens import default_vocabulary, fast_encoder
 from tideway.session import materialise
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The end of a text among words; no word holds a line feed.
 END_WORD = "\n"
 #: Most frequent words that every task knows; all others are joined.
 HEAD = 1 << 17
 #: Rounds of training, and of how many training texts a round takes one.
 ROUNDS, SHARE = 3, 32
-#: Texts that are cut into windows together, by their ids.
-CHUNK = 200_000
+#: Bytes of words that are encoded and cut into windows together.
+CHUNK = 500_000
+#: Distinct words a task holds before it sends their sums on, or encodes them anew.
+WORDS_HELD = 400_000
 
 
 def held_out(id_col: str, folds: int = 7, fold: int = 2) -> Column:
@@ -40,53 +42,88 @@ def held_out(id_col: str, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def word_counts(text: Column, docs: DataFrame) -> DataFrame:
-    """(word, c) over ``docs``: words in lower-case A-Z and one end per text."""
-    words = F.array_append(words_of(F.translate(text, UPPER, LOWER)), END_WORD)
-    return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+class WordIds:
+    """Subword ids of words, each as it stands after a space; frequent words are encoded once per task.
+
+    A space before a word always starts a new piece, so ids of words side by side are the ids of the text.
+    """
+
+    def __init__(self, vocabulary: tuple[str, str]) -> None:
+        self.fast = fast_encoder(vocabulary)
+        self.starts = np.array([self.fast.decode_single_token_bytes(i)[:1] == b" " for i in range(self.fast.max_token_value + 1)])
+        self.known: dict[bytes, bytes] = {}
+
+    def of(self, docs: list[list[bytes]], end_id: int) -> list[np.ndarray]:
+        """Ids of each document, with the end id."""
+        if len(self.known) > WORDS_HELD:
+            self.known.clear()
+        new = list(set().union(*docs) - self.known.keys())
+        if new:
+            ids = np.array(self.fast.encode_ordinary((b" " + b" ".join(new)).decode("utf-8", "replace")), "<u4")
+            cuts = np.flatnonzero(self.starts[ids]).tolist()
+            if len(cuts) != len(new):
+                raise AssertionError("a word's ids must start with a space")
+            data, ends = ids.tobytes(), [*cuts[1:], len(ids)]
+            self.known.update((w, data[4 * i : 4 * j]) for w, i, j in zip(new, cuts, ends))
+        end, known = np.array([end_id], "<u4").tobytes(), self.known.__getitem__
+        return [np.frombuffer(b"".join(map(known, words)) + end, "<u4").astype(np.int64) for words in docs]
 
 
-def subwords(text: str | None, vocabulary: tuple[str, str], end_id: int) -> tuple[list[bytes], np.ndarray]:
-    """(lower-case words, subword ids of the words each after a space, then the end id)."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    joined = (b" " + b" ".join(words)).decode("utf-8", "replace") if words else ""
-    return words, np.append(encode(joined, vocabulary), end_id).astype(np.int64)
+def lower_words(text: str | None) -> list[bytes]:
+    """Words in lower-case A-Z."""
+    return (text or "").encode("utf-8", "replace").lower().split()
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int, vocabulary, end_id: int):
-    """Lists of (row of columns before the text, words, ids) holding about CHUNK ids."""
-    held, size = [], 0
+    """(batch, rows from, rows to, words and ids of each row): about CHUNK bytes of text at a time."""
+    encoder = WordIds(vocabulary)
     for batch in batches:
-        keys = list(zip(*[batch.column(i).to_pylist() for i in range(column)])) if column else [()] * batch.num_rows
-        for key, text in zip(keys, batch.column(column)):
-            words, ids = subwords(text.as_py(), vocabulary, end_id)
-            held.append((key, words, ids))
-            size += len(ids)
-            if size >= CHUNK:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+        docs, size, first = [], 0, 0
+        for at, text in enumerate(batch.column(column)):
+            docs.append(lower_words(text.as_py()))
+            size += sum(map(len, docs[-1]))
+            if size >= CHUNK or at + 1 == batch.num_rows:
+                yield batch, first, at + 1, docs, encoder.of(docs, end_id)
+                docs, size, first = [], 0, at + 1
 
 
-def follow_counts(texts: DataFrame, shape: lm.Shape, vocabulary, end_id: int) -> np.ndarray:
-    """Counts (id, bucket of the id before) over all texts; as large as the vocabulary, whatever the corpus."""
+def corpus_counts(texts: DataFrame, shape: lm.Shape, vocabulary, end_id: int) -> tuple[DataFrame, np.ndarray]:
+    """((word, c), counts (id, bucket of the id before)) over all texts, from one pass.
+
+    Words are in lower-case A-Z, with one end per text; a task sends its sums on whenever they fill its dictionary. The
+    second counts are as large as the vocabulary, whatever the corpus.
+    """
+
+    def sums(words: dict[bytes, int]) -> pa.RecordBatch:
+        word = pa.array(list(words), pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([word, pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names=["word", "cell", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(shape.ids * shape.buckets, np.int32)
-        for held in _chunks(batches, 0, vocabulary, end_id):
-            for _, _, ids in held:
-                before = np.concatenate(([end_id], ids[:-1]))
-                cell, n = np.unique(ids * shape.buckets + lm.bucket_of(before, shape), return_counts=True)
-                seen[cell] += n.astype(np.int32)
+        seen, words, ends = np.zeros(shape.ids * shape.buckets, np.int32), Counter(), 0
+        for *_, docs, found in _chunks(batches, 0, vocabulary, end_id):
+            for held in docs:
+                words.update(held)
+            ids = np.concatenate(found)
+            # Every text ends with the end id, which also stands before its first id.
+            before = np.concatenate(([end_id], ids[:-1]))
+            cell, n = np.unique(ids * shape.buckets + lm.bucket_of(before, shape), return_counts=True)
+            seen[cell] += n.astype(np.int32)
+            ends += len(docs)
+            if len(words) > WORDS_HELD:
+                yield sums(words)
+                words.clear()
+        yield sums({**words, **({END_WORD.encode(): ends} if ends else {})})
         cell = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(cell, pa.int64()), "n": pa.array(seen[cell], pa.int64())})
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(cell), pa.string()), pa.array(cell, pa.int64()), pa.array(seen[cell], pa.int64())], names=["word", "cell", "n"]
+        )
 
-    cells = texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    found = materialise(cells, "follow").toArrow()
+    stored = materialise(texts.mapInArrow(run, "word string, cell long, n long"), "counts")
+    words = stored.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c"))
+    found = stored.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     follow = np.zeros(shape.ids * shape.buckets, np.float32)
     follow[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return follow.reshape(shape.ids, shape.buckets)
+    return materialise(words, "words"), follow.reshape(shape.ids, shape.buckets)
 
 
 def _flat(weights: dict[str, np.ndarray]) -> bytes:
@@ -109,10 +146,9 @@ def train_round(model: lm.Model, texts: DataFrame, nth: int, vocabulary, end_id:
         mine = sent.value
         weights = {k: v.copy() for k, v in mine.weights.items()}
         opt, n = lm.Adam(weights, rate), 0
-        for held in _chunks(batches, 0, vocabulary, end_id):
-            docs = [ids for _, _, ids in held]
-            lm.train(mine, docs, end_id, opt, seed=nth)
-            n += sum(map(len, docs))
+        for *_, ids in _chunks(batches, 0, vocabulary, end_id):
+            lm.train(mine, ids, end_id, opt, seed=nth)
+            n += sum(map(len, ids))
         if n:
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([float(n)]),
@@ -138,12 +174,10 @@ def train_round(model: lm.Model, texts: DataFrame, nth: int, vocabulary, end_id:
         model.weights = _unflat(flat.astype("<f4").tobytes(), model.weights)
 
 
-def fit(texts: DataFrame, key: Column, vocabulary=None, end_id: int = 50256, shape: lm.Shape = lm.Shape(), rounds: int = ROUNDS,
+def fit(texts: DataFrame, key: Column, follow: np.ndarray, vocabulary, end_id: int, shape: lm.Shape, rounds: int = ROUNDS,
         share: int = SHARE, rate: float = 0.01) -> lm.Model:
-    """The model of ``texts`` (one column, text); ``key`` deals texts to the rounds."""
-    vocabulary = vocabulary or default_vocabulary()
-    text = texts.select("text")
-    model = lm.start_model(follow_counts(text, shape, vocabulary, end_id), shape)
+    """The model of ``texts`` (text) with its counts ``follow``; ``key`` deals texts to the rounds."""
+    model = lm.start_model(follow, shape)
     deal = F.pmod(F.xxhash64(F.lit(11), key), F.lit(share))
     for nth in range(rounds):
         train_round(model, texts.filter(deal == nth).select("text"), nth, vocabulary, end_id, rate / (1 + nth))
@@ -169,12 +203,12 @@ def score_texts(
     own = [c if c in df.columns else f"own {c}" for c in keep if c.lower() not in added]
     training = df.filter(~held_out(id_col)).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
-    words = materialise(word_counts(text_of("text"), training), "words")
+    words, follow = corpus_counts(training.select("text"), shape, vocabulary, end_id)
     n, v = words.agg(F.sum("c"), F.count("*")).first()
     n = n or 0
     top = words.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()  # a fixed number; the rest is joined below
     head = dict(zip((w.encode("utf-8", "replace") for w in top.column("word").to_pylist()), top.column("c").to_pylist()))
-    model = fit(training, F.col("id"), vocabulary, end_id, shape, rounds, share)
+    model = fit(training, F.col("id"), follow, vocabulary, end_id, shape, rounds, share)
     known, learned = spark.sparkContext.broadcast(head), spark.sparkContext.broadcast(model)
 
     schema = T.StructType(
@@ -187,25 +221,21 @@ def score_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, mine = known.value, learned.value
         end_count = counts.get(END_WORD.encode(), 0)
-        for batch in batches:
-            at = 0
-            for held in _chunks(iter([pa.RecordBatch.from_arrays([batch.column(batch.num_columns - 1)], names=["t"])]), 0, vocabulary, end_id):
-                rows = batch.slice(at, len(held))
-                at += len(held)
-                tokens, met, base, rest = [], [], [], []
-                for _, found, _ in held:
-                    got = [counts.get(w, 0) for w in found]
-                    c = np.array([*got, end_count], np.float64)
-                    tokens.append(len(c))
-                    met.append(int((c > 0).sum()))
-                    base.append(float(np.log10(c + 1).sum()))
-                    rest.append([w.decode("utf-8", "replace") for w, x in zip(found, got) if not x])
-                scores = lm.score(mine, [ids for _, _, ids in held], end_id)
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns[:-1], pa.array(tokens, pa.int64()), pa.array(met, pa.int64()), pa.array(base, pa.float64()),
-                     pa.array(scores, pa.float64()), pa.array(rest, pa.list_(pa.string()))],
-                    names=schema.names,
-                )
+        for batch, first, last, docs, ids in _chunks(batches, len(own), vocabulary, end_id):
+            rows = batch.slice(first, last - first)
+            tokens, met, base, rest = [], [], [], []
+            for found in docs:
+                got = [counts.get(w, 0) for w in found]
+                c = np.array([*got, end_count], np.float64)
+                tokens.append(len(c))
+                met.append(int((c > 0).sum()))
+                base.append(float(np.log10(c + 1).sum()))
+                rest.append([w.decode("utf-8", "replace") for w, x in zip(found, got) if not x])
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns[:-1], pa.array(tokens, pa.int64()), pa.array(met, pa.int64()), pa.array(base, pa.float64()),
+                 pa.array(lm.score(mine, ids, end_id), pa.float64()), pa.array(rest, pa.list_(pa.string()))],
+                names=schema.names,
+            )
 
     scored = source.mapInArrow(run, schema).withColumn("_lm_row", F.monotonically_increasing_id())
     scored = materialise(scored, "scored")

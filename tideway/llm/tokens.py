@@ -41,3 +41,8 @@ def encode(text: str, vocabulary: tuple[str, str]) -> np.ndarray:
     if any(x in text for x in added):
         return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4")
     return np.array(fast.encode_ordinary(text), "<u4")
+
+
+def fast_encoder(vocabulary: tuple[str, str]):
+    """The encoder of the rank file, to which strings of added tokens are ordinary text."""
+    return _load(*vocabulary)[0]
