@@ -19,7 +19,7 @@ class Shape:
 
     ids: int = 50257
     symbols: int = 4096
-    classes: int = 64
+    classes: int = 48
     width: int = 16
     window: int = 24
     stride: int = 20

@@ -34,7 +34,7 @@ ROUNDS, SHARE = 3, 32
 #: Bytes of words that are encoded and cut into windows together.
 CHUNK = 500_000
 #: Distinct words a task holds before it sends their sums on, or encodes them anew.
-WORDS_HELD = 400_000
+WORDS_HELD = 200_000
 
 
 def held_out(id_col: str, folds: int = 7, fold: int = 2) -> Column:
@@ -57,7 +57,7 @@ class WordIds:
         """Ids of each document, with the end id."""
         if len(self.known) > WORDS_HELD:
             self.known.clear()
-        new = list(set().union(*docs) - self.known.keys())
+        new = [w for w in set().union(*docs) if w not in self.known]
         if new:
             ids = np.array(self.fast.encode_ordinary((b" " + b" ".join(new)).decode("utf-8", "replace")), "<u4")
             cuts = np.flatnonzero(self.starts[ids]).tolist()
