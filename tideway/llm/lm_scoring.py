@@ -31,10 +31,10 @@ END_WORD = "\n"
 HEAD = 1 << 17
 #: Rounds of training, and of how many training texts a round takes one.
 ROUNDS, SHARE = 3, 32
-#: Bytes of words that are encoded and cut into windows together.
-CHUNK = 500_000
-#: Distinct words a task holds before it sends their sums on, or encodes them anew.
-WORDS_HELD = 200_000
+#: Bytes of ids that are cut into windows together.
+CHUNK = 800_000
+#: Distinct words a task holds before it sends their sums on.
+WORDS_HELD = 400_000
 
 
 def held_out(id_col: str, folds: int = 7, fold: int = 2) -> Column:
@@ -42,52 +42,48 @@ def held_out(id_col: str, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-class WordIds:
-    """Subword ids of words, each as it stands after a space; frequent words are encoded once per task.
+def lower_words(text: str | None) -> list[bytes]:
+    """Words in lower-case A-Z."""
+    return (text or "").encode("utf-8", "replace").lower().split()
 
-    A space before a word always starts a new piece, so ids of words side by side are the ids of the text.
-    """
 
-    def __init__(self, vocabulary: tuple[str, str]) -> None:
-        self.fast = fast_encoder(vocabulary)
-        self.starts = np.array([self.fast.decode_single_token_bytes(i)[:1] == b" " for i in range(self.fast.max_token_value + 1)])
-        self.known: dict[bytes, bytes] = {}
-
-    def of(self, docs: list[list[bytes]], end_id: int) -> list[np.ndarray]:
-        """Ids of each document, with the end id."""
-        if len(self.known) > WORDS_HELD:
-            self.known.clear()
-        new = [w for w in set().union(*docs) if w not in self.known]
-        if new:
-            ids = np.array(self.fast.encode_ordinary((b" " + b" ".join(new)).decode("utf-8", "replace")), "<u4")
-            cuts = np.flatnonzero(self.starts[ids]).tolist()
-            if len(cuts) != len(new):
-                raise AssertionError("a word's ids must start with a space")
-            data, ends = ids.tobytes(), [*cuts[1:], len(ids)]
-            self.known.update((w, data[4 * i : 4 * j]) for w, i, j in zip(new, cuts, ends))
-        end, known = np.array([end_id], "<u4").tobytes(), self.known.__getitem__
-        return [np.frombuffer(b"".join(map(known, words)) + end, "<u4").astype(np.int64) for words in docs]
+def subword_ids(text: str | None, vocabulary: tuple[str, str], end_id: int) -> np.ndarray:
+    """Subword ids of the words, each after a space, then the end id; strings of added tokens are ordinary text."""
+    joined = b"".join(b" " + w for w in lower_words(text)).decode("utf-8", "replace")
+    return np.array([*fast_encoder(vocabulary).encode_ordinary(joined), end_id], "<u4")
 
 
-def lower_words(text: str | None) -> list[bytes]:
-    """Words in lower-case A-Z."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+def encoded(df: DataFrame, own: list[str], text_col: str, vocabulary: tuple[str, str], end_id: int) -> DataFrame:
+    """``own`` columns, the text and its subword ids (uint32, little-endian), written once; nothing is encoded twice."""
+    schema = T.StructType(
+        [df.schema[c] for c in own] + [T.StructField("_lm_text", T.StringType()), T.StructField("_lm_ids", T.BinaryType())]
+    )
+    source = df.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text_col}`").cast("string").alias("_lm_text"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                rows = batch.slice(at, 512)
+                ids = [subword_ids(x.as_py(), vocabulary, end_id).tobytes() for x in rows.column(rows.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.binary())], names=schema.names)
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int, vocabulary, end_id: int):
-    """(batch, rows from, rows to, words and ids of each row): about CHUNK bytes of text at a time."""
-    encoder = WordIds(vocabulary)
+    return materialise(source.mapInArrow(run, schema), "encoded", compression="zstd")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """(rows, ids of each row), about CHUNK bytes of ids at a time; the ids are the last column."""
     for batch in batches:
-        docs, size, first = [], 0, 0
-        for at, text in enumerate(batch.column(column)):
-            docs.append(lower_words(text.as_py()))
-            size += sum(map(len, docs[-1]))
+        ids, size, first = [], 0, 0
+        for at, data in enumerate(batch.column(batch.num_columns - 1)):
+            raw = data.as_buffer()
+            ids.append(np.frombuffer(raw, "<u4").astype(np.int64))
+            size += raw.size
             if size >= CHUNK or at + 1 == batch.num_rows:
-                yield batch, first, at + 1, docs, encoder.of(docs, end_id)
-                docs, size, first = [], 0, at + 1
+                yield batch.slice(first, at + 1 - first), ids
+                ids, size, first = [], 0, at + 1
 
 
-def corpus_counts(texts: DataFrame, shape: lm.Shape, vocabulary, end_id: int) -> tuple[DataFrame, np.ndarray]:
+def corpus_counts(texts: DataFrame, shape: lm.Shape, end_id: int) -> tuple[DataFrame, np.ndarray]:
     """((word, c), counts (id, bucket of the id before)) over all texts, from one pass.
 
     Words are in lower-case A-Z, with one end per text; a task sends its sums on whenever they fill its dictionary. The
@@ -100,15 +96,15 @@ def corpus_counts(texts: DataFrame, shape: lm.Shape, vocabulary, end_id: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, words, ends = np.zeros(shape.ids * shape.buckets, np.int32), Counter(), 0
-        for *_, docs, found in _chunks(batches, 0, vocabulary, end_id):
-            for held in docs:
-                words.update(held)
+        for rows, found in _chunks(batches):
+            for text in rows.column(0):
+                words.update(lower_words(text.as_py()))
             ids = np.concatenate(found)
             # Every text ends with the end id, which also stands before its first id.
             before = np.concatenate(([end_id], ids[:-1]))
             cell, n = np.unique(ids * shape.buckets + lm.bucket_of(before, shape), return_counts=True)
             seen[cell] += n.astype(np.int32)
-            ends += len(docs)
+            ends += len(found)
             if len(words) > WORDS_HELD:
                 yield sums(words)
                 words.clear()
@@ -138,7 +134,7 @@ def _unflat(data: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def train_round(model: lm.Model, texts: DataFrame, nth: int, vocabulary, end_id: int, rate: float) -> None:
+def train_round(model: lm.Model, texts: DataFrame, nth: int, end_id: int, rate: float) -> None:
     """One round: every task trains from the same weights on its texts; the means, weighted by ids, become the weights."""
     sent = texts.sparkSession.sparkContext.broadcast(model.without_counts())
 
@@ -146,7 +142,7 @@ def train_round(model: lm.Model, texts: DataFrame, nth: int, vocabulary, end_id:
         mine = sent.value
         weights = {k: v.copy() for k, v in mine.weights.items()}
         opt, n = lm.Adam(weights, rate), 0
-        for *_, ids in _chunks(batches, 0, vocabulary, end_id):
+        for _, ids in _chunks(batches):
             lm.train(mine, ids, end_id, opt, seed=nth)
             n += sum(map(len, ids))
         if n:
@@ -174,13 +170,13 @@ def train_round(model: lm.Model, texts: DataFrame, nth: int, vocabulary, end_id:
         model.weights = _unflat(flat.astype("<f4").tobytes(), model.weights)
 
 
-def fit(texts: DataFrame, key: Column, follow: np.ndarray, vocabulary, end_id: int, shape: lm.Shape, rounds: int = ROUNDS,
+def fit(texts: DataFrame, key: Column, follow: np.ndarray, end_id: int, shape: lm.Shape, rounds: int = ROUNDS,
         share: int = SHARE, rate: float = 0.01) -> lm.Model:
-    """The model of ``texts`` (text) with its counts ``follow``; ``key`` deals texts to the rounds."""
+    """The model of ``texts`` (_lm_ids) with its counts ``follow``; ``key`` deals texts to the rounds."""
     model = lm.start_model(follow, shape)
     deal = F.pmod(F.xxhash64(F.lit(11), key), F.lit(share))
     for nth in range(rounds):
-        train_round(model, texts.filter(deal == nth).select("text"), nth, vocabulary, end_id, rate / (1 + nth))
+        train_round(model, texts.filter(deal == nth).select("_lm_ids"), nth, end_id, rate / (1 + nth))
     return model
 
 
@@ -201,30 +197,32 @@ def score_texts(
     keep = df.columns if keep is None else keep
     df, back = shield(df, "_lm_")
     own = [c if c in df.columns else f"own {c}" for c in keep if c.lower() not in added]
-    training = df.filter(~held_out(id_col)).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    held = held_out(id_col)
+    stored = encoded(df.withColumns({"_lm_held": held, "_lm_key": F.col(f"`{id_col}`")}), [*own, "_lm_held", "_lm_key"], text_col, vocabulary, end_id)
+    training = stored.filter("not _lm_held")
 
-    words, follow = corpus_counts(training.select("text"), shape, vocabulary, end_id)
+    words, follow = corpus_counts(training.select("_lm_text", "_lm_ids"), shape, end_id)
     n, v = words.agg(F.sum("c"), F.count("*")).first()
     n = n or 0
     top = words.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()  # a fixed number; the rest is joined below
     head = dict(zip((w.encode("utf-8", "replace") for w in top.column("word").to_pylist()), top.column("c").to_pylist()))
-    model = fit(training, F.col("id"), follow, vocabulary, end_id, shape, rounds, share)
+    model = fit(training, F.col("_lm_key"), follow, end_id, shape, rounds, share)
     known, learned = spark.sparkContext.broadcast(head), spark.sparkContext.broadcast(model)
 
     schema = T.StructType(
-        [df.schema[c] for c in own]
+        [stored.schema[c] for c in [*own, "_lm_held"]]
         + [T.StructField("_lm_tokens", T.LongType()), T.StructField("_lm_known", T.LongType()), T.StructField("_lm_base", T.DoubleType()),
            T.StructField("_lm_score", T.DoubleType()), T.StructField("_lm_rest", T.ArrayType(T.StringType()))]
     )
-    source = df.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text_col}`").cast("string").alias("_lm_text"))
+    source = stored.drop("_lm_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, mine = known.value, learned.value
         end_count = counts.get(END_WORD.encode(), 0)
-        for batch, first, last, docs, ids in _chunks(batches, len(own), vocabulary, end_id):
-            rows = batch.slice(first, last - first)
+        for rows, ids in _chunks(batches):
             tokens, met, base, rest = [], [], [], []
-            for found in docs:
+            for text in rows.column(rows.num_columns - 2):
+                found = lower_words(text.as_py())
                 got = [counts.get(w, 0) for w in found]
                 c = np.array([*got, end_count], np.float64)
                 tokens.append(len(c))
@@ -232,7 +230,7 @@ def score_texts(
                 base.append(float(np.log10(c + 1).sum()))
                 rest.append([w.decode("utf-8", "replace") for w, x in zip(found, got) if not x])
             yield pa.RecordBatch.from_arrays(
-                [*rows.columns[:-1], pa.array(tokens, pa.int64()), pa.array(met, pa.int64()), pa.array(base, pa.float64()),
+                [*rows.columns[:-2], pa.array(tokens, pa.int64()), pa.array(met, pa.int64()), pa.array(base, pa.float64()),
                  pa.array(lm.score(mine, ids, end_id), pa.float64()), pa.array(rest, pa.list_(pa.string()))],
                 names=schema.names,
             )
@@ -247,7 +245,7 @@ def score_texts(
     each = math.log10(n + v + 1)
     out = out.select(
         *[F.col(f"`{c}`") for c in own],
-        held_out(id_col).alias("held_out") if id_col in own else F.lit(None).cast("boolean").alias("held_out"),
+        F.col("_lm_held").alias("held_out"),
         F.col("_lm_tokens").alias("n_tokens"),
         (F.col("_lm_known") + F.coalesce("_lm_more", F.lit(0))).alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
