@@ -2,8 +2,8 @@
 
 Rows are range-partitioned by sampled splitters over the start of the normalised text and its hash, sorted inside each
 partition by the whole normalised text, and every row is compared in full with its neighbour. A run of equal neighbours
-keeps its smallest id. Only a text that alone exceeds an even share of one partition is cut, by a salt from the id; its
-few runs (one per salt) are then merged.
+keeps its smallest id. Only a text that alone exceeds an even share of one partition is cut, by a salt from the id; what
+its runs have in common (smallest id and size) comes from one aggregate with partial sums, of fewer texts than partitions.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def exact_dedup(
     Texts are equal when identical after white-space normalisation; a null text is the empty text. Of a group the row
     with the smallest id has ``kept``; null ids come last, and of rows that repeat an id exactly one is kept. An empty
     table gives an empty result. Columns of ``df`` named like an added one are replaced. ``carry=False`` returns the id
-    and the added columns only, which keeps texts out of the stored runs.
+    and the added columns only.
     """
     added = ("keep_id", "group_size", "kept", "text_sha256")
     n = shuffle_parts(df, parts)
@@ -51,12 +51,18 @@ def exact_dedup(
     if not carry:
         df = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     keyed = df.withColumns({START: F.substring(normalised(text_col), 1, 32), HASH: F.xxhash64(normalised(text_col))})
-    salted = keyed.join(F.broadcast(_hot_hashes(keyed, text_col, n)), HASH, "left").withColumn(
-        SALT, F.when(F.col("_xd_hot"), F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(n)).cast("int")).otherwise(-1)
+    hot = materialise(_hot_hashes(keyed, text_col, n), "hot-texts")
+    row_id = F.col(f"`{id_col}`")
+    # Fewer than n hashes, so fewer rows than partitions but for collisions.
+    cut = keyed.join(F.broadcast(hot), HASH).groupBy(normalised(text_col).alias(NORM)).agg(
+        F.min(row_id).alias("_xd_keep"), F.count(F.lit(1)).alias("_xd_size")
+    ).select(F.sha2(NORM, 256).alias("text_sha256"), "_xd_keep", "_xd_size")
+    cut = materialise(cut, "cut-texts")
+    salted = keyed.join(F.broadcast(hot), HASH, "left").withColumn(
+        SALT, F.when(F.col("_xd_hot"), F.pmod(F.xxhash64(row_id), F.lit(n)).cast("int")).otherwise(-1)
     )
     # Window keys that contain the range keys need no further exchange.
     dealt = salted.repartitionByRange(n, START, HASH, SALT).withColumn(NORM, normalised(text_col))
-    row_id = F.col(f"`{id_col}`")
     content = Window.partitionBy(START, HASH, SALT).orderBy(F.col(NORM), row_id.asc_nulls_last())
     run = Window.partitionBy(START, HASH, SALT, NORM)
     runs = dealt.withColumns(
@@ -66,12 +72,7 @@ def exact_dedup(
             "group_size": F.count(F.lit(1)).over(run),
         }
     ).withColumn("text_sha256", F.sha2(NORM, 256))
-    runs = runs.select(*[F.col(f"`{c}`") for c in own], "keep_id", "group_size", "text_sha256", FIRST, SALT)
-    runs = materialise(runs, "content-runs")
-    # At most n runs for each of fewer than n cut texts.
-    cut = runs.filter((F.col(SALT) >= 0) & F.col(FIRST)).groupBy("text_sha256").agg(
-        F.min("keep_id").alias("_xd_keep"), F.sum("group_size").alias("_xd_size")
-    )
+    runs = runs.select(*[F.col(f"`{c}`") for c in own], "keep_id", "group_size", "text_sha256", FIRST)
     whole = runs.join(F.broadcast(cut), "text_sha256", "left")
     out = whole.select(
         *[F.col(f"`{c}`") for c in own],

@@ -158,7 +158,7 @@ def mix(
         F.col(f"`{source_col}`").alias("_mx_source"),
         F.col(f"`{id_col}`").alias("_mx_key"),
     )
-    stored = materialise(stored.withColumn("_mx_row", F.monotonically_increasing_id()), "sized")
+    stored = materialise(stored.withColumn("_mx_row", F.monotonically_increasing_id()), "sized", compression="zstd")
     rows = stored.select(
         F.col("_mx_row").alias("row"), F.col("_mx_key").alias("key"), "size", F.col("_mx_source").alias("source")
     )

@@ -199,20 +199,24 @@ def fit_votes(patterns: DataFrame, votes: list[str], rounds: int = 50, tolerance
 
 
 def quality(
-    df: DataFrame, text_col: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] = RULES, least: float = 0.5
+    df: DataFrame, text_col: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] = RULES, least: float = 0.5,
+    store: bool = True,
 ) -> DataFrame:
     """``keep`` (all columns by default) plus the measures, base_failed, quality and kept; one row per input row.
 
     A text fails the base rules with fewer than 20 words or with over 30 % of its words in repeated windows of eight.
     Else it is kept if its posterior probability of quality is at least ``least``. A null text is an empty one and
     fails. Ties of the vote cannot arise (a probability decides); repeated rows are judged alike; an empty table gives an
-    empty result. Columns named like an added one are replaced. The fitted accuracies are in ``quality_model``.
+    empty result. Columns named like an added one are replaced. The fitted accuracies are in ``quality_model``. With
+    ``store`` the measured rows are written once; without it the measures are computed twice and no rows are written,
+    which suits wide rows that are only filtered.
     """
-    return quality_model(df, text_col, keep, rules, least)[0]
+    return quality_model(df, text_col, keep, rules, least, store)[0]
 
 
 def quality_model(
-    df: DataFrame, text_col: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] = RULES, least: float = 0.5
+    df: DataFrame, text_col: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] = RULES, least: float = 0.5,
+    store: bool = True,
 ) -> tuple[DataFrame, VoteModel]:
     """As ``quality``, with the fitted model."""
     added = (*MEASURES, "base_failed", "quality", "kept")
@@ -229,7 +233,9 @@ def quality_model(
         (F.col("_q.lines.all") - F.col("_q.lines.unlike")).cast("long").alias("n_dup_lines"),
         F.col("_q.lines.all").cast("long").alias("n_lines"),
     )
-    voted = materialise(found.withColumns({v: r.vote() for v, r in zip(votes, rules)}), "votes")
+    voted = found.withColumns({v: r.vote() for v, r in zip(votes, rules)})
+    if store:
+        voted = materialise(voted, "votes")
     patterns = materialise(voted.groupBy(*votes).agg(F.count("*").cast("double").alias("n")), "patterns")
     model = fit_votes(patterns, votes)
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)

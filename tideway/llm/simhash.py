@@ -190,7 +190,7 @@ def near_groups(prints: DataFrame, id_col: str, budget: int = 2) -> DataFrame:
 def _stored_groups(df: DataFrame, id_col: str, text_col: str, width: int, budget: int, own: list[str]):
     """Rows with fingerprint and row number as a written table, the groups, and the row of each group that stays."""
     prints = with_fingerprint(df, text_col, FP, width, own).withColumn("_sh_row", F.monotonically_increasing_id())
-    stored = materialise(prints, "prints")
+    stored = materialise(prints, "prints", compression="zstd")
     row_id = F.col(f"`{id_col}`")
     groups = near_groups(stored.select(row_id.alias("id"), F.col(FP).alias("fp")), "id", budget).withColumnRenamed("fp", FP)
     order = F.struct(row_id.isNull().alias("none"), row_id.alias("id"), F.col("_sh_row").alias("row"))
