@@ -137,3 +137,16 @@ def test_score_query(spark, sf):
         assert r.base_score == pytest.approx(want[r.doc_id, texts[r.doc_id]][3])
     held = got[got.held_out]
     assert held.score.sum() > 1.6 * held.base_score.sum()  # negative numbers: not far below the word counts even when learned from little
+
+
+def test_rounds_take_every_training_text(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tideway.llm import lm_scoring
+
+    met = []
+    monkeypatch.setattr(lm_scoring, "train_round", lambda model, texts, *rest: met.extend(bytes(r[0]) for r in texts.collect()))
+    ids = {i: np.array([i, 39], "<u4").tobytes() for i in range(39)}
+    df = spark.createDataFrame(list(ids.items()), "_lm_key int, _lm_ids binary")
+    lm_scoring.fit(df, F.col("_lm_key"), np.ones((40, 4), np.float32), 39, SMALL)
+    assert sorted(met) == sorted(ids.values())

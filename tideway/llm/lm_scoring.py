@@ -2,8 +2,8 @@
 
 Counts of words and of subword ids cover every training text. The attention weights start from one draw and are trained in
 rounds: in each, every task trains on its own training texts of the round and the weights are averaged, first in groups,
-then at the driver (weights have a fixed size). Each round takes a fixed share of the training texts, chosen by hash, so
-what is learned from grows with the corpus. Texts are scored where they are; only words outside the most frequent ones are
+then at the driver (weights have a fixed size). Texts are dealt to the rounds by hash, and the rounds together take every
+training text once. Texts are scored where they are; only words outside the most frequent ones are
 shuffled to meet their counts.
 """
 
@@ -29,8 +29,8 @@ from tideway.session import materialise
 END_WORD = "\n"
 #: Most frequent words that every task knows; all others are joined.
 HEAD = 1 << 17
-#: Rounds of training, and of how many training texts a round takes one.
-ROUNDS, SHARE = 3, 32
+#: Rounds of training, and of how many training texts a round takes one; as many rounds as shares take every text.
+ROUNDS, SHARE = 3, 3
 #: Bytes of ids that are cut into windows together.
 CHUNK = 800_000
 #: Distinct words a task holds before it sends their sums on.
