@@ -150,3 +150,10 @@ def test_rounds_take_every_training_text(spark, monkeypatch):
     df = spark.createDataFrame(list(ids.items()), "_lm_key int, _lm_ids binary")
     lm_scoring.fit(df, F.col("_lm_key"), np.ones((40, 4), np.float32), 39, SMALL)
     assert sorted(met) == sorted(ids.values())
+
+
+def test_least_context_of_the_production_model():
+    shape = lm.Shape()
+    inp, out, scored, _ = lm.windows([np.arange(500)], 50256, shape)
+    col = np.nonzero(scored[1:])[1]
+    assert inp.shape[1] >= 32 and col.min() >= 8 and shape.classes >= 64

@@ -19,10 +19,10 @@ class Shape:
 
     ids: int = 50257
     symbols: int = 4096
-    classes: int = 48
+    classes: int = 64
     width: int = 16
-    window: int = 24
-    stride: int = 20
+    window: int = 32
+    stride: int = 24
     buckets: int = 256
 
 
