@@ -140,6 +140,20 @@ def test_main_text_without_an_article():
     assert main_text(page) == " ".join(["Head", "Short.", *[plain] * 4, "End."])
 
 
+def test_main_text_of_several_regions():
+    said = [f"A long paragraph number {i} of running text that says something to the reader, and then says more." for i in range(6)]
+    p = [f"<p>{x}</p>" for x in said]
+    menu = "<div class=top><a href=1>Home</a> <a href=2>News</a></div><div><a href=3>One</a><br><a href=4>Two</a></div>"
+    whole = " ".join(["Title", *said])
+    sections = f"<div id=content><h1>Title</h1><section>{''.join(p[:4])}</section><section>{''.join(p[4:])}</section></div>"
+    for page in (sections, menu + sections, f"<body>{menu}{sections}</body>"):
+        assert main_text(page) == whole
+    assert main_text(f"{menu}<article>{''.join(p[:4])}</article><article>{''.join(p[4:])}</article>") == " ".join(said)
+    for mark in ("post has-sidebar", "category-notices", "post has-header"):
+        assert main_text(f"{menu}<article class='{mark}'><h1>Title</h1>{''.join(p)}</article>") == whole
+    assert main_text(f"<article>{''.join(p)}<article class=comment><p>{said[0]} reader</p></article></article>") == " ".join(said)
+
+
 def test_html_query(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in QUERIES["op3_html_text"](spark, sf).collect():

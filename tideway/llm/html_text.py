@@ -2,8 +2,8 @@
 
 The standard-library parser reports tags and text; they become lines (blocks) with their text, their number of tags and the
 elements around them. Lines inside menus, forms, adverts and the like count as empty. The text-to-tag ratio of the lines is
-smoothed with a Gaussian and split by a threshold; the element that holds most of the text above the threshold (an article
-or main element if there is one) is the content, and all its lines that are not boilerplate are returned.
+smoothed with a Gaussian and split by a threshold; every element with text above the threshold (each article or main
+element if there is one, else what contains them all) is content, and all its lines that are not boilerplate are returned.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ MARKS = frozenset(
     "navigation breadcrumb breadcrumbs footer contentinfo comment comments commentlist respond replies disqus "
     "related recommended share sharing social widget toolbar login signin signup pagination pager search form".split()
 )
+#: Those that mark an article element too; its other class words tell of the page around it.
+REPLIES = frozenset("comment comments commentlist respond replies disqus".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 MAIN = frozenset(("article", "main"))
 #: Start tags that end an open element of the same family (and, for the blocks above, an open paragraph).
@@ -62,14 +64,15 @@ class Line:
     tags: int
     inside: tuple[int, ...]
     kept: bool
+    heading: bool
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+def _marked(attrs: list[tuple[str, str | None]], marks: frozenset[str] = MARKS) -> tuple[bool, bool]:
     """(boilerplate, page header) by attributes."""
     told = dict(attrs)
     words = re.split(r"[^a-z0-9]+", " ".join(told.get(k) or "" for k in ("class", "id", "role")).lower())
     hidden = "hidden" in told or told.get("aria-hidden") == "true" or "display:none" in (told.get("style") or "").replace(" ", "")
-    return hidden or not MARKS.isdisjoint(words), "header" in words or "masthead" in words
+    return hidden or not marks.isdisjoint(words), "header" in words or "masthead" in words
 
 
 @dataclass
@@ -92,8 +95,9 @@ class Lines(HTMLParser):
             inside = tuple(e.number for e in self.open if e.tag in BLOCK)
             dropped = any(e.dropped for e in self.open)
             in_header = any(e.header for e in self.open)
-            title = any(e.tag in HEADINGS for e in self.open) and any(e.tag in MAIN for e in self.open)
-            self.lines.append(Line(text, self.tags, inside, not dropped and (title or not in_header)))
+            heading = any(e.tag in HEADINGS for e in self.open)
+            title = heading and any(e.tag in MAIN for e in self.open)
+            self.lines.append(Line(text, self.tags, inside, not dropped and (title or not in_header), heading))
             self.tags = 0
         self.texts = []
 
@@ -116,7 +120,8 @@ class Lines(HTMLParser):
             self._flush()
         if tag in VOID:
             return
-        marked, header = _marked(attrs) if attrs else (False, False)
+        marked, header = _marked(attrs, REPLIES if tag == "article" else MARKS) if attrs else (False, False)
+        header = header and tag != "article"
         if tag in ("html", "body") or tag in MAIN and tag == "main":
             marked = header = False
         self.count += 1
@@ -160,7 +165,7 @@ def smooth(values: list[float], sigma: float = 1.0) -> list[float]:
 
 
 def content_lines(lines: list[Line], main: dict[int, str], sigma: float = 1.0) -> list[Line]:
-    """Lines of the element with most text in the cluster of high smoothed ratios, less boilerplate."""
+    """Lines of the elements with text in the cluster of high smoothed ratios, less boilerplate."""
     kept = [x for x in lines if x.kept]
     if not kept:
         return []
@@ -168,16 +173,25 @@ def content_lines(lines: list[Line], main: dict[int, str], sigma: float = 1.0) -
     mean = sum(ratios) / len(ratios)
     threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     dense = [x for x, r in zip(lines, ratios) if x.kept and r >= threshold] or kept
-    mass: dict[int, int] = {}
-    for x in dense:
-        semantic = [n for n in x.inside if n in main]
-        # Without an article the line speaks for the element right around its own block.
-        for n in semantic[-1:] or ([] if main else x.inside[-2:-1]):
-            mass[n] = mass.get(n, 0) + len(x.text)
-    if not mass:
-        return kept if not main else [x for x in kept if any(n in main for n in x.inside)] or kept
-    best = max(mass, key=lambda n: (mass[n], -n))
-    return [x for x in kept if best in x.inside]
+    if main:
+        # Each article speaks for itself, so several are content side by side.
+        regions = {n for x in dense for n in [n for n in x.inside if n in main][-1:]} or set(main)
+        return [x for x in kept if not regions.isdisjoint(x.inside)] or kept
+    # Without an article a line speaks for the element right around its own block, unless only its neighbours are dense.
+    own = [x for x in dense if len(x.text) / max(1, x.tags) >= threshold] or dense
+    around = [x.inside[:-1] for x in own]
+    shared = 0
+    while all(len(a) > shared and a[shared] == around[0][shared] for a in around):
+        shared += 1
+    if shared and any(around[0][shared - 1] not in x.inside for x in lines):
+        return [x for x in kept if around[0][shared - 1] in x.inside]
+    # What contains them all is the whole page: each of them, and the headings.
+    page = set(around[0][:shared])
+    regions = {a[-1] for a in around if a} - page
+    own_ids = {id(x) for x in own if not x.inside[:-1] or x.inside[-2] in page}
+    if not regions:
+        return kept
+    return [x for x in kept if x.heading or id(x) in own_ids or not regions.isdisjoint(x.inside)]
 
 
 def main_text(html: str | None, sigma: float = 1.0) -> str:
