@@ -50,3 +50,19 @@ def set_aside(df: DataFrame, *names: str):
     taken = {n.lower() for n in names}
     away = {c: f"aside {c}" for c in df.columns if c.lower() in taken}
     return (df.withColumnsRenamed(away) if away else df), lambda out: out.drop(*away).withColumnsRenamed({v: k for k, v in away.items()}) if away else out
+
+
+def numbered(df: DataFrame, keep, **own: Column):
+    """(columns of ``df`` named in ``keep`` as c0, c1, ... beside the ``own`` ones, function from them to select expressions).
+
+    Whatever the caller's columns are called, they never meet a working column.
+    """
+    names = list(keep if keep is not None else df.columns)
+    inside = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], *[c.alias(n) for n, c in own.items()])
+
+    def back(*taken: str) -> list[Column]:
+        """The caller's columns under their names, less those named like a new one."""
+        new = {n.lower() for n in taken}
+        return [F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c.lower() not in new]
+
+    return inside, back

@@ -161,3 +161,85 @@ def op2_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     from tideway.llm.lm_scoring import score_texts
 
     return score_texts(table(spark, folder, "documents"), keep=["doc_id"])
+
+
+OP13_SQL = r"""
+with recursive steps as (
+  select i, i as c, 0 as k from range(256) t(i)
+  union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from steps where k < 8
+), crc_table as (select list(c order by i) as t from steps where k = 8),
+texts as (
+  select 0 as side, doc_id, row_number() over () as r, text from documents
+  union all select 1, null, row_number() over (), text from benchmark
+), cut as (
+  select side, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from texts
+), words as (select side, r, unnest(ws) as w from cut),
+vocabulary as (select distinct w, hex(encode(w)) as h from words),
+bucketed as (
+  select w, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as bucket from vocabulary, crc_table
+), counted as (
+  select bucket, count(*) filter (side = 0) as s, count(*) filter (side = 1) as t from words join bucketed using (w) group by bucket
+), sums as (select sum(s)::double as big_s, sum(t)::double as big_t from counted),
+gains as (select bucket, floor(1000 * ln((t + 1.0)::double * (big_s + 10000) / ((s + 1.0)::double * (big_t + 10000))))::bigint as gain from counted, sums),
+weighed as (
+  select r, count(*) as n, floor(sum(gain)::double / count(*))::bigint as weight
+  from words join bucketed using (w) join gains using (bucket) where side = 0 group by r
+), scored as (
+  select doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5)::double / 4294967296)))::bigint as score
+  from cut left join weighed using (r) where side = 0
+), ranked as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from scored where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= 10 * n // 100 then rank end as rank from scored left join ranked using (doc_id)
+"""
+
+
+@register("op13_resampling", OP13_SQL)
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its weight towards the benchmark's words, and the rank of the drawn tenth."""
+    from tideway.llm.resampling import resample
+
+    return resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), keep=["doc_id"])
+
+
+def _op12_sql() -> str:
+    """Four rounds of assignment and floored means, unrolled."""
+    steps = """
+with kept as materialized (
+  select vec_id, label, row_number() over (order by vec_id) as r, list_transform(embedding, lambda x: floor(1024 * x::double)) as v
+  from embeddings where len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+), parts as materialized (
+  select r, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] as v from kept, range(4) t(p)
+), book0 as (select p, r - 1 as e, v from parts where r <= 256)"""
+    for n in range(5):
+        steps += f""", near{n} as materialized (
+  select r, p, any_value(a.v) as v, min(struct_pack(d := list_dot_product(a.v, a.v) - 2 * list_dot_product(a.v, b.v) + list_dot_product(b.v, b.v), e := b.e)) as best
+  from parts a join book{n} b using (p) group by r, p
+)"""
+        if n < 4:
+            steps += f""", mean{n} as (
+  select p, e, list(m order by i) as v from (
+    select p, best.e as e, i, floor(sum(v[i]) / count(*)) as m from near{n}, range(1, 513) t(i) where i <= len(v) group by p, best.e, i
+  ) group by p, e
+), book{n + 1} as materialized (select p, b.e, coalesce(m.v, b.v) as v from book{n} b left join mean{n} m using (p, e))"""
+    return steps + """
+, coded as (
+  select r, string_agg(lower(lpad(to_hex(best.e), 2, '0')), '' order by p) as code, sum(best.d)::bigint as error from near4 group by r
+), hashed as (
+  select sha256(string_agg(x::bigint::varchar, ',' order by p, e, i)) as h
+  from (select p, e, unnest(v) as x, generate_subscripts(v, 1) as i from book4)
+)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, h as codebooks_sha256
+from kept join coded using (r), hashed
+"""
+
+
+@register("op12_vector_codes", _op12_sql())
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable vector with its code, its error, the error of its label, and the digest of the codebooks."""
+    from tideway.llm.vector_codes import compress, with_group_error
+
+    coded, books = compress(table(spark, folder, "embeddings"), keep=["vec_id", "label"])
+    out = with_group_error(coded, "label", "label_error").withColumn("codebooks_sha256", F.lit(books.digest()))
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
