@@ -243,3 +243,30 @@ def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     coded, books = compress(table(spark, folder, "embeddings"), keep=["vec_id", "label"])
     out = with_group_error(coded, "label", "label_error").withColumn("codebooks_sha256", F.lit(books.digest()))
     return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+OP11_SQL = r"""
+with recursive words as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') as w from documents
+), sets as materialized (
+  select r, doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) end as s from words
+), shingles as materialized (select r, len(s) as n, hash(x) as x from (select r, s, unnest(s) as x from sets)),
+links as materialized (
+  select a.r as a, b.r as b from shingles a join shingles b on a.x = b.x and a.r <> b.r and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  group by a.r, b.r, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached as (
+  select r as a, r as b from sets union select reached.a, links.b from reached join links on reached.b = links.a
+)
+select s.doc_id, len(s.s) as n_shingles, min(t.doc_id) as component_id
+from sets s join reached on s.r = reached.a join sets t on reached.b = t.r group by s.r, s.doc_id, len(s.s)
+"""
+
+
+@register("op11_jaccard_join", OP11_SQL)
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the size of its shingle set and the smallest doc_id that links lead to."""
+    from tideway.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, folder, "documents"), keep=["doc_id"])
