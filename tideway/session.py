@@ -69,7 +69,17 @@ def materialise(df: DataFrame, label: str = "stage", **options: str) -> DataFram
     Unlike a cache this survives lost executors, fixes the outcome of non-deterministic
     steps, and leaves a columnar table that later steps can prune.
     """
+    return materialise_at(df, label, **options)[0]
+
+
+def materialise_at(df: DataFrame, label: str = "stage", **options: str) -> tuple[DataFrame, str]:
+    """As ``materialise``, with the path of the table, for ``release``."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def release(df: DataFrame, path: str) -> None:
+    """Give back the disk of a scratch table that no later step reads, by writing an empty one in its place."""
+    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
