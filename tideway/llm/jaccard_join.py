@@ -7,7 +7,7 @@ one above it. Bitmaps hold each set's parity a bit; differing bits bound the ove
 on the whole sorted arrays.
 
 Dense groups would meet in all pairs, so there are two steps. First every text is compared with one text of each tile, and
-what is alike becomes a class. Then tiles compare only texts of different classes, block by block, whatever their number.
+what is alike becomes a class. Joins are sort-merge joins at every size, so the plan that is tested is the one that grows. Then tiles compare only texts of different classes, block by block, whatever their number.
 Sets are known by a digest of their content: equal sets are one, and every step can be run again after a lost executor.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tideway.llm.common import numbered, text_of
 from tideway.llm.components import connected_components
 from tideway.operators.joins import join_totals
-from tideway.session import materialise
+from tideway.session import materialise, materialise_at, release
 
 #: Bits of the sketch that orders shingles; rows of a block of a tile; least and most bits of a signature.
 SKETCH, BLOCK, BITS = 20, 1024, (128, 4096)
@@ -65,6 +65,17 @@ def shingle_set(text: bytes, width: int, known: WordHashes) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(33)))
 
 
+def packed(found: np.ndarray) -> bytes:
+    """A sorted set as steps, all first bytes before all second ones: the high bytes of large sets are zeros that compress."""
+    return np.diff(found, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(raw) -> np.ndarray:
+    """The set behind ``packed``."""
+    steps = np.frombuffer(raw, np.uint8)
+    return np.cumsum(np.ascontiguousarray(steps.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def signature_bits(n: int) -> int:
     """Bits of the signature of a set of ``n``: never fewer for a larger set."""
     return min(BITS[1], max(BITS[0], 1 << math.ceil(math.log2(1.5 * n)))) if n else BITS[0]
@@ -105,8 +116,8 @@ def band(n, least: int):
     return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / least)) + F.lit(1e-9)).cast("int")
 
 
-def with_sets(df: DataFrame, width: int) -> DataFrame:
-    """The columns before the last, the text, and the set's size, digest (null for none), signature and hashes; written."""
+def with_sets(df: DataFrame, width: int) -> tuple[DataFrame, str]:
+    """The columns before the last, the text, and the set's size, digest (null for none), signature and hashes; written, with path."""
     import xxhash
 
     held = df.schema.fields[:-1]
@@ -121,13 +132,12 @@ def with_sets(df: DataFrame, width: int) -> DataFrame:
                 rows = []
                 for text in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist():
                     found = shingle_set(text, width, known)
-                    raw = found.tobytes()
-                    rows.append((len(found), xxhash.xxh3_128_digest(raw) if len(found) else None, signature(found), raw))
+                    rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None, signature(found), packed(found)))
                 n, key, bits, hashes = zip(*rows)
                 more = [pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bits, pa.binary()), pa.array(hashes, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=schema.names)
 
-    return materialise(df.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "sets", compression="zstd")
+    return materialise_at(df.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "sets", compression="zstd")
 
 
 def crowding(stored: DataFrame, bits: int = SKETCH) -> np.ndarray:
@@ -139,7 +149,7 @@ def crowding(stored: DataFrame, bits: int = SKETCH) -> np.ndarray:
         for batch in batches:
             for raw in batch.column(0):
                 # Sorted hashes have sorted buckets.
-                at, n = np.unique((np.frombuffer(raw.as_buffer(), np.uint64) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                at, n = np.unique((unpacked(raw.as_buffer()) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
                 total[at] += n
         parts = [p.tobytes() for p in np.split(total, rows)]
         yield pa.RecordBatch.from_arrays([pa.array(range(rows), pa.int32()), pa.array(parts, pa.binary())], names=["block", "counts"])
@@ -156,8 +166,8 @@ def crowding(stored: DataFrame, bits: int = SKETCH) -> np.ndarray:
     return out.ravel()
 
 
-def prefixes(stored: DataFrame, least: int, bits: int = SKETCH) -> DataFrame:
-    """(token, key, n, pos) of the first shingles of every set, in the order of crowding; written."""
+def prefixes(stored: DataFrame, least: int, bits: int = SKETCH) -> tuple[DataFrame, str]:
+    """(token, key, n, pos) of the first shingles of every set, in the order of crowding; written, with path."""
     sent = stored.sparkSession.sparkContext.broadcast(crowding(stored, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +176,7 @@ def prefixes(stored: DataFrame, least: int, bits: int = SKETCH) -> DataFrame:
                 batch = whole.slice(at, 512)
                 tokens, keys, sizes, places = [], [], [], []
                 for key, raw in zip(batch.column("key").to_pylist(), batch.column("hashes").to_pylist()):
-                    found = np.frombuffer(raw, np.uint64)
+                    found = unpacked(raw)
                     n = len(found)
                     level = sent.value[(found >> np.uint64(64 - bits)).astype(np.int64)]
                     first = np.argsort(level, kind="stable")[: n - (-(-least * n // 100)) + 1]  # equal levels by hash
@@ -183,45 +193,65 @@ def prefixes(stored: DataFrame, least: int, bits: int = SKETCH) -> DataFrame:
                 )
 
     some = stored.filter("n > 0").select("key", "hashes")
-    return materialise(some.mapInArrow(run, "token long, key binary, n long, pos long"), "prefixes", compression="zstd")
+    return materialise_at(some.mapInArrow(run, "token long, key binary, n long, pos long"), "prefixes", compression="zstd")
 
 
-def meetings(index: DataFrame, least: int) -> DataFrame:
-    """Rows of ``index`` whose token another row has too, once a set, with their band; written."""
-    shared = materialise(index.groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1").select("token"), "shared")
-    some = index.join(shared, "token").groupBy("token", "key").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    return materialise(some.withColumn("band", band(F.col("n"), least)), "meetings", compression="zstd")
+def filter_of(df: DataFrame, column: str):
+    """Function of a column that is true wherever its value is among the longs of ``df``, and seldom elsewhere.
 
+    It spares rows that a join would drop the shuffle before it. The bits grow with the values of ``df``, up to a fixed size;
+    beyond that more rows pass and the join after it drops them.
+    """
+    bits = min(_MOST, max(1 << 16, 1 << math.ceil(math.log2(1 + _PER_KEY * df.count()))))
 
-def _some_sets(stored: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, hashes), once a key, of the sets in ``keys`` (key); written.
+    def place(value):
+        return F.pmod(F.xxhash64(value), F.lit(bits)).cast("int")
 
-    A bit filter sized by the number of keys keeps most other sets from the shuffle.
-    """
-    first = materialise(stored.filter("n > 0").select("key", "row").join(keys, "key").groupBy("key").agg(F.min("row").alias("row")), "set-rows")
-    bits = min(_MOST, max(1 << 16, 1 << math.ceil(math.log2(1 + _PER_KEY * first.count()))))
-    place = F.pmod(F.xxhash64("row"), F.lit(bits)).cast("int")
-    word = first.select(place.alias("place")).selectExpr("cast(place / 64 as int) as word", "shiftleft(1L, place % 64) as bit")
-    at = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most _MOST / 64 numbers
+    words = df.select(place(F.col(column)).alias("place")).selectExpr("cast(place div 64 as int) as word", "shiftleft(1L, place % 64) as bit")
+    at = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most _MOST / 64 numbers
     mask = np.zeros(bits // 64, np.int64)
     mask[at.column("word").to_numpy()] = at.column("bits").to_numpy()
-    sent = stored.sparkSession.sparkContext.broadcast(mask)
+    sent = df.sparkSession.sparkContext.broadcast(mask)
 
     @F.pandas_udf("boolean")
     def may(where: pd.Series) -> pd.Series:
         where = where.to_numpy()
         return pd.Series((sent.value[where >> 6] >> (where & 63)) & 1 == 1)
 
-    rows = stored.select("row", "hashes").filter(may(place))
-    return materialise(rows.join(first, "row").select("key", "hashes"), "some-sets", compression="zstd")
+    return lambda value: may(place(value))
+
 
+def meetings(index: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) that are all of a token, rows of the tokens that more than two sets share, with their band); written.
 
-def bounded(pairs: DataFrame, stored: DataFrame, least: int) -> DataFrame:
-    """The ``pairs`` (a, b) of keys whose signatures leave enough overlap possible; written."""
-    bits = stored.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    bits = materialise(bits, "signatures")
-    both = pairs.join(bits.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
-    both = both.join(bits.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
+    Rows are put together by token and set first, so copies of a text count once and no token's rows are in one task.
+    """
+    shared = materialise(index.groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1").select("token"), "shared")
+    rows = index.filter(filter_of(shared, "token")(F.col("token"))).groupBy("token", "key").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    rows = materialise(rows, "met", compression="zstd")
+    one = F.struct("key", "n", "pos")
+    tokens = rows.groupBy("token").agg(F.count("*").alias("rows"), F.min(one).alias("x"), F.max(one).alias("y")).filter("rows > 1")
+    few = F.col("rows") == 2
+    tokens = materialise(tokens.select("token", "rows", F.when(few, F.col("x")).alias("x"), F.when(few, F.col("y")).alias("y")), "tokens", compression="zstd")
+    alone = tokens.filter(few).select(*[F.col(f"{side}.{c}").alias(c + end) for side, end in (("x", "_c"), ("y", "")) for c in ("key", "n", "pos")])
+    pairs = alone.filter(_close(least)).select(F.col("key_c").alias("a"), F.col("key").alias("b"))
+    many = materialise(tokens.filter(~few).select("token"), "crowded")
+    hits = rows.filter(filter_of(many, "token")(F.col("token"))).join(many.hint("merge"), "token")
+    return materialise(pairs.distinct(), "lone-pairs"), materialise(hits.withColumn("band", band(F.col("n"), least)), "meetings", compression="zstd")
+
+
+def some_sets(stored: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, hashes), once a key, of the sets in ``keys``; written."""
+    first = stored.filter("n > 0").select("key", "row").join(keys, "key").groupBy("key").agg(F.min("row").alias("row"))
+    first = materialise(first, "set-rows")
+    rows = stored.select("row", "hashes").filter(filter_of(first, "row")(F.col("row")))
+    return materialise(rows.join(first.hint("merge"), "row").select("key", "hashes"), "some-sets", compression="zstd")
+
+
+def bounded(pairs: DataFrame, bits: DataFrame, least: int) -> DataFrame:
+    """The ``pairs`` (a, b) of keys whose signatures (key, n, bits) leave enough overlap possible; written."""
+    both = pairs.join(bits.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")).hint("merge"), "a")
+    both = both.join(bits.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")).hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,16 +267,15 @@ def bounded(pairs: DataFrame, stored: DataFrame, least: int) -> DataFrame:
 
 def verified(pairs: DataFrame, stored: DataFrame, least: int) -> DataFrame:
     """The ``pairs`` (a, b) of keys that are similar enough, by their sorted arrays; written."""
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = _some_sets(stored, keys)
-    half = materialise(pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("one")), "a"), "half", compression="zstd")
-    both = half.join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("two")), "b").select("a", "b", "one", "two")
+    sets = some_sets(stored, pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("one")).hint("merge"), "a")
+    both = both.join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("two")).hint("merge"), "b").select("a", "b", "one", "two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alike = []
             for x, y in zip(batch.column("one"), batch.column("two")):
-                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                one, two = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 common = overlap(one, two)
                 alike.append(100 * common >= least * (len(one) + len(two) - common))
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
@@ -261,15 +290,16 @@ def _close(least: int):
 
 
 def first_pairs(hits: DataFrame, least: int) -> DataFrame:
-    """Each row's set with the smallest digest of its token and band."""
+    """Each set with one other: of the smallest digests of its tokens and bands, the one it meets most often."""
     least_of = F.min(F.struct("key", "n", "pos"))
     centres = hits.groupBy("token", "band").agg(least_of.alias("c"), F.count("*").alias("rows")).filter("rows > 1")
     centres = materialise(centres.select("token", "band", F.col("c.key").alias("a"), F.col("c.n").alias("n_c"), F.col("c.pos").alias("pos_c")), "centres")
-    pairs = hits.join(centres, ["token", "band"]).filter(F.col("key") > F.col("a")).filter(_close(least))
-    return materialise(pairs.select("a", F.col("key").alias("b")).distinct(), "first-pairs")
+    pairs = hits.join(centres.hint("merge"), ["token", "band"]).filter(F.col("key") > F.col("a")).filter(_close(least))
+    met = pairs.groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("times"))
+    return materialise(met.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"), "first-pairs")
 
 
-def tiles(hits: DataFrame, classes: DataFrame, stored: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
+def tiles(hits: DataFrame, classes: DataFrame, bits: DataFrame, block: int = BLOCK) -> DataFrame:
     """Rows of the tiles that hold more than one class, with class and signature, cut into pairs of blocks.
 
     A tile is a token, a band and the band above. Rows of its largest class need not meet each other, so their blocks meet only
@@ -278,8 +308,7 @@ def tiles(hits: DataFrame, classes: DataFrame, stored: DataFrame, least: int, bl
     rows = hits.join(classes.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
     rows = rows.join(materialise(mixed, "mixed"), "token")
-    bits = stored.filter("n > 0").groupBy("key").agg(F.first("bits").alias("bits"))
-    rows = materialise(rows.join(materialise(bits, "signatures"), "key"), "loose", compression="zstd")
+    rows = materialise(rows.join(bits.select("key", "bits").hint("merge"), "key"), "loose", compression="zstd")
     rows = rows.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("tile", F.when(F.col("own"), F.col("band")).otherwise(F.col("band") - 1))
     per = rows.groupBy("token", "tile", "root").agg(F.count("*").alias("rows"), F.bool_or("own").alias("own"))
     per = per.groupBy("token", "tile").agg(
@@ -357,15 +386,24 @@ def tile_pairs(cut: DataFrame, least: int) -> DataFrame:
     return materialise(dealt.mapInArrow(run, "a binary, b binary").distinct(), "tile-pairs")
 
 
-def similar_sets(stored: DataFrame, least: int, block: int = BLOCK, bits: int = SKETCH) -> DataFrame:
-    """(node, root) of the keys that links of similarity ``least`` / 100 connect; keys without links are left out."""
-    hits = meetings(prefixes(stored, least, bits), least)
-    first = verified(bounded(first_pairs(hits, least), stored, least), stored, least)
+def similar_sets(stored: DataFrame, path: str, least: int, block: int = BLOCK, bits: int = SKETCH) -> tuple[DataFrame, DataFrame]:
+    """((node, root) of the keys that links of similarity ``least`` / 100 connect, ``stored`` without sets).
+
+    Keys without links are left out. The large tables at ``path`` and of the first shingles are given back on the way.
+    """
+    index, at = prefixes(stored, least, bits)
+    lone, hits = meetings(index, least)
+    release(index, at)
+    narrow = materialise(stored.drop("hashes", "row"), "narrow")
+    marks = narrow.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    marks = materialise(marks, "signatures")
+    first = verified(bounded(first_pairs(hits, least).union(lone).distinct(), marks, least), stored, least)
     classes = connected_components(first)
-    more = verified(tile_pairs(tiles(hits, classes, stored, least, block), least), stored, least)
+    more = verified(tile_pairs(tiles(hits, classes, marks, block), least), stored, least)
+    release(stored, path)
     # Links between classes, and the classes themselves, connect the same keys as all links.
     edges = more.unionByName(classes.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return connected_components(edges)
+    return connected_components(edges), narrow
 
 
 def jaccard_components(
@@ -382,9 +420,8 @@ def jaccard_components(
     if not 0 < least <= 100 or width < 1:
         raise ValueError("similarity in hundredths above zero, width from one")
     rows, back = numbered(df, keep, id=F.col(f"`{id_col}`"), text=text_of(text_col))
-    stored = with_sets(rows, width)
-    roots = similar_sets(stored, least, block, bits).withColumnRenamed("node", "key")
-    narrow = stored.drop("bits", "hashes", "row")
+    roots, narrow = similar_sets(*with_sets(rows, width), least, block, bits)
+    roots, narrow = roots.withColumnRenamed("node", "key"), narrow.drop("bits")
     linked = narrow.filter("n > 0").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     linked = materialise(linked.drop("key"), "linked")
     linked = join_totals(linked, linked.groupBy("root").agg(F.min("id").alias("component_id")), ["root"]).drop("root")
