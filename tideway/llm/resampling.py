@@ -62,7 +62,7 @@ def _texts(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def _frequent(texts: DataFrame, longest: int, head: int) -> tuple[list[bytes], list[bytes]]:
-    """The ``head`` most frequent words, and pairs if runs are that long; ties to the smaller in bytes."""
+    """The most frequent words, and pairs if runs are that long: at most ``head`` of each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[Counter] = [Counter(), Counter()]
@@ -85,10 +85,21 @@ def _frequent(texts: DataFrame, longest: int, head: int) -> tuple[list[bytes], l
         yield told()
 
     counts = texts.mapInArrow(count, "pair int, run binary, n long").groupBy("pair", "run").agg(F.sum("n").alias("n"))
-    counts = counts if longest == 1 else materialise(counts, "run-counts")
-    top = [counts.filter(F.col("pair") == p).orderBy(F.desc("n"), "run").limit(head).select("run").collect() for p in range(min(longest, 2))]
-    words, pairs = [[bytes(r.run) for r in rows] for rows in [*top, []][:2]]
-    return words, pairs
+    # Whole levels of frequency, most frequent first, as long as they fit: no sort, and no more than the head is collected.
+    counts = materialise(counts.withColumn("level", F.floor(F.log2("n") * 16)), "run-counts", compression="zstd")
+    sizes = counts.groupBy("pair", "level").count().orderBy(F.desc("level")).collect()
+    found: list[list[bytes]] = []
+    for pair in (0, 1):
+        bar, room = None, head
+        for r in sizes:
+            if r.pair == pair:
+                room -= r["count"]
+                if room < 0:
+                    break
+                bar = r.level
+        some = counts.filter((F.col("pair") == pair) & (F.col("level") >= bar)).select("run") if bar is not None else None
+        found.append([bytes(r.run) for r in some.collect()] if some is not None else [])
+    return found[0], found[1]
 
 
 def _noted(df: DataFrame, longest: int, buckets: int, known: tuple[list[bytes], list[bytes]]) -> DataFrame:
