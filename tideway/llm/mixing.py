@@ -166,5 +166,6 @@ def mix(
     targets = materialise(source_targets(sizes, weights, most), "targets")
     copies = materialise(copies_of(rows, targets, seed), "copies").withColumnRenamed("row", "_mx_row")
     at = targets.select(F.col("source").alias("_mx_at"), "source_size", "target")
-    out = stored.join(copies, "_mx_row").join(at, F.col("_mx_source").eqNullSafe(F.col("_mx_at")))
+    # The same plan at every size, the one that grows.
+    out = stored.join(copies.hint("merge"), "_mx_row").join(at, F.col("_mx_source").eqNullSafe(F.col("_mx_at")))
     return back(out.select(*[F.col(f"`{c}`") for c in own], "size", "source_size", "target", "copies"))
