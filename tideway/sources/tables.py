@@ -57,16 +57,32 @@ def _finished(spark: SparkSession, marker: str) -> bool:
         return False
 
 
+def inputs_digest(df: DataFrame) -> str:
+    """Digest of paths, times and lengths of the files behind ``df``; their content is not read.
+
+    Files are listed by Spark and folded into one row, so the driver holds their names only. A frame without files (inline rows)
+    gives a constant.
+    """
+    files = df.inputFiles()
+    if not files:
+        return "none"
+    seen = df.sparkSession.read.format("binaryFile").load(files).select(F.xxhash64("path", "modificationTime", "length").alias("h"))
+    r = seen.agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.pmod("h", F.lit(1 << 40))).alias("s")).first()
+    return f"{r.n}-{r.x}-{r.s}"
+
+
 def cached_query(spark: SparkSession, text: str, cache_root: str) -> DataFrame:
-    """Result of a query, stored under the SHA-256 of its text and read back when present.
+    """Result of a query, stored under a key of the query and its inputs, and read back when present.
 
-    A marker written after the result tells a finished write from a broken one. The text is
-    the whole key: changed inputs need a fresh root.
+    The key is the SHA-256 of the text, the analysed plan (so a view that was defined anew counts) and the files the plan reads
+    with their times and lengths. Changed inputs therefore give fresh rows; unchanged ones cost a listing. A marker written
+    after the result tells a finished write from a broken one. Old results stay; their owner clears the folder.
     """
-    name = hashlib.sha256(text.encode("utf-8")).hexdigest()
-    path = f"{cache_root.rstrip('/')}/{name}"
+    df = spark.sql(text)
+    key = f"{text}|{df.semanticHash()}|{inputs_digest(df)}"
+    path = f"{cache_root.rstrip('/')}/{hashlib.sha256(key.encode('utf-8')).hexdigest()}"
     if not _finished(spark, f"{path}/done"):
-        spark.sql(text).write.mode("overwrite").parquet(f"{path}/result")
+        df.write.mode("overwrite").parquet(f"{path}/result")
         spark.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(f"{path}/done")
     return spark.read.parquet(f"{path}/result")
 

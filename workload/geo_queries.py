@@ -6,8 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from tideway.functions import calendar, grid
-from tideway.operators import environment, evaluation, joins, norms, propagation, seasons
+from tideway.functions import calendar, grid, quadtree
+from tideway.operators import environment, evaluation, joins, norms, propagation, seasons, spatial
 from tideway.operators.aggregates import bucket_first
 from tideway.operators.choices import expand_neighbors
 from tideway.operators.columns import in_box
@@ -67,6 +67,38 @@ def d03(t):
     return joins.neighbors_from_edges(cells, edges, "cell", 50).withColumn("distance", r6("distance"))
 
 
+FOREIGN = f"""grids as (select distinct 'g' || cell as id, {sql_lat('cell')} as la, {sql_lon('cell')} as lo from visited)"""
+
+
+@query("j15_foreign_neighbors", with_sql(TRACKS, VISITED, FOREIGN) + f"""
+select a.id as cell, b.id as neighbor, {q6(sql_km('a.la', 'a.lo', 'b.la', 'b.lo'))} as distance from grids a, grids b
+where {sql_km('a.la', 'a.lo', 'b.la', 'b.lo')} <= 400""")
+def j15_foreign(t):
+    cells = joins.cell_center(visited(t), "cell", res=RES).select(F.concat(F.lit("g"), "cell").alias("cell"), "lat", "lon").distinct()
+    edges = spatial.edges_within(cells, 400, method="sphere")
+    return joins.neighbors_from_edges(cells.select("cell"), edges, "cell", 400).withColumn("distance", r6("distance"))
+
+
+LEVELS = [2, 5, 8, 11]
+
+
+def sql_quad(lat: str, lon: str, level: str) -> str:
+    """Code of a point at a level, bit by bit."""
+    row = f"least(floor((sin({lat} * 0.017453292519943295e0) + 1) / 2 * (1 << {level})), (1 << {level}) - 1)::bigint"
+    col = f"least(floor(((({lon} + 180) % 360 + 360) % 360) / 360 * (1 << {level})), (1 << {level}) - 1)::bigint"
+    return (f"(1::bigint << (2 * {level})) + list_sum(list_transform(range(0, {level}), lambda k: (((({row}) >> k::int) & 1) << (2 * k + 1)::int) + "
+            f"(((({col}) >> k::int) & 1) << (2 * k)::int)))::bigint")
+
+
+@query("d43_mean_by_levels", with_sql(TRACKS) + f""", levels as (select unnest({LEVELS}) as level),
+coded as (select level::int as level, {sql_quad('latitude', 'longitude', 'level')} as cell, day(date) as v from tracks, levels)
+select level, cell, count(*) as n, {q6('avg(v)')} as mean from coded group by 1, 2""")
+def d43_levels(t):
+    rows = tracks(t).withColumn("day", F.dayofmonth("date"))
+    out = quadtree.rolled_up(rows, "latitude", "longitude", "day", LEVELS)
+    return out.withColumn("mean", r6("mean"))
+
+
 def sql_lambert(alias_lat1, alias_lon1, alias_lat2, alias_lon2) -> tuple[str, str]:
     """(inner columns, distance over them) of Lambert's formula."""
     f, r = num(grid.FLATTENING), num(RAD)

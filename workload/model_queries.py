@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tideway import transforms
 from tideway.functions import grid
-from tideway.operators import choices, evaluation, fitting, norms, sampling, scoring
+from tideway.operators import choice_fit, choices, evaluation, fitting, norms, sampling, scoring
 from tideway.plans import priority
 from tideway.session import materialise
 from workload.aggregate_queries import RUN_LOG, run_log
@@ -223,6 +223,35 @@ def d46(t):
     return evaluation.nlp(fitted, by=["_train"]).withColumns({k: F.lit(w) for k, w in model.weights.items()})
 
 
+NEWTON = 6
+
+
+def sql_newton() -> str:
+    """Newton steps from zero for two features, unrolled; the last round gives gradient and likelihood at the solution."""
+    parts = ["""rows as (select _individual as i, _decision as d, _selected as s, _choice / 5e0 as x1, _individual % 7 * _choice / 35e0 as x2 from scored
+  where _selected is not null),
+usable as (select i, d from rows group by 1, 2 having count(*) filter (s) = 1),
+kept as materialized (select rows.* from rows join usable using (i, d)), w0 as (select 0e0 as w1, 0e0 as w2)"""]
+    for n in range(NEWTON + 1):
+        parts.append(f"""p{n} as (select i, d, s, x1, x2, exp(x1 * w1 + x2 * w2) as e, x1 * w1 + x2 * w2 as u from kept, w{n}),
+m{n} as (select i, d, sum(x1 * e) / sum(e) as m1, sum(x2 * e) / sum(e) as m2, sum(x1 * x1 * e) / sum(e) as q11, sum(x1 * x2 * e) / sum(e) as q12,
+  sum(x2 * x2 * e) / sum(e) as q22, max(x1) filter (s) as s1, max(x2) filter (s) as s2, max(u) filter (s) - ln(sum(e)) as ll from p{n} group by 1, 2),
+h{n} as (select count(*) as n, sum(s1 - m1) as g1, sum(s2 - m2) as g2, sum(q11 - m1 * m1) as a, sum(q12 - m1 * m2) as b, sum(q22 - m2 * m2) as c, sum(ll) as ll from m{n})""")
+        if n < NEWTON:
+            parts.append(f"w{n + 1} as (select w1 + (c * g1 - b * g2) / (a * c - b * b) as w1, w2 + (a * g2 - b * g1) / (a * c - b * b) as w2 from w{n}, h{n})")
+    return ", " + ",\n".join(parts)
+
+
+@query("d46_fit_choice_logit", with_sql(*SCORED) + sql_newton() + f"""
+select {q6('w1')} as w1, {q6('w2')} as w2, {q6('abs(g1)')} as g1, {q6('abs(g2)')} as g2, {q6('ll / n')} as nlp, n as decisions from w{NEWTON}, h{NEWTON}""")
+def d46_choice(t):
+    fit = choice_fit.fit_choice_logit(fit_rows(t), ["_individual", "_decision"], ["x1", "x2"])
+    row = {"w1": fit.model.weights["x1"], "w2": fit.model.weights["x2"], "g1": abs(fit.gradient["x1"]), "g2": abs(fit.gradient["x2"]),
+           "nlp": fit.log_likelihood / fit.decisions}
+    one = t.spark.range(1).select(*[r6(F.lit(v)).alias(k) for k, v in row.items()], F.lit(fit.decisions).cast("long").alias("decisions"))
+    return one
+
+
 ROUNDS = 4
 
 
