@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tideway.functions import quadtree
 from tideway.operators.choice_fit import fit_choice_logit
 from tideway.operators.spatial import edges_within, within_km
+from tideway.session import materialise
 from tideway.sources.tables import cached_query
 
 
@@ -120,3 +121,42 @@ def test_cached_query_follows_its_inputs(spark, tmp_path):
     assert ask() == [2, 3, 4, 7, 8]
     spark.range(100).createOrReplaceTempView("cached_input")
     assert len(cached_query(spark, "select id from cached_input where id > 1", root).collect()) == 98
+
+
+def test_bucketed_transitions_are_not_exchanged(spark):
+    from tideway.operators.propagation import step_mass, store_bucketed
+
+    rows = spark.range(400).selectExpr("id % 40 as origin_cell", "(id * 7) % 40 as cell", "date_add(date '2024-01-01', int(id % 3)) as date", "0.5d as probability")
+    stored = store_bucketed(rows, "bucketed_transitions")
+    state = materialise(spark.range(40).selectExpr("id as cell", "date '2024-01-01' as date", "1d as _quanta"), "state")
+    stepped = step_mass(state.hint("merge"), stored)
+    # Under the join: one exchange, on the state's side.
+    left, right = stepped._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin", 1)[1].split("FileScan")[:2]
+    assert "Exchange" in left and "Exchange" not in right
+    want = {}
+    for r in rows.collect():
+        if str(r.date) == "2024-01-01":
+            want[r.cell] = want.get(r.cell, 0) + 0.5
+    assert {r.cell: r._quanta for r in stepped.collect()} == want
+    spark.sql("drop table bucketed_transitions")
+
+
+def test_kept_sums_equal_a_rebuild(spark, tmp_path):
+    from tideway.operators.kept_sums import keep_days, kept_sums, means_of
+
+    rows = [(d, k, v) for d in ("2024-01-01", "2024-01-02", "2024-01-03", None) for k in ("a", None) for v in (1.0, 2.5, None, -3.0)]
+    df = spark.createDataFrame(rows, "date string, k string, v double")
+    one, all_days, path = df.filter("date = '2024-01-02'"), str(tmp_path / "all"), str(tmp_path / "kept")
+    keep_days(df, all_days, ["k"], "date", ["v"])
+    for d in ("2024-01-03", "2024-01-01", "2024-01-02", "2024-01-01"):
+        keep_days(df.filter(F.col("date") == d), path, ["k"], "date", ["v"])
+
+    def read(at, **more):
+        return sorted(map(str, means_of(kept_sums(spark, at, ["k"], ["v"], **more), ["k"], ["v"]).collect()))
+
+    assert read(path) == read(all_days)
+    keep_days(one.withColumn("v", F.col("v") * 2), path, ["k"], "date", ["v"])  # a corrected day replaces itself only
+    keep_days(df.limit(0), path, ["k"], "date", ["v"])  # nothing new changes nothing
+    assert read(path, between=("2024-01-03", "2024-01-09")) == read(all_days, between=("2024-01-03", "2024-01-09"))
+    got = {r.k: r for r in kept_sums(spark, path, ["k"], ["v"]).collect()}
+    assert got["a"].v_n == 9 and math.isclose(got["a"].v_sum, 0.5 * 4) and got[None].v_least == -6.0

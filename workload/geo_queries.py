@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from tideway.functions import calendar, grid, quadtree
-from tideway.operators import environment, evaluation, joins, norms, propagation, seasons, spatial
+from tideway.operators import environment, evaluation, joins, kept_sums, norms, propagation, seasons, spatial
 from tideway.operators.aggregates import bucket_first
 from tideway.operators.choices import expand_neighbors
 from tideway.operators.columns import in_box
@@ -17,7 +18,7 @@ from tideway.operators.scoring import LinearModel
 from tideway.plans import depth as depth_plan
 from tideway.plans import movement as movement_plan
 from tideway.plans import transition as transition_plan
-from tideway.session import materialise
+from tideway.session import materialise, scratch_path
 from workload.choice_queries import sql_edge
 from workload.derive import (
     BOX_CELLS, CELL_FACTS, RES, START, TELEMETRY, TRACKS, VISITED, cell_facts, sql_cell, sql_km, sql_lat,
@@ -395,6 +396,17 @@ def d41(t):
     return out.select("step", "cell", F.date_format("date", "yyyy-MM-dd").alias("date"), r6("_quanta").alias("_quanta"))
 
 
+@query("d41_propagate_bucketed", with_sql(*WORLD) + sql_steps() + f"""
+select step, cell, strftime(date, '%Y-%m-%d') as date, {q6('q')} as _quanta from history""")
+def d41_bucketed(t):
+    facts = materialise(cell_facts(t), "cell-facts")
+    params = norms.fit_norm(facts, MOVE_SPEC)
+    out = transition_plan.diffuse_and_propagate(
+        facts, facts, START, STEPS, MOVE_MODEL, 50, MOVE_SPEC, params, method="sphere", bucketed=f"transitions_{uuid.uuid4().hex[:12]}"
+    )
+    return out.select("step", "cell", F.date_format("date", "yyyy-MM-dd").alias("date"), r6("_quanta").alias("_quanta"))
+
+
 @query("d41_mass_balance", f"""
 with days as (select event_type, cast(ts as date) as date, count(*) * 1e0 as q from events group by 1, 2),
 m as (select day(date) as step, sum(q) as mass from days group by 1)
@@ -406,6 +418,20 @@ def d41_balance(t):
     return out.select("step", r6("mass").alias("mass"), r6("lost").alias("lost"))
 
 
+@query("a17_kept_sums", f"""
+with e as (select cast(ts as date) as date, event_type, user_id % 5 as cell, value from events)
+select event_type, count(value) as value_n, {q6('avg(value)')} as value_mean, {q6('stddev_samp(value)')} as value_std,
+  {q6('min(value)')} as value_min, {q6('max(value)')} as value_max from e group by 1""")
+def a17_kept(t):
+    rows = t.events.select(F.to_date("ts").alias("date"), "event_type", (F.col("user_id") % 5).alias("cell"), "value")
+    path, third = scratch_path(t.spark, "kept-sums"), F.pmod(F.dayofmonth("date"), F.lit(3))
+    for days in (0, 1, 2, 1):  # three appends, one of them repeated
+        kept_sums.keep_days(rows.filter(third == days), path, ["event_type", "cell"], "date", ["value"])
+    merged = kept_sums.kept_sums(t.spark, path, ["event_type"], ["value"])
+    out = kept_sums.means_of(merged, ["event_type"], ["value"])
+    return out.select("event_type", "value_n", *[r6(c).alias(c) for c in ("value_mean", "value_std", "value_min", "value_max")])
+
+
 def ocean_points(t: Tables):
     """Line items as model levels on a 2 degree grid, some outside the boxes, some values missing."""
     return t.lineitem.select(
