@@ -160,3 +160,36 @@ def test_kept_sums_equal_a_rebuild(spark, tmp_path):
     assert read(path, between=("2024-01-03", "2024-01-09")) == read(all_days, between=("2024-01-03", "2024-01-09"))
     got = {r.k: r for r in kept_sums(spark, path, ["k"], ["v"]).collect()}
     assert got["a"].v_n == 9 and math.isclose(got["a"].v_sum, 0.5 * 4) and got[None].v_least == -6.0
+
+
+def test_alias_tables_keep_every_weight():
+    from tideway.operators.weighted import alias_table
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 300):
+        w = rng.exponential(1, n) ** 4 + 1e-12
+        keep, other = alias_table(w)
+        mass = keep.copy()
+        np.add.at(mass, other, 1 - keep)
+        assert np.allclose(mass / n, w / w.sum())
+
+
+def test_weighted_draws(spark):
+    from tideway.operators.weighted import alias_levels, weighted_draws
+
+    rows = [("few", k, w) for k, w in ((1, 5.0), (2, 1.0), (3, 0.0), (4, -1.0), (5, None), (6, float("nan")), (7, 4.0))]
+    rows += [(None, 1, 1.0), ("none", 1, 0.0)] + [("many", k, float(k % 10)) for k in range(1000)]
+    df = spark.createDataFrame(rows, "g string, k long, w double")
+    assert len(alias_levels(df, "g", "k", "w", 20)) == 3  # 900 rows, 45 slices, 3 slices of slices, one
+    draws = 20_000
+    out = weighted_draws(df.repartition(3), "g", "k", "w", draws, seed=5, slice_rows=20)
+    got = sorted(map(str, out.collect()))
+    assert got == sorted(map(str, weighted_draws(df.repartition(7), "g", "k", "w", draws, seed=5, slice_rows=20).collect()))
+    counts = {(r.g, r.k): r["n"] for r in out.groupBy("g", "k").agg(F.count("*").alias("n")).collect()}
+    assert {g for g, _ in counts} == {"few", None, "many"} and counts[None, 1] == draws
+    for g, total, some in (("few", 10.0, [(1, 5.0), (2, 1.0), (7, 4.0)]), ("many", 4500.0, [(k, float(k % 10)) for k in range(1000)])):
+        assert sum(n for (h, _), n in counts.items() if h == g) == draws
+        chi = sum((counts.get((g, k), 0) - draws * w / total) ** 2 / (draws * w / total) for k, w in some if w)
+        free = sum(w > 0 for _, w in some) - 1
+        assert chi < free + 5 * math.sqrt(2 * free) and all((g, k) not in counts for k, w in some if not w)
+    assert weighted_draws(df.limit(0), "g", "k", "w", 5).count() == 0

@@ -43,7 +43,7 @@ def test_every_query_has_sql_or_a_reason():
     # drawn by hash, or fitted iteratively: no SQL form; covered by invariants elsewhere
     assert set(QUERIES) - set(ORACLES) == {
         "o03_hashed_sample", "d21_contrast_decisions", "d25_augment_hashed",
-        "d26_split_hashed", "d46_fit_contrast_logit", "d_depth_phases",
+        "d26_split_hashed", "d46_fit_contrast_logit", "d_depth_phases", "o05_weighted_draws",
     }
     assert set(ORACLES) <= set(QUERIES)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tideway import transforms
 from tideway.functions import grid
-from tideway.operators import choice_fit, choices, evaluation, fitting, norms, sampling, scoring
+from tideway.operators import choice_fit, choices, evaluation, fitting, norms, sampling, scoring, weighted
 from tideway.plans import priority
 from tideway.session import materialise
 from workload.aggregate_queries import RUN_LOG, run_log
@@ -296,6 +296,35 @@ def d48_weights(t):
     return out.select("event_type", *[r6(c).alias(c) for c in ("rho", "p", "weight")])
 
 
+def spend(t):
+    """What every customer of a segment spent: weights of a draw."""
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return rows.groupBy(F.col("c_mktsegment").alias("segment"), "o_custkey").agg(F.sum("o_totalprice").alias("spent"))
+
+
+@query("o05_alias_shares", f"""
+with s as (select c_mktsegment as segment, o_custkey, sum(o_totalprice) as spent from orders join customer on o_custkey = c_custkey group by 1, 2)
+select segment, o_custkey, {q6('spent / sum(spent) over (partition by segment)')} as share from s""")
+def o05_shares(t):
+    """The chance that the alias tables give every customer: what it keeps and what others leave to it, over all levels."""
+    levels = weighted.alias_levels(spend(t), "segment", "o_custkey", "spent", 64)
+    share = None
+    for level in reversed(levels):
+        own = level.select("group", "slice", "item", (F.col("keep") / F.col("size")).alias("p"))
+        left = level.select("group", "slice", F.col("other").alias("item"), ((1 - F.col("keep")) / F.col("size")).alias("p"))
+        now = own.union(left).groupBy("group", "slice", "item").agg(F.sum("p").alias("p"))
+        if share is not None:
+            now = now.join(share, ["group", "slice"]).withColumn("p", F.col("p") * F.col("above"))
+        share = now.select("group", F.col("item").alias("slice"), F.col("p").alias("above"))
+    return share.select(F.col("group").alias("segment"), F.col("slice").alias("o_custkey"), r6("above").alias("share"))
+
+
+@query("o05_weighted_draws")
+def o05_draws(t):
+    drawn = weighted.weighted_draws(spend(t), "segment", "o_custkey", "spent", 500, seed=3, slice_rows=64)
+    return drawn.groupBy("segment", "o_custkey").agg(F.count(F.lit(1)).alias("draws"))
+
+
 # --- user functions -------------------------------------------------------------------------
 
 @query("x01_native_in_place_of_scalar_function", f"select event_id, {q6('sqrt(value) * 2')} as y from events")
