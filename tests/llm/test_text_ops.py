@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 from itertools import combinations
 
 import duckdb
@@ -154,6 +155,38 @@ def test_main_text_of_several_regions():
     assert main_text(f"<article>{''.join(p)}<article class=comment><p>{said[0]} reader</p></article></article>") == " ".join(said)
 
 
+def test_main_text_in_marked_wrappers():
+    said = [f"A long paragraph number {i} of running text that says something to the reader, and then says more." for i in range(6)]
+    body = "<h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in said)
+    whole = " ".join(["Title", *said])
+    around = (
+        "<nav><a href=1>Home</a> <a href=2>News</a></nav><div class='sidebar'><article><p>Teaser of another page.</p></article></div>{}"
+        "<div class='cookie-notice'><p>We use cookies.</p></div><div id=comments><p>A reader says so.</p></div><footer>end</footer>"
+    )
+    marks = ("content no-sidebar", "page modal-open", "elementor-widget-container", "layout has-sidebar", "site page-header-fixed")
+    for wrapper in [f"<div class='{m}'>{{}}</div>" for m in marks] + ["<form id=aspnetForm>{}</form>", "<form><div class='page popup'>{}</div></form>"]:
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", body):
+            assert main_text(wrapper.format(around.format(inner))) == whole, (wrapper, inner)
+            assert main_text(around.format(wrapper.format(inner))) == whole, (wrapper, inner)
+    for m in marks:
+        assert main_text(around.format(f"<article><div class='{m}'>{body}</div></article>")) == whole
+    # Boilerplate stays out, even when it is longer than the article.
+    long = f"<p>{' '.join(said)}</p>" * 3
+    for extra in (f"<div class=advert>{long}</div>", f"<div id=comments>{long}</div>", f"<form>{long}<button>send</button></form>"):
+        assert main_text(around.format(f"<article>{body}</article>{extra}")) == whole
+        assert main_text(around.format(f"<article>{body}{extra}</article>")) == whole
+    assert main_text(f"<body>{body}<div id=comments>{long}</div></body>") == whole
+    assert main_text("<div class=menu><a href=1>Home</a> <a href=2>News</a></div>") == ""
+
+
+def test_parsing_takes_linear_time():
+    for tag in ("div", "font", "ul><li", "p><br", "article", "div class=ad", "form", "x"):
+        start = time.perf_counter()
+        text = main_text(f"<p>{f'<{tag}>a' * 50_000}end" + "</q>" * 50_000)
+        assert text.endswith("end") or tag == "div class=ad"
+        assert time.perf_counter() - start < 5, tag
+
+
 def test_html_query(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in QUERIES["op3_html_text"](spark, sf).collect():
