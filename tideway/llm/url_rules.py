@@ -7,10 +7,11 @@ rules for all other URLs. A rule is looked up under its rarest token, so a URL o
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import combinations
+from dataclasses import dataclass, replace
+from itertools import combinations, product
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -106,10 +107,20 @@ def mine_rules(
 ) -> list[MinedRule]:
     """Pruned rules from ``labelled`` (tokens, verdict).
 
-    Their number is bounded by the support threshold and the tokens of a URL, not by the table: a token set that has the
-    support takes that share of the rows.
+    Tokens that occur in the same rows are one item for FP-growth: a rule over several of them says no more than over one and
+    would be pruned, so nothing is lost, and a URL of many words that repeats has few items, not 2^words combinations. Each
+    rule is then given for every token of its items. Their number is bounded by the support threshold and the tokens of a
+    URL, not by the table: a token set that has the support takes that share of the rows. Null tokens or verdicts count for
+    no rule; an empty table gives none.
     """
-    items = labelled.select(F.array_append("tokens", F.concat(F.lit(LABEL), "verdict")).alias("items"))
+    labelled = labelled.filter("tokens is not null and verdict is not null")
+    n = labelled.count()
+    alike = items_alike(labelled, max(1, math.ceil(support * n))) if n else {}
+    if not alike:
+        return []
+    items = labelled.select(
+        F.array_append(F.array_intersect("tokens", F.array(*map(F.lit, alike))), F.concat(F.lit(LABEL), "verdict")).alias("items")
+    )
     growth = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence)
     model = (growth.setNumPartitions(parts) if parts else growth).fit(items)
     found = model.associationRules.filter(
@@ -119,7 +130,25 @@ def mine_rules(
         MinedRule(frozenset(r["antecedent"]), r["consequent"][0].removeprefix(LABEL), r["confidence"], r["support"])
         for r in found.select("antecedent", "consequent", "confidence", "support").collect()
     ]
-    return prune([r for r in rules if not any(t.startswith(LABEL) for t in r.tokens)], confidence, support, longest)
+    kept = prune([r for r in rules if not any(t.startswith(LABEL) for t in r.tokens)], confidence, support, longest)
+    named = (replace(r, tokens=frozenset(t)) for r in kept for t in product(*[alike[x] for x in r.tokens]))
+    return sorted(named, key=MinedRule.order)
+
+
+def items_alike(labelled: DataFrame, least: int) -> dict[str, list[str]]:
+    """Tokens of at least ``least`` rows, under the smallest of those that occur in the same rows.
+
+    Rows are told apart by two hashes of their tokens; a token's rows by the sums of both. The result has at most the
+    number of tokens of a URL over the support.
+    """
+    whole = F.array_sort("tokens")
+    rows = labelled.select(
+        F.explode(F.array_distinct("tokens")).alias("token"),
+        F.xxhash64(F.lit(1), whole).cast("decimal(38,0)").alias("a"), F.xxhash64(F.lit(2), whole).cast("decimal(38,0)").alias("b"),
+    )
+    seen = rows.groupBy("token").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).filter(F.col("n") >= least)
+    groups = seen.groupBy("n", "a", "b").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    return {r.tokens[0]: r.tokens for r in groups.select("tokens").collect()}
 
 
 def inverted_index(rules: list[MinedRule]) -> dict[str, list[MinedRule]]:
