@@ -93,6 +93,27 @@ def a10_describe(t):
     return out.withColumns({c: r6(c) for c in ("mean", "std", "q25", "q50", "q75")})
 
 
+@query("a10_stored_sketches", """
+select l_returnflag, count(*) as rows, true as median_near, true as q95_near, true as orders_near from lineitem group by 1""")
+def a10_sketches(t):
+    """Merged sketches of (flag, line, year) groups, held against exact ranks and counts of the rows."""
+    from tideway.operators.sketches import merge_sketches, read_sketches, sketch_table
+    from tideway.session import materialise
+
+    parts = sketch_table(t.lineitem, ["l_returnflag", "l_linenumber", F.year("l_shipdate").alias("year")], ["l_extendedprice"], ["l_orderkey"])
+    states = merge_sketches(materialise(parts, "sketches"), ["l_returnflag"])
+    price = {"median": ("l_extendedprice", 0.5), "q95": ("l_extendedprice", 0.95)}
+    told = materialise(read_sketches(states, price, {"orders": "l_orderkey"}), "sketched")
+    ranks = t.lineitem.join(told, "l_returnflag").groupBy("l_returnflag").agg(
+        *[F.avg((F.col("l_extendedprice") <= F.col(c)).cast("double")).alias(f"{c}_rank") for c in price],
+        F.count_distinct("l_orderkey").alias("exact"),
+    )
+    return told.join(ranks, "l_returnflag").select(
+        "l_returnflag", "rows", *[(F.abs(F.col(f"{c}_rank") - q) < 0.02).alias(f"{c}_near") for c, (_, q) in price.items()],
+        (F.abs(F.col("orders") / F.col("exact") - 1) < 0.04).alias("orders_near"),
+    )
+
+
 RUN_LOG = """run_log as (
   select l_suppkey as run_id, cast(l_linenumber as bigint) as epoch, avg(l_discount) as val_loss, avg(l_tax) as train_loss
   from lineitem group by 1, 2)"""

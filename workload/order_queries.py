@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tideway.operators import aggregates, joins, ranking, sampling
 from tideway.operators.choices import expand_classes, sequence_decisions
+from tideway.streaming.runs import run_to_end
+from tideway.streaming.states import stream_bucket_first, stream_next_state
 from workload.derive import (
     ORDER_DECISIONS, PRIORITIES, SCORED, TELEMETRY, order_decisions, scored_orders, telemetry, with_sql,
 )
@@ -38,6 +40,38 @@ def w02(t):
     )
 
 
+#: Where the watermark of a stream of all events ends, with two hours of lateness.
+STREAMED = """streamed as (select date_trunc('milliseconds', max(ts)) - interval 2 hour as passed from events)"""
+
+
+def event_stream(t):
+    """The events as a stream of the table's files."""
+    stream = t.stream("events")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("w02_stream_next", f"""
+with {STREAMED}, e as (select distinct user_id, ts, event_type from events where ts is not null),
+n as (select *, lead(ts) over w as next_ts, lead(event_type) over w as next_type from e
+  window w as (partition by user_id order by ts, event_type nulls first))
+select user_id, epoch_us(ts) as at, event_type, case when next_ts <= ts + interval 6 hour then next_type end as next_type
+from n, streamed where least(ts + interval 6 hour, coalesce(next_ts, ts + interval 6 hour)) <= passed""")
+def w02_stream(t):
+    out = run_to_end(stream_next_state(event_stream(t), ["user_id"], "ts", "event_type", "next_type", 6 * 3600, "2 hours"), "next")
+    return out.select("user_id", F.unix_micros("ts").alias("at"), "event_type", "next_type")
+
+
+@query("w05_stream_first", f"""
+with {STREAMED}
+select user_id, cast(epoch(ts) as bigint) - cast(epoch(ts) as bigint) % 900 as epoch, value from
+  (select user_id, date_trunc('second', ts) as ts, value, row_number() over
+    (partition by user_id, time_bucket(interval 15 minute, ts) order by ts, event_id) as r from events where ts is not null), streamed
+where r = 1 and time_bucket(interval 15 minute, ts) + interval 15 minute <= passed""")
+def w05_stream(t):
+    out = run_to_end(stream_bucket_first(event_stream(t), ["user_id"], "ts", 900, "value", ["event_id"], "2 hours"), "first")
+    return out.select("user_id", "epoch", "value")
+
+
 @query("w03_global_ids", """
 select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey) as _id from orders""")
 def w03(t):

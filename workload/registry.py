@@ -20,6 +20,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """The table's files as a stream; a pattern, as a path of a stream that is no pattern must be a folder."""
+        schema = getattr(self, name).schema
+        return self.spark.readStream.schema(schema).parquet(f"{self._folder}/{name}.parque[t]")
+
 
 def query(name: str, sql: str | None = None):
     """Register a function of ``Tables``; ``sql`` is what must give the same rows."""
