@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tideway.llm import mixing
 from tideway.llm.mixing import mix, pivot, settle, source_targets
@@ -23,10 +25,15 @@ ROWS = [
 ]
 
 
-def whole_ids(text):
+@functools.cache
+def whole_tokenizer():
     from tokenizers import Tokenizer
 
-    return [*Tokenizer.from_file(default_vocabulary()[0]).encode(text or "", add_special_tokens=False).ids, 0]
+    return Tokenizer.from_file(default_vocabulary()[0])
+
+
+def whole_ids(text):
+    return [*whole_tokenizer().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 @settings(max_examples=60, deadline=None)
@@ -208,3 +215,17 @@ def test_training_order(spark, tmp_path, parts):
     assert [f.stat().st_mtime_ns for f in files[1:]] == before[1:] and files[0].stat().st_size > 4
     empty, none = training_order(df.filter("false"), length=64)
     assert empty.count() == 0 and none.total == 0
+
+
+def test_training_order_query(spark, sf):
+    from tideway.llm.queries import QUERIES, table
+
+    docs = table(spark, sf, "documents").select(F.spark_partition_id().alias("part"), "doc_id", "text").collect()
+    runs, want = {}, []
+    for part, doc, text in docs:
+        runs.setdefault(part, []).extend((t, doc) for t in whole_ids(text))
+    sequences = [run[at : at + 1024] for _, run in sorted(runs.items()) for at in range(0, len(run), 1024)]
+    for slot, run in zip(permute(np.arange(len(sequences)), len(sequences), 20240601).tolist(), sequences):
+        ids = np.array([t for t, _ in run] + [0] * (1024 - len(run)), "<u4")
+        want.append((slot, slot // 4096, slot % 4096, run[0][1], len(run), zlib.crc32(ids)))
+    assert sorted(tuple(r) for r in QUERIES["op4_training_order"](spark, sf).collect()) == sorted(want)

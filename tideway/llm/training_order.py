@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,6 +26,11 @@ from tideway.llm.tokens import default_vocabulary, encode
 from tideway.session import materialise, scratch_path
 
 ROUNDS = 6
+#: Stored sequences hardly repeat whole, so they get no dictionary; their ids compress best in large pages.
+STORED = {
+    "compression": "zstd", "parquet.compression.codec.zstd.level": "6", "parquet.enable.dictionary": "false",
+    "parquet.page.size": str(4 << 20),
+}
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -120,60 +126,59 @@ def training_order(
     """Write the shards and return (manifest, layout); the manifest has one row per sequence.
 
     Manifest: slot, shard, record, first_doc (id of the document its first token is from), n_tokens (ids that are not
-    filling) and ids_crc32 (of the record as uint32). ``df`` must be a table scan: it is tokenised twice, once to count the
-    sequences of each task and once to write them, and a task whose count differs stops the job. A null text is an empty
-    one (its end id alone); repeated rows are written each; the last sequence of a task is filled with the end id; an
-    empty table writes nothing. Other columns are ignored. ``path`` defaults to a fresh folder in the shared one; with a
-    path of an earlier run of the same table, complete shards are not written again. ``dtype`` must hold every id.
+    filling) and ids_crc32 (of the record as uint32). The table is tokenised once, into stored sequences with their task and
+    their number in it; slots follow from the stored counts, so nothing is read twice. A null text is an empty one (its end
+    id alone); repeated rows are written each; the last sequence of a task is filled with the end id; an empty table writes
+    nothing. Other columns are ignored. ``path`` defaults to a fresh folder in the shared one; with a path of an earlier run
+    of the same table, complete shards are not written again. ``dtype`` must hold every id.
     """
     spark = df.sparkSession
     vocabulary = vocabulary or default_vocabulary()
     path = path or scratch_path(spark, "shards")
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, tokens = 0, 0
-        for batch in batches:
-            for text in batch.column(1):
-                tokens += len(encode(text.as_py() or "", vocabulary)) + 1
-        n = -(-tokens // length)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
-
-    counts = materialise(source.mapInArrow(count, "part int, n long"), "sequence-counts")
-    # One row per task.
-    firsts, total = {}, 0
-    for part, n in counts.orderBy("part").collect():
-        firsts[part] = (total, n)
-        total += n
-    layout = Layout(path, total, length, per_shard, dtype)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, n = firsts[TaskContext.get().partitionId()]
-        slots = iter(permute(np.arange(first, first + n), total, key).tolist())
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
 
         def send() -> pa.RecordBatch:
-            at, docs, sizes, ids = zip(*held)
-            held.clear()
-            return pa.RecordBatch.from_pydict({
-                "slot": pa.array(at, pa.int64()), "first_doc": pa.array(docs, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()),
-                "ids": pa.array(ids, pa.binary()),
+            nonlocal number
+            docs, sizes, ids = zip(*held)
+            out = pa.RecordBatch.from_pydict({
+                "part": pa.array(np.full(len(held), part, np.int32)), "number": pa.array(np.arange(number, number + len(held))),
+                "first_doc": pa.array(docs, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids": pa.array(ids, pa.binary()),
             })
+            number += len(held)
+            held.clear()
+            return out
 
-        done = 0
         for doc, size, ids in _sequences(batches, length, end_id, vocabulary, dtype):
-            done += 1
-            if done > n:
-                raise RuntimeError("the table changed between counting and writing")
-            held.append((next(slots), doc, size, zlib.compress(ids.tobytes(), 1)))
+            held.append((doc, size, ids.tobytes()))
             if len(held) == 1024:
                 yield send()
-        if done != n:
-            raise RuntimeError("the table changed between counting and writing")
         if held:
             yield send()
 
-    placed = source.mapInArrow(place, "slot long, first_doc long, n_tokens long, ids binary")
+    stored = materialise(
+        source.mapInArrow(cut, "part int, number long, first_doc long, n_tokens long, ids binary"), "sequences", **STORED
+    )
+    # One row per task, and one number per task in the closure.
+    counts = stored.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    total = sum(c["n"] for c in counts)
+    firsts = np.zeros(counts[-1]["part"] + 1 if counts else 0, np.int64)
+    firsts[[c["part"] for c in counts]] = np.cumsum([0, *[c["n"] for c in counts]])[:-1]
+    layout = Layout(path, total, length, per_shard, dtype)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            slots = permute(firsts[batch.column(0).to_numpy()] + batch.column(1).to_numpy(), total, key)
+            packed = pa.array([pack(ids.as_buffer()) for ids in batch.column(4)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slots), batch.column(2), batch.column(3), packed], names=["slot", "first_doc", "n_tokens", "ids"]
+            )
+
+    placed = stored.mapInArrow(place, "slot long, first_doc long, n_tokens long, ids binary")
     shards = -(-total // per_shard)
     parts = max(1, min(shuffle_parts(df, None), shards))
     # Whole shards to a partition, in order; slots are dense, so no sampling is needed for even ranges.
@@ -184,6 +189,7 @@ def training_order(
         files, folder = fs.FileSystem.from_uri(path)
         files.create_dir(folder, recursive=True)
         out, shard, target, temp = None, -1, "", ""
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def close() -> None:
             if out is not None:
@@ -200,7 +206,7 @@ def training_order(
                     if files.get_file_info(target).size != layout.records(shard) * layout.stride:
                         temp = f"{target}.{TaskContext.get().taskAttemptId()}"
                         out = files.open_output_stream(temp)
-                record = zlib.decompress(packed.as_py())
+                record = unpack(packed.as_buffer())
                 crcs.append(zlib.crc32(np.frombuffer(record, dtype).astype("<u4").tobytes()))
                 if out is not None:
                     out.write(record)
