@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tideway.functions.calendar import DAY, sun_phase
 from tideway.functions.scalar import epoch_date, epoch_second_of_day, within_tolerance
-from tideway.operators.aggregates import pivot_mean
+from tideway.operators.aggregates import pivot_mean, quantiles
+from tideway.operators.joins import scalars
 from tideway.operators.seasons import circle_columns, date_phases, sun_times
 from tideway.session import materialise
 
@@ -51,6 +52,50 @@ def power_grid(base: float, start: float, step: float):
     return lambda i: F.pow(F.lit(float(base)), F.lit(float(start)) + i * F.lit(float(step)))
 
 
+def quantile_grid(df: DataFrame, sizes: Mapping[str, int]) -> DataFrame:
+    """One row with an array per feature: ``size`` exact quantiles, evenly spaced from the least value to the greatest.
+
+    The features are stacked, so that one pass ranks them all. Null and NaN are no values; a feature without values has an
+    array of nulls. Quantiles that coincide, as those of a feature with few values, are kept, so arrays have their size.
+    """
+    if any(size < 2 for size in sizes.values()):
+        raise ValueError("a grid of quantiles has two ends")
+    steps = {f"q{i}_{size}": i / (size - 1) for size in sorted(set(sizes.values())) for i in range(size)}
+    numbers = [F.col(c).cast("double").alias(c) for c in sizes]
+    stacked = df.select(*numbers).unpivot([], list(sizes), "__feature", "__x").filter("not isnan(__x)")
+    found = quantiles(stacked, "__x", steps, ["__feature"])
+    arrays = {
+        c: F.coalesce(
+            F.max(F.when(F.col("__feature") == c, F.array(*[F.col(f"q{i}_{size}") for i in range(size)]))),
+            F.array_repeat(F.lit(None).cast("double"), size),
+        )
+        for c, size in sizes.items()
+    }
+    return materialise(found.agg(*[a.alias(c) for c, a in arrays.items()]), "grid")
+
+
+def grid_values(grid: DataFrame, sizes: Mapping[str, int]) -> dict[str, tuple[int, object]]:
+    """The arrays of ``quantile_grid`` as grids for ``hypercube``."""
+    row = scalars(grid)
+    return {c: (size, lambda i, c=c: F.element_at(row[c], (i + 1).cast("int"))) for c, size in sizes.items()}
+
+
+def feature_sweeps(df: DataFrame, grid: DataFrame, sizes: Mapping[str, int], feature: str = "_feature", step: str = "_step") -> DataFrame:
+    """Every row once per feature and grid value, that feature set to the value and the others left as they are.
+
+    Scored, these are the response curves of single rows, and their mean is the partial dependence. ``feature`` and ``step``
+    name the swept feature and the place of its value in the grid. No exchange: each row expands where it is.
+    """
+
+    def points_of(c: str) -> Column:
+        return F.transform(c, lambda x, i: F.struct(F.lit(c).alias("f"), i.alias("i"), x.alias("x")))
+
+    points = F.flatten(F.array(*[points_of(c) for c in sizes]))
+    out = df.withColumn("__point", F.explode(grid.select(points).scalar()))
+    swept = {c: F.when(F.col("__point.f") == c, F.col("__point.x")).otherwise(F.col(c).cast("double")) for c in sizes}
+    return out.withColumns({**swept, feature: F.col("__point.f"), step: F.col("__point.i")}).drop("__point")
+
+
 def hypercube_slice(
     df: DataFrame, x: str, y: str, fixed: Mapping[str, float], value: str = "odds",
     tolerance: float = 0.001,

@@ -233,6 +233,40 @@ def d37(t):
     )
 
 
+CUBE_SIZES = {"l_quantity": 11, "l_discount": 5, "l_extendedprice": 21}
+
+
+def grid_sql(name: str) -> str:
+    """Index and value of one feature's grid of quantiles."""
+    steps = ", ".join(num(i / (CUBE_SIZES[name] - 1)) for i in range(CUBE_SIZES[name]))
+    return f"select unnest(range({CUBE_SIZES[name]})) as i, unnest(quantile_cont({name}::double, [{steps}])) as v from lineitem"
+
+
+@query("d37_quantile_cube", f"""
+with q as ({grid_sql("l_quantity")}), d as ({grid_sql("l_discount")}), e as ({grid_sql("l_extendedprice")}),
+c as (select row_number() over (order by c) - 1 as i, c from (select unnest([25e0, 50e0, 100e0, 200e0, 400e0]) as c))
+select (q.i * 5 + d.i) * 21 + e.i as _decision, ((q.i * 5 + d.i) * 21 + e.i) * 5 + c.i as _choice, {q6('q.v')} as l_quantity,
+  {q6('d.v')} as l_discount, {q6('e.v')} as l_extendedprice, c.c as depth_class from q, d, e, c""")
+def d37_quantiles(t):
+    grid = cube.quantile_grid(t.lineitem, CUBE_SIZES)
+    out = cube.hypercube(t.spark, cube.grid_values(grid, CUBE_SIZES), [25, 50, 100, 200, 400])
+    return out.select("_decision", "_choice", *[r6(c).alias(c) for c in CUBE_SIZES], "depth_class")
+
+
+@query("d37_feature_sweeps", f"""
+with g as ({" union all ".join(f"select '{c}' as f, i, v from ({grid_sql(c)})" for c in CUBE_SIZES)})
+select f as _feature, i as _step, l_returnflag, l_linenumber, count(*) as n,
+  {", ".join(f"{q6(f'avg(case when f = {chr(39)}{c}{chr(39)} then v else {c} end)')} as {c}" for c in CUBE_SIZES)}
+from lineitem, g group by all""")
+def d37_sweeps(t):
+    grid = cube.quantile_grid(t.lineitem, CUBE_SIZES)
+    rows = cube.feature_sweeps(t.lineitem.select("l_returnflag", "l_linenumber", *CUBE_SIZES), grid, CUBE_SIZES)
+    means = rows.groupBy("_feature", "_step", "l_returnflag", "l_linenumber").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in CUBE_SIZES]
+    )
+    return means.withColumns({c: r6(c) for c in CUBE_SIZES})
+
+
 @query("d38_hypercube_slice", f"""
 select l_linenumber, l_returnflag, {q6('avg(l_quantity)')} as l_quantity from lineitem
 where l_discount between 0.03 - 0.001 and 0.03 + 0.001 and l_tax between 0.04 - 0.001 and 0.04 + 0.001 group by 1, 2""")

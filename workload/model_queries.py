@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tideway import transforms
 from tideway.functions import grid
-from tideway.operators import choice_fit, choices, evaluation, fitting, norms, sampling, scoring, weighted
+from tideway.operators import choice_fit, choices, evaluation, fitting, norms, sampling, scoring, table_functions, weighted
 from tideway.plans import priority
 from tideway.session import materialise
 from workload.aggregate_queries import RUN_LOG, run_log
@@ -345,6 +345,22 @@ def x03(t):
     return t.orders.select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o_orderkey") % 4)).alias("step"))
 
 
+@query("x03_table_function", """
+with e as (select user_id, date_trunc('day', ts)::date as day, ts, event_id, value from events where value is not null and ts is not null),
+s as (select *, coalesce(last_value(case when value >= 20 then 1 when value < 5 then 0 end ignore nulls)
+  over (partition by user_id, day order by ts, event_id rows unbounded preceding), 0) as inside from e),
+b as (select *, case when inside = 1 and coalesce(lag(inside) over (partition by user_id, day order by ts, event_id), 0) = 0
+  then 1 else 0 end as begins from s),
+n as (select *, sum(begins) over (partition by user_id, day order by ts, event_id rows unbounded preceding) as episode from b)
+select user_id, day::varchar as day, epoch_us(min(ts)) as start, epoch_us(max(ts)) as "end", count(*) as n, max(value) as peak
+from n where inside = 1 group by user_id, day, episode""")
+def x03_episodes(t):
+    rows = t.events.withColumn("day", F.to_date("ts"))
+    out = table_functions.episodes(rows, ["user_id", "day"], "ts", "value", enter=20, leave=5, tie="event_id")
+    micros = {c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("start", "end")}
+    return out.withColumns({"day": F.col("day").cast("string"), **micros})
+
+
 @query("x04_vectorised_function", f"select event_id, {q6('sin(value) + cos(value)')} as y from events")
 def x04(t):
     @F.pandas_udf("double")
