@@ -138,11 +138,12 @@ def test_many_quantiles_at_once_and_null_groups(spark):
         x = rng.normal(size=n)
         df = spark.createDataFrame([(float(v), None if i % 3 == 0 else "a") for i, v in enumerate(x)], "x double, g string")
         ps = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
-        got = aggregates.quantiles(df, "x", ps).first()
-        assert [got[k] for k in ps] == pytest.approx(np.quantile(x, list(ps.values())), rel=1e-12)
-        by = {r["g"]: r for r in aggregates.quantiles(df, "x", ps, ["g"]).collect()}
-        assert set(by) == {None, "a"}
-        assert [by[None][k] for k in ps] == pytest.approx(np.quantile(x[::3], list(ps.values())), rel=1e-12)
+        for rows in (10, 2_000_000):  # ranked by a range sort, and by a window
+            got = aggregates.quantiles(df, "x", ps, window_rows=rows).first()
+            assert [got[k] for k in ps] == pytest.approx(np.quantile(x, list(ps.values())), rel=1e-12)
+            by = {r["g"]: r for r in aggregates.quantiles(df, "x", ps, ["g"], window_rows=rows).collect()}
+            assert set(by) == {None, "a"}
+            assert [by[None][k] for k in ps] == pytest.approx(np.quantile(x[::3], list(ps.values())), rel=1e-12)
 
 
 def test_null_keys_stay(spark):

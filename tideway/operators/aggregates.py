@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideway.functions.scalar import floor_to, half_even, right_closed_bin
 from tideway.operators.joins import join_totals, scalars
-from tideway.operators.ranking import running_total
+from tideway.operators.ranking import ROWS_PER_PART, running_total
 from tideway.session import materialise
 
 
@@ -128,14 +128,15 @@ def rounded_counts(df: DataFrame, bins: Mapping[str, Column]) -> DataFrame:
 
 def quantiles(
     df: DataFrame, col: str, probabilities: Mapping[str, float], by: Sequence[str] = (), accuracy: int = 10000,
-    extra: Sequence[Column] = (),
+    extra: Sequence[Column] = (), window_rows: int = ROWS_PER_PART,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per name, for groups of any size, in one pass over the ranks.
 
     ``percentile`` would gather every distinct value of a group in one task. Here a mergeable sketch first brackets each
     rank (its error bound proves the brackets), then values inside a bracket are counted exactly and ranked with running
-    totals. Values between brackets collapse to one count each, so nothing large is sorted or moved. ``extra`` aggregates
-    of the same groups ride along. Groups without a value have null quantiles; null keys are groups like any other.
+    totals. Values between brackets collapse to one count each, so nothing large is sorted or moved. A plain window ranks
+    them where the longest group has at most ``window_rows`` counts, a range sort that cuts groups beyond that; both are
+    exact. ``extra`` aggregates of the same groups ride along. Groups without a value have null quantiles; null keys are groups like any other.
     """
     keys, ps = list(by), list(probabilities.values())
     value = F.col(col).cast("double")
@@ -168,7 +169,14 @@ def quantiles(
         .filter("__x is not null")
         .groupBy(*keys, "__n", "__x", "__real").agg(F.count(F.lit(1)).alias("__c"))
     )
-    ranked = running_total(counts, keys, ["__x", "__real"], "__c", "__end")
+    # The counts are stored, so that one pass over the rows serves the size, the ranks and their range bounds.
+    counts = materialise(counts, "quantile-counts")
+    longest = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= window_rows:
+        along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__x", "__real").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counts.withColumn("__end", F.sum("__c").over(along))
+    else:
+        ranked = running_total(counts, keys, ["__x", "__real"], "__c", "__end")
 
     def at(p: float) -> Column:
         return F.lit(float(p)) * (F.col("__n") - 1)

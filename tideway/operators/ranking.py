@@ -38,8 +38,11 @@ def hash_slice(hashed: Column, bits: int = 18) -> Column:
 def _placed(df: DataFrame, order_by: Sequence, parts: int | None, label: str) -> DataFrame:
     """Rows sorted over partitions, with the partition and the place in it, written once.
 
-    Range bounds are sampled, so all uses of the sorted table must see one and the same run.
+    The input is stored first: counting it, sampling the range bounds and sorting it then read a table and not the plan
+    behind it, which runs once. Bounds are sampled, so all uses of the sorted table must see one and the same run.
     """
+    if not parts:
+        df = materialise(df, f"{label}-input")
     rows = df.repartitionByRange(measured_parts(df, parts), *order_by).sortWithinPartitions(*order_by)
     rows = rows.withColumn("__mid", F.monotonically_increasing_id())
     at = F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))
