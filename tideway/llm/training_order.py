@@ -28,7 +28,7 @@ from tideway.session import materialise, scratch_path
 ROUNDS = 6
 #: Stored sequences hardly repeat whole, so they get no dictionary; their ids compress best in large pages.
 STORED = {
-    "compression": "zstd", "parquet.compression.codec.zstd.level": "6", "parquet.enable.dictionary": "false",
+    "compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.enable.dictionary": "false",
     "parquet.page.size": str(4 << 20),
 }
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -170,7 +170,7 @@ def training_order(
     layout = Layout(path, total, length, per_shard, dtype)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(3).compress
+        pack = zstandard.ZstdCompressor(6).compress
         for batch in batches:
             slots = permute(firsts[batch.column(0).to_numpy()] + batch.column(1).to_numpy(), total, key)
             packed = pa.array([pack(ids.as_buffer()) for ids in batch.column(4)], pa.binary())
