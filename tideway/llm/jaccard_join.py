@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from tideway.llm.common import numbered, text_of
 from tideway.llm.components import connected_components
+from tideway.llm.simhash import simhash_of
 from tideway.operators.joins import join_totals
 from tideway.session import materialise, materialise_at, release
 
@@ -116,25 +117,31 @@ def band(n, least: int):
     return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / least)) + F.lit(1e-9)).cast("int")
 
 
-def with_sets(df: DataFrame, width: int) -> tuple[DataFrame, str]:
-    """The columns before the last, the text, and the set's size, digest (null for none), signature and hashes; written, with path."""
+def with_sets(df: DataFrame, width: int, prints: bool = False) -> tuple[DataFrame, str]:
+    """The columns before the last, the text, and the set's size, digest (null for none), signature and hashes; written, with path.
+
+    With ``prints`` also ``fp``, the SimHash fingerprint of the set as a signed long.
+    """
     import xxhash
 
     held = df.schema.fields[:-1]
     own = [("n", T.LongType()), ("key", T.BinaryType()), ("bits", T.BinaryType()), ("hashes", T.BinaryType())]
-    schema = T.StructType([*held, *[T.StructField(*f) for f in own]])
+    schema = T.StructType([*held, *[T.StructField(*f) for f in own + [("fp", T.LongType())] * prints]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                rows = []
+                rows, fps = [], []
                 for text in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist():
                     found = shingle_set(text, width, known)
                     rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None, signature(found), packed(found)))
+                    if prints:
+                        fps.append(simhash_of(found))
                 n, key, bits, hashes = zip(*rows)
                 more = [pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bits, pa.binary()), pa.array(hashes, pa.binary())]
+                more += [pa.array(np.array(fps, np.uint64).view(np.int64))] * prints
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=schema.names)
 
     return materialise_at(df.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "sets", compression="zstd")
@@ -386,10 +393,13 @@ def tile_pairs(cut: DataFrame, least: int) -> DataFrame:
     return materialise(dealt.mapInArrow(run, "a binary, b binary").distinct(), "tile-pairs")
 
 
-def similar_sets(stored: DataFrame, path: str, least: int, block: int = BLOCK, bits: int = SKETCH) -> tuple[DataFrame, DataFrame]:
+def similar_sets(
+    stored: DataFrame, path: str, least: int, block: int = BLOCK, bits: int = SKETCH, proposed: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """((node, root) of the keys that links of similarity ``least`` / 100 connect, ``stored`` without sets).
 
-    Keys without links are left out. The large tables at ``path`` and of the first shingles are given back on the way.
+    Keys without links are left out. The large tables at ``path`` and of the first shingles are given back on the way. The pairs
+    (a, b) in ``proposed`` are compared first; those that are links make classes before the tiles meet.
     """
     index, at = prefixes(stored, least, bits)
     lone, hits = meetings(index, least)
@@ -397,7 +407,9 @@ def similar_sets(stored: DataFrame, path: str, least: int, block: int = BLOCK, b
     narrow = materialise(stored.drop("hashes", "row"), "narrow")
     marks = narrow.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     marks = materialise(marks, "signatures")
-    first = verified(bounded(first_pairs(hits, least).union(lone).distinct(), marks, least), stored, least)
+    pairs = first_pairs(hits, least).union(lone)
+    pairs = pairs if proposed is None else pairs.unionByName(proposed)
+    first = verified(bounded(pairs.distinct(), marks, least), stored, least)
     classes = connected_components(first)
     more = verified(tile_pairs(tiles(hits, classes, marks, block), least), stored, least)
     release(stored, path)

@@ -27,6 +27,23 @@ FRONTIER, LEAF = 50_000, 32
 FP = "_sh_fp"
 
 
+def _bit_sums(h: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes set each bit."""
+    sums = np.zeros(64, np.int64)
+    for at in range(0, len(h), 65536):
+        sums += np.unpackbits(h[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return sums
+
+
+def _print_of(sums: np.ndarray, n: int) -> int:
+    return int(np.packbits(sums * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of given shingle hashes: a bit is set if over half of them set it; no hashes give zero."""
+    return _print_of(_bit_sums(hashes), len(hashes))
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """Unsigned 64-bit SimHash of the word shingles of one text, repeats included; no words give zero."""
     import xxhash
@@ -44,8 +61,8 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, k, 65536):
         h = np.array([digest(joined[a:b], 42) for a, b in zip(first[at : at + 65536], last[at : at + 65536])], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > k, bitorder="little").view("<u8")[0])
+        ones += _bit_sums(h)
+    return _print_of(ones, k)
 
 
 def with_fingerprint(df: DataFrame, text_col: str, name: str, width: int = 3, keep: list[str] | None = None) -> DataFrame:
