@@ -119,3 +119,22 @@ def test_shingles_are_the_words_runs():
 
 def test_query(same_as_sql):
     same_as_sql("op11_jaccard_join")
+
+
+def test_a_loose_group_is_verified_by_few_pairs(spark, monkeypatch):
+    """Texts that are mostly near each other, none near all: links are looked for by one pair a text and round."""
+    from tideway.llm import jaccard_join
+
+    counts, verify = [], jaccard_join.verified
+
+    def counted(pairs, stored, least):
+        counts.append(pairs.count())
+        return verify(pairs, stored, least)
+
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(160)]
+    rows = [(i, " ".join(varied(rng, base, rng.choice((0.015, 0.02, 0.025)), 10**6)), 0, "") for i in range(200)]
+    out = jaccard_components(spark.createDataFrame(rows, DOCS), bits=14)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=str) == slow_components(rows, 4, 85)
+    assert max(counts) <= 2 * len(rows)

@@ -6,8 +6,11 @@ share such a shingle only those of near sizes meet: bands are as wide as the sim
 one above it. Bitmaps hold each set's parity a bit; differing bits bound the overlap from above, and what is left is decided
 on the whole sorted arrays.
 
-Dense groups would meet in all pairs, so there are two steps. First every text is compared with one text of each tile, and
-what is alike becomes a class. Joins are sort-merge joins at every size, so the plan that is tested is the one that grows. Then tiles compare only texts of different classes, block by block, whatever their number.
+Dense groups would meet in all pairs, so there are three steps. First every text is compared with one text of its tiles, and
+what is alike becomes a class. Then, in rounds, every text is compared with the one text of another class that its tiles hold
+nearest by signature, and classes that have a link become one: a round has at most one pair a text, however loose the group. Last,
+all pairs that are left between different classes are compared. Joins are sort-merge joins at every size, so the plan that is
+tested is the one that grows.
 Sets are known by a digest of their content: equal sets are one, and every step can be run again after a lost executor.
 """
 
@@ -31,6 +34,9 @@ from tideway.session import materialise, materialise_at, release
 
 #: Bits of the sketch that orders shingles; rows of a block of a tile; least and most bits of a signature.
 SKETCH, BLOCK, BITS = 20, 1024, (128, 4096)
+#: Most rounds that grow classes (a loose group halves its classes in each), and rows of a token that take part: the pairs of
+#: tokens with no more rows are bounded by their rows.
+ROUNDS, FEW = 12, 16
 #: Counters of a sketch that travel in one row.
 _ROW = 4096
 #: Bits a key of the filter that spares sets without a candidate a shuffle, and its largest size in bits (64 MB).
@@ -306,16 +312,20 @@ def first_pairs(hits: DataFrame, least: int) -> DataFrame:
     return materialise(met.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"), "first-pairs")
 
 
-def tiles(hits: DataFrame, classes: DataFrame, bits: DataFrame, block: int = BLOCK) -> DataFrame:
+def mixed_hits(hits: DataFrame, classes: DataFrame, few: int = 0) -> DataFrame:
+    """Rows of the tokens with more than ``few`` rows that sets of more than one class share, with their class as ``root``; written."""
+    rows = hits.join(classes.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"))
+    mixed = materialise(mixed.filter((F.col("low") < F.col("high")) & (F.col("rows") > few)).select("token"), "mixed")
+    return materialise(rows.join(mixed.hint("merge"), "token"), "mixed-hits", compression="zstd")
+
+
+def tiles(rows: DataFrame, bits: DataFrame, block: int = BLOCK) -> DataFrame:
     """Rows of the tiles that hold more than one class, with class and signature, cut into pairs of blocks.
 
     A tile is a token, a band and the band above. Rows of its largest class need not meet each other, so their blocks meet only
     blocks of the other rows.
     """
-    rows = hits.join(classes.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    rows = rows.join(materialise(mixed, "mixed"), "token")
-    rows = materialise(rows.join(bits.select("key", "bits").hint("merge"), "key"), "loose", compression="zstd")
     rows = rows.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("tile", F.when(F.col("own"), F.col("band")).otherwise(F.col("band") - 1))
     per = rows.groupBy("token", "tile", "root").agg(F.count("*").alias("rows"), F.bool_or("own").alias("own"))
     per = per.groupBy("token", "tile").agg(
@@ -336,34 +346,40 @@ def tiles(hits: DataFrame, classes: DataFrame, bits: DataFrame, block: int = BLO
     cut = cut.withColumn("place", place)
     met = F.when(at_main, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
     cut = cut.withColumn("other", F.explode(met)).withColumns({"low": F.least("place", "other"), "high": F.greatest("place", "other")})
+    cut = cut.join(bits.select("key", "bits").hint("merge"), "key")
     return cut.select("token", "tile", "low", "high", "place", "own", "key", "n", "pos", "root", "bits")
 
 
-def tile_pairs(cut: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of keys in one tile, of different classes, whose sizes, places and signatures allow a link."""
-
-    def compare(rows: dict[str, np.ndarray], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.arange(lo, hi)
-        place, own, n = rows["place"][lo:hi], rows["own"][lo:hi], rows["n"][lo:hi]
-        if rows["low"][lo] == rows["high"][lo]:
-            left, right = at, at
-        else:
-            left, right = at[place == rows["low"][lo]], at[place == rows["high"][lo]]
-        found = [np.zeros((0, 2), np.int64)]
-        size = min(map(len, rows["bits"][lo:hi]), default=16)
-        marks = np.stack([fold(np.frombuffer(b, np.uint8), size) for b in rows["bits"][lo:hi]]).view(np.uint64)
-        for i in left:
-            j = right[right > i] if left is right else right
-            x, y = i - lo, j - lo
-            j = j[(rows["root"][j] != rows["root"][i]) & (own[y] | own[x])]
-            want = needed(n[x], rows["n"][j], least)
-            j = j[np.minimum(n[x] - rows["pos"][i], rows["n"][j] - rows["pos"][j]) >= want]
-            if not len(j):
-                continue
-            differ = np.bitwise_count(marks[x] ^ marks[j - lo]).sum(axis=1).astype(np.int64)
-            j = j[(n[x] + rows["n"][j] - differ) // 2 >= needed(n[x], rows["n"][j], least)]
-            found.append(np.stack([np.full(len(j), i), j], axis=1))
-        return np.concatenate(found).T
+def _candidates(rows: dict[str, np.ndarray], lo: int, hi: int, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, the rows j that it meets, greatest similarity of each) in the pair of blocks from ``lo`` to ``hi``.
+
+    Rows are of different classes, and sizes, places and signatures allow a link. Every pair is met once.
+    """
+    at = np.arange(lo, hi)
+    place, own, n = rows["place"][lo:hi], rows["own"][lo:hi], rows["n"][lo:hi]
+    if rows["low"][lo] == rows["high"][lo]:
+        left, right = at, at
+    else:
+        left, right = at[place == rows["low"][lo]], at[place == rows["high"][lo]]
+    size = min(map(len, rows["bits"][lo:hi]), default=16)
+    marks = np.stack([fold(np.frombuffer(b, np.uint8), size) for b in rows["bits"][lo:hi]]).view(np.uint64)
+    for i in left:
+        j = right[right > i] if left is right else right
+        x, y = i - lo, j - lo
+        j = j[(rows["root"][j] != rows["root"][i]) & (own[y] | own[x])]
+        want = needed(n[x], rows["n"][j], least)
+        j = j[np.minimum(n[x] - rows["pos"][i], rows["n"][j] - rows["pos"][j]) >= want]
+        if not len(j):
+            continue
+        differ = np.bitwise_count(marks[x] ^ marks[j - lo]).sum(axis=1).astype(np.int64)
+        both, most = n[x] + rows["n"][j], (n[x] + rows["n"][j] - differ) // 2
+        may = most >= needed(n[x], rows["n"][j], least)
+        if may.any():
+            yield i, j[may], (most / np.maximum(1, both - most))[may]
+
+
+def _per_tile(cut: DataFrame, compare, names: Sequence[str], more: Sequence[tuple[str, pa.DataType]]) -> DataFrame:
+    """Rows (two keys called ``names``, numbers called as in ``more``) that ``compare`` gives for every pair of blocks of ``cut``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -373,24 +389,86 @@ def tile_pairs(cut: DataFrame, least: int) -> DataFrame:
                 rest = some if rest is None else pa.concat_tables([rest, some])
             if rest is None or not rest.num_rows:
                 continue
-            names = ["token", "tile", "low", "high", "place", "own", "n", "pos"]
-            rows = {c: rest.column(c).to_numpy() for c in names} | {c: np.array([*rest.column(c).to_pylist(), None], object)[:-1] for c in ("key", "root", "bits")}
+            plain = ["token", "tile", "low", "high", "place", "own", "n", "pos"]
+            rows = {c: rest.column(c).to_numpy() for c in plain} | {c: np.array([*rest.column(c).to_pylist(), None], object)[:-1] for c in ("key", "root", "bits")}
             change = np.zeros(rest.num_rows - 1, bool)
             for c in ("token", "tile", "low", "high"):
                 change |= rows[c][1:] != rows[c][:-1]
             ends = [0, *(np.flatnonzero(change) + 1), *([rest.num_rows] if batch is None else [])]
-            pairs = [compare(rows, lo, hi) for lo, hi in zip(ends, ends[1:]) if hi - lo > 1]
-            a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-            x, y = rows["key"][a], rows["key"][b]
-            swap = x > y
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(swap, y, x).tolist(), pa.binary()), pa.array(np.where(swap, x, y).tolist(), pa.binary())], names=["a", "b"]
-            )
+            found = [x for x in (compare(rows, lo, hi) for lo, hi in zip(ends, ends[1:]) if hi - lo > 1) if len(x[0])]
+            if found:
+                one, two, *numbers = map(np.concatenate, zip(*found))
+                keys = [pa.array(rows["key"][at].tolist(), pa.binary()) for at in (one, two)]
+                yield pa.RecordBatch.from_arrays([*keys, *[pa.array(x, t) for x, (_, t) in zip(numbers, more)]], names=[*names, *[n for n, _ in more]])
             rest = rest.slice(ends[-1])
 
     sides = ["token", "tile", "low", "high"]
     dealt = cut.repartition(*sides).sortWithinPartitions(*sides)  # a tile holds at most two blocks
-    return materialise(dealt.mapInArrow(run, "a binary, b binary").distinct(), "tile-pairs")
+    kinds = {pa.float64(): "double", pa.int64(): "long"}
+    return dealt.mapInArrow(run, ", ".join([f"{n} binary" for n in names] + [f"{n} {kinds[t]}" for n, t in more]))
+
+
+def tile_pairs(cut: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of keys in one tile, of different classes, whose sizes, places and signatures allow a link; written."""
+
+    def compare(rows: dict[str, np.ndarray], lo: int, hi: int):
+        found = [np.stack([np.full(len(j), i), j]) for i, j, _ in _candidates(rows, lo, hi, least)]
+        return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+
+    pairs = _per_tile(cut, compare, ["one", "two"], [])
+    return materialise(pairs.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct(), "tile-pairs")
+
+
+def nearest(cut: DataFrame, least: int) -> DataFrame:
+    """(one, two, alike, pairs) for every key that meets another class: the key of another class that is nearest by signature, the
+    greatest similarity with it, and the number of pairs that ``tile_pairs`` would make of it; written.
+    """
+
+    def compare(rows: dict[str, np.ndarray], lo: int, hi: int):
+        best, who, pairs = np.zeros(hi - lo), np.full(hi - lo, -1), np.zeros(hi - lo, np.int64)
+        for i, j, alike in _candidates(rows, lo, hi, least):
+            x, y = i - lo, j - lo
+            k = int(alike.argmax())
+            if alike[k] > best[x]:
+                best[x], who[x] = alike[k], j[k]
+            closer = alike > best[y]
+            best[y[closer]], who[y[closer]] = alike[closer], i
+            pairs[x] += len(j)
+        met = np.flatnonzero(who >= 0)
+        return met + lo, who[met], best[met], pairs[met]
+
+    rows = _per_tile(cut, compare, ["one", "two"], [("alike", pa.float64()), ("pairs", pa.int64())])
+    one = F.max_by(F.struct("two", "alike"), F.struct("alike", "two"))
+    told = rows.groupBy("one").agg(one.alias("best"), F.sum("pairs").alias("pairs"))
+    return materialise(told.select("one", "best.two", "best.alike", "pairs"), "nearest")
+
+
+def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of all nodes of ``classes`` and ``links``, connected by both."""
+    return connected_components(links.unionByName(classes.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def grown_classes(hits: DataFrame, classes: DataFrame, marks: DataFrame, stored: DataFrame, least: int, block: int, rounds: int = ROUNDS):
+    """(classes, rows of the tokens that are still mixed): classes that a link joins are one, round by round.
+
+    Every text proposes its nearest text of another class, so a loose group of n texts costs n pairs a round and its classes fall to
+    half or less. Only crowded tokens take part. The rounds end when few of the proposed pairs are links or when the pairs that are
+    left are no more than the texts that have one; what is left then is for ``tile_pairs``.
+    """
+    crowded = hits
+    for _ in range(rounds):
+        crowded = mixed_hits(crowded.drop("root"), classes, FEW)
+        told = nearest(tiles(crowded, marks, block), least)
+        texts, left = told.agg(F.count("*"), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+        if left <= texts:
+            break
+        links = verified(told.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct(), stored, least)
+        made = links.count()
+        if made:
+            classes = joined_classes(classes, links)
+        if 10 * made < texts:
+            break
+    return classes, mixed_hits(hits, classes)
 
 
 def similar_sets(
@@ -410,12 +488,11 @@ def similar_sets(
     pairs = first_pairs(hits, least).union(lone)
     pairs = pairs if proposed is None else pairs.unionByName(proposed)
     first = verified(bounded(pairs.distinct(), marks, least), stored, least)
-    classes = connected_components(first)
-    more = verified(tile_pairs(tiles(hits, classes, marks, block), least), stored, least)
+    classes, mixed = grown_classes(hits, connected_components(first), marks, stored, least, block)
+    more = verified(tile_pairs(tiles(mixed, marks, block), least), stored, least)
     release(stored, path)
     # Links between classes, and the classes themselves, connect the same keys as all links.
-    edges = more.unionByName(classes.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return connected_components(edges), narrow
+    return joined_classes(classes, more), narrow
 
 
 def jaccard_components(
