@@ -89,13 +89,15 @@ def cached_query(spark: SparkSession, text: str, cache_root: str) -> DataFrame:
 
 #: Bytes wanted in a file; shuffle partitions are far smaller, as alternatives multiply their rows.
 FILE_BYTES = "256m"
+#: The same for tables in partition folders: a task sorts its rows by folder before it writes, so this bounds its memory.
+SORTED_BYTES = "64m"
 
 
 @contextmanager
-def _file_sized(spark: SparkSession):
+def _file_sized(spark: SparkSession, partition_by: Sequence[str] = ()):
     """While a table is written, partitions are merged and split to the size of files."""
     sized = {
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": FILE_BYTES,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": SORTED_BYTES if partition_by else FILE_BYTES,
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     }
     before = {k: spark.conf.get(k) for k in sized}
@@ -124,7 +126,7 @@ def write_table(
         writer = writer.option("maxRecordsPerFile", max_rows_per_file)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    with _file_sized(df.sparkSession):
+    with _file_sized(df.sparkSession, partition_by):
         writer.parquet(path)
 
 
@@ -138,7 +140,7 @@ def save_as_table(
         writer = writer.option("path", path)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    with _file_sized(df.sparkSession):
+    with _file_sized(df.sparkSession, partition_by):
         writer.saveAsTable(name)
 
 
