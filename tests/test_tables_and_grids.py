@@ -80,3 +80,15 @@ def test_sweeps_move_one_feature(spark):
     want += [(i, x, v, "y", k) for i, x, _ in [(1, 5.0, 2), (2, None, 3)] for k, v in enumerate([7.0, 8.0])]
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
     assert "Exchange" not in plan_of(cube.feature_sweeps(spark.range(9).select(F.col("id").alias("x")), grid, {"x": 3}))
+
+
+def test_means_of_sweeps_are_taken_from_groups(spark):
+    draw = np.random.default_rng(5)
+    rows = [(int(g) or None, None if v < -1 else float(v), int(k)) for g, v, k in zip(draw.integers(0, 3, 200), draw.normal(size=200), draw.integers(0, 9, 200))]
+    df = spark.createDataFrame([*rows, (9, None, 4)], "g int, x double, y int").repartition(5)
+    grid = spark.createDataFrame([([0.0, 1.0, None], [7.0, 8.0])], "x array<double>, y array<double>")
+    sizes = {"x": 3, "y": 2}
+    want = cube.feature_sweeps(df, grid, sizes).groupBy("g", "_feature", "_step").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    got = cube.sweep_means(df, grid, sizes, ["g"]).select(want.columns)
+    rounded = [[tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect()] for d in (got, want)]
+    assert sorted(rounded[0], key=str) == sorted(rounded[1], key=str)

@@ -96,6 +96,16 @@ def feature_sweeps(df: DataFrame, grid: DataFrame, sizes: Mapping[str, int], fea
     return out.withColumns({**swept, feature: F.col("__point.f"), step: F.col("__point.i")}).drop("__point")
 
 
+def sweep_means(df: DataFrame, grid: DataFrame, sizes: Mapping[str, int], by: Sequence[str], n: str = "n") -> DataFrame:
+    """Rows and mean of every feature by ``by``, swept feature and step: ``feature_sweeps`` and its mean per group.
+
+    A sweep sets one feature for all rows of a group alike and leaves the others, so the means of a group are swept in place of
+    its rows. What is not linear in the features, as a score, needs the rows of ``feature_sweeps``.
+    """
+    groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias(n), *[F.avg(F.col(c).cast("double")).alias(c) for c in sizes])
+    return feature_sweeps(materialise(groups, "sweep-groups"), grid, sizes)
+
+
 def hypercube_slice(
     df: DataFrame, x: str, y: str, fixed: Mapping[str, float], value: str = "odds",
     tolerance: float = 0.001,
