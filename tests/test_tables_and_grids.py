@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import plan_of
-from tideway.operators import cube
+from tideway.operators import aggregates, cube
+from tideway.operators.aggregates import quantiles
 from tideway.operators.table_functions import episodes
 
 READINGS = "who string, at long, depth double, id int"
@@ -92,3 +93,19 @@ def test_means_of_sweeps_are_taken_from_groups(spark):
     got = cube.sweep_means(df, grid, sizes, ["g"]).select(want.columns)
     rounded = [[tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect()] for d in (got, want)]
     assert sorted(rounded[0], key=str) == sorted(rounded[1], key=str)
+
+
+def test_brackets_are_searched_without_lambdas(spark, monkeypatch):
+    plans, write = {}, aggregates.materialise
+    monkeypatch.setattr(aggregates, "materialise", lambda df, label: plans.setdefault(label, plan_of(df)) and write(df, label))
+    draw = np.random.default_rng(8)
+    x = np.concatenate([draw.normal(size=60_000), draw.integers(0, 3, 30_000)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(6)
+    row = cube.quantile_grid(df, {"x": 38}).first()
+    assert np.allclose(row.x, np.quantile(x, np.linspace(0, 1, 38)), rtol=0, atol=1e-12)
+    ps = {f"q{i}": i / 8 for i in range(9)}
+    with_nan = df.union(spark.createDataFrame([(math.nan,)] * 50_000, "x double"))
+    got = quantiles(with_nan, "x", ps, accuracy=200).first()
+    want = np.quantile(np.concatenate([x, np.full(50_000, np.inf)]), list(ps.values()))
+    assert all(np.isclose(g, w, rtol=0, atol=1e-12) for g, w in zip(got[:5], want[:5])) and math.isnan(got[-1])
+    assert "lambdafunction" not in plans["quantile-counts"]

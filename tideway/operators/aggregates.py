@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideway.functions.scalar import floor_to, half_even, right_closed_bin
+from tideway.operators.columns import computed
 from tideway.operators.joins import join_totals, scalars
 from tideway.operators.ranking import ROWS_PER_PART, running_total
 from tideway.session import materialise
@@ -153,19 +154,32 @@ def quantiles(
          F.when(large & F.lit(p + margin < 1), F.col("__q")[2 * i + 1]).otherwise(F.col("__max")))
         for i, p in enumerate(ps)
     ]
-    brackets = F.array(*[F.struct(lo.alias("lo"), hi.alias("hi")) for lo, hi in ends])
-    stats = materialise(stats.withColumn("__brackets", brackets).drop("__q", "__min", "__max"), "quantile-brackets")
-    side = stats.select(*[F.col(k).alias(f"__on_{k}") for k in keys], "__n", "__brackets")
+    # Sorted starts, and the furthest end of the brackets up to each: a value is inside one if the furthest end before it is not below.
+    brackets = F.sort_array(F.array(*[F.struct(lo.alias("lo"), hi.alias("hi")) for lo, hi in ends]))
+    stats = stats.withColumn("__brackets", brackets).withColumns({
+        "__lo": F.col("__brackets.lo"),
+        "__hi": F.transform("__brackets", lambda b, i: F.array_max(F.slice("__brackets.hi", 1, i + 1))),
+    })
+    stats = materialise(stats.drop("__q", "__min", "__max", "__brackets"), "quantile-brackets")
+    side = stats.select(*[F.col(k).alias(f"__on_{k}") for k in keys], "__n", "__lo", "__hi")
 
     rows = df.filter(value.isNotNull()).select(*keys, value.alias("__v"))
     if keys:
         rows = rows.join(side, [F.col(k).eqNullSafe(F.col(f"__on_{k}")) for k in keys])
     else:
         rows = rows.withColumns(scalars(side))
-    real = F.exists("__brackets", lambda b: (F.col("__v") >= b["lo"]) & (F.col("__v") <= b["hi"]))
-    above = F.array_min(F.transform(F.filter("__brackets", lambda b: b["lo"] > F.col("__v")), lambda b: b["lo"]))
+    # Starts that are not above the value, by bisection: a lambda over the brackets would be interpreted for every row.
+    rows = rows.withColumn("__at", F.lit(0))
+    step = 1 << (len(ps).bit_length() - 1)
+    while step:
+        rows = computed(rows.withColumnRenamed("__at", "__was"), {"__at": F.when(
+            (F.col("__was") + step <= len(ps)) & (F.get("__lo", F.col("__was") + step - 1) <= F.col("__v")), F.col("__was") + step
+        ).otherwise(F.col("__was"))}).drop("__was")
+        step >>= 1
+    real = (F.col("__at") > 0) & (F.get("__hi", F.col("__at") - 1) >= F.col("__v"))
+    above = F.get("__lo", "__at")
     counts = (
-        rows.withColumns({"__real": real, "__x": F.when(real, F.col("__v")).otherwise(above)})
+        computed(rows, {"__real": real, "__above": above}).withColumns({"__x": F.when(F.col("__real"), F.col("__v")).otherwise(F.col("__above"))})
         .filter("__x is not null")
         .groupBy(*keys, "__n", "__x", "__real").agg(F.count(F.lit(1)).alias("__c"))
     )
@@ -194,7 +208,7 @@ def quantiles(
         name: F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * F.col(f"__f{i}") for i, name in enumerate(probabilities)
     }
     picked = picked.select(*[F.col(k).alias(f"__on_{k}") for k in keys], *[c.alias(n) for n, c in made.items()])
-    kept = stats.drop("__n", "__brackets")
+    kept = stats.drop("__n", "__lo", "__hi")
     if not keys:
         return kept.withColumns(scalars(picked)) if extra else picked
     return kept.join(picked, [F.col(k).eqNullSafe(F.col(f"__on_{k}")) for k in keys], "left").drop(*[f"__on_{k}" for k in keys])
