@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -176,6 +177,31 @@ def test_logit_recovers_weights(spark):
     assert [model.weights["a"], model.weights["b"]] == pytest.approx(true, abs=0.15)
 
 
+def test_contrasts_gather_choices_once(spark):
+    rows = [(i, d, c, None if c == 4 else c in (1, d), float(c * d)) for i in (1, 2, None) for d in (1, 2) for c in (1, 2, 3, 4, 5)]
+    rows += [(3, 7, c, False, 0.0) for c in (1, 2)] + [(1, None, c, c == 1, 0.0) for c in (1, 2)]
+    df = spark.createDataFrame(rows, "_individual int, _decision int, _choice int, _selected boolean, x double").repartition(4)
+    pairs = sampling.contrasts(df, 30, 6, features=["x"], seed=4)
+    assert not re.search(r"_choice#\d+L? ASC", plan_of(pairs))  # no window numbers the choices behind the written rows
+    got = pairs.collect()
+    chosen = {(i, d): [c for i2, d2, c, s, _ in rows if (i2, d2) == (i, d) and s] for i, d, *_ in rows}
+    other = {(i, d): [c for i2, d2, c, s, _ in rows if (i2, d2) == (i, d) and s is False] for i, d, *_ in rows}
+    assert {r._individual for r in got} == {1, 2} and all(r._decision is not None for r in got)
+    for r in got:
+        assert r.other_choice in other[r._individual, r._decision] and r.other_x == r.other_choice * r._decision
+    for i, d in {(r._individual, r._decision) for r in got}:  # every selected choice of a drawn decision
+        assert sorted({r.selected_choice for r in got if (r._individual, r._decision) == (i, d)}) == chosen[i, d]
+
+
+def test_equal_contrasts_are_counted(spark):
+    pairs = spark.createDataFrame([(1.0, 0.0)] * 6 + [(0.0, 1.0)] * 2 + [(2.0, 0.0)], "selected_a double, other_a double")
+    got = sorted(tuple(r) for r in fitting.contrast_differences(pairs, ["a"], "n").collect())
+    assert got == [(-2.0, 1.0, 0.0), (-1.0, 2.0, 1.0), (-1.0, 6.0, 0.0), (1.0, 2.0, 0.0), (1.0, 6.0, 1.0), (2.0, 1.0, 1.0)]
+    w = fitting.fit_contrast_logit(pairs, ["a"]).weights["a"]
+    slope = 6 / (1 + math.exp(w)) - 2 / (1 + math.exp(-w)) + 2 / (1 + math.exp(2 * w))
+    assert slope == pytest.approx(0, abs=1e-5)
+
+
 GAME = [(1, "pizza", False), (1, "sandwich", True), (2, "pizza", True), (3, "pizza", True), (3, "sandwich", False),
         (4, "pizza", True), (4, "sandwich", False), (5, "sandwich", True)]
 

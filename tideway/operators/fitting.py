@@ -13,15 +13,19 @@ from tideway.operators.scoring import LinearModel
 from tideway.session import materialise
 
 
-def contrast_differences(pairs: DataFrame, features: Sequence[str]) -> DataFrame:
+def contrast_differences(pairs: DataFrame, features: Sequence[str], weight: str | None = None) -> DataFrame:
     """Selected minus other features, and the mirror image with the opposite label.
 
     P(selected beats other) = sigmoid(phi_selected - phi_other); the mirror makes it a
-    two-class problem without changing its solution.
+    two-class problem without changing its solution. With ``weight`` equal differences are
+    one row, counted in a column of that name.
     """
-    signs = pairs.withColumn("__s", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
+    rows = pairs.select(*[(F.col(f"selected_{f}") - F.col(f"other_{f}")).alias(f) for f in features])
+    if weight:
+        rows = rows.groupBy(*features).agg(F.count(F.lit(1)).cast("double").alias(weight))
+    signs = rows.withColumn("__s", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
     return signs.select(
-        *[(F.col("__s") * (F.col(f"selected_{f}") - F.col(f"other_{f}"))).alias(f) for f in features],
+        *[(F.col("__s") * F.col(f)).alias(f) for f in features], *([weight] if weight else []),
         (F.col("__s") > 0).cast("double").alias("label"),
     )
 
@@ -29,13 +33,17 @@ def contrast_differences(pairs: DataFrame, features: Sequence[str]) -> DataFrame
 def fit_contrast_logit(
     pairs: DataFrame, features: Sequence[str], max_iter: int = 100, reg: float = 0.0
 ) -> LinearModel:
-    """Weights of phi = w . x by logistic regression without intercept on differences."""
-    rows = materialise(contrast_differences(pairs, features), "contrast-differences")
+    """Weights of phi = w . x by logistic regression without intercept on differences.
+
+    Equal differences are counted and enter once: features of few values leave few rows to iterate over, others all.
+    """
+    rows = materialise(contrast_differences(pairs, features, "__weight"), "contrast-differences")
     vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
     trainer = LogisticRegression(
-        fitIntercept=False, standardization=False, maxIter=max_iter, regParam=reg, tol=1e-9
+        fitIntercept=False, standardization=False, maxIter=max_iter, regParam=reg, tol=1e-9,
+        weightCol="__weight",
     )
-    fitted = trainer.fit(vectors.select("features", "label"))
+    fitted = trainer.fit(vectors.select("features", "label", "__weight"))
     return LinearModel(dict(zip(features, [float(w) for w in fitted.coefficients])))
 
 

@@ -179,7 +179,11 @@ def contrasts(
     Every individual gives the same number of decision draws and every draw the same number
     of alternatives, so long histories and wide decisions carry no extra weight. A draw is an
     index into ranks: decisions are ranked per individual by a number (an individual may hold
-    any share of the data), alternatives per decision in a plain window.
+    any share of the data), alternatives per decision by their choice.
+
+    Choices are gathered once into a row per decision, which holds as many as its class list or
+    its cells in reach, whatever the table holds. Draws meet these rows, and become pairs only
+    then, so an exchange moves a row per draw and none per pair.
 
     ``pick(tag, *cols)`` gives a non-negative long that is reduced modulo the group size;
     ``order`` is the number that ranks the decisions. Both default to seeded hashes.
@@ -188,20 +192,22 @@ def contrasts(
     if order is None:
         order = keyed_hash(seed, individual, decision)
     chosen = F.col(selected)
-    usable = (
+    one = F.struct(F.col(choice).alias("c"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(features)])
+    offered = (
         df.filter(chosen.isNotNull())
         .groupBy(individual, decision)
         .agg(
-            F.sum(chosen.cast("int")).alias("__sel"), F.sum((~chosen).cast("int")).alias("__alt")
+            F.collect_list(F.when(chosen, one)).alias("__sel"),
+            F.sort_array(F.collect_list(F.when(~chosen, one))).alias("__alt"),
         )
-        .filter((F.col("__sel") > 0) & (F.col("__alt") > 0))
-        .select(individual, decision, F.col("__alt").cast("long").alias("__alt"))
+        .filter((F.size("__sel") > 0) & (F.size("__alt") > 0))
     )
-    # One narrow row per decision, written once: ranks and sizes never read the choices again.
-    usable = materialise(usable, "usable")
+    # One row per decision, written once: ranks, sizes and pairs never read the choices again.
+    offered = materialise(offered, "offered")
+    usable = offered.select(individual, decision)
     ranked = rank_within(
         usable.withColumn("__order", order), [individual], ["__order", decision], "__r", parts
-    ).select(individual, decision, "__alt", F.col("__r").cast("long").alias("__r"))
+    ).select(individual, decision, F.col("__r").cast("long").alias("__r"))
     sizes = usable.groupBy(individual).agg(F.count(F.lit(1)).alias("__size"))
     draws = sizes.withColumn(
         "_draw", F.explode(F.sequence(F.lit(0), F.lit(decisions_per_individual - 1)))
@@ -209,30 +215,17 @@ def contrasts(
     draws = draws.withColumn(
         "__r", F.pmod(pick("decision", F.col(individual), F.col("_draw")), F.col("__size")) + 1
     ).drop("__size")
-    drawn = draws.join(ranked, [individual, "__r"]).drop("__r")
+    drawn = draws.join(ranked, [individual, "__r"]).drop("__r").join(offered, [individual, decision])
     pairs = drawn.withColumn(
         "_pair", F.explode(F.sequence(F.lit(0), F.lit(alternatives_per_decision - 1)))
     )
-    pairs = pairs.withColumn(
-        "__a",
-        F.pmod(pick("choice", F.col(individual), F.col("_draw"), F.col("_pair")), F.col("__alt")) + 1,
-    ).drop("__alt")
-
-    others = df.filter(~chosen)
-    others = others.withColumn(
-        "__a", F.row_number().over(Window.partitionBy(individual, decision).orderBy(choice)).cast("long")
-    )
-    left = df.filter(chosen).select(
-        individual, decision, F.col(choice).alias("selected_choice"),
-        *[F.col(f).alias(f"selected_{f}") for f in features],
-    )
-    right = others.select(
-        individual, decision, "__a", F.col(choice).alias("other_choice"),
-        *[F.col(f).alias(f"other_{f}") for f in features],
-    )
-    return (
-        pairs.join(right, [individual, decision, "__a"]).drop("__a").join(left, [individual, decision])
-    )
+    at = F.pmod(pick("choice", F.col(individual), F.col("_draw"), F.col("_pair")), F.size("__alt").cast("long"))
+    pairs = pairs.withColumn("__o", F.get("__alt", at.cast("int"))).withColumn("__s", F.explode("__sel"))
+
+    def side(tag: str, row: str) -> list[Column]:
+        return [F.col(f"{row}.c").alias(f"{tag}_choice"), *[F.col(f"{row}.f{i}").alias(f"{tag}_{f}") for i, f in enumerate(features)]]
+
+    return pairs.select(individual, decision, "_draw", "_pair", *side("other", "__o"), *side("selected", "__s"))
 
 
 def contrast_decisions(
