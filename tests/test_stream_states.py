@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +82,40 @@ def test_gaps_end_tracks(spark, tmp_path):
     assert final_states([], 9, 5) == ([], [], None)
 
 
+def test_many_tracks_share_calls(spark, tmp_path):
+    """State is held by bucket: a trigger calls Python as often for five thousand tracks as for a few hundred."""
+    n = 5000
+    spark.range(n).selectExpr(
+        "cast(null as string) as a", "if(id % 7 = 0, null, cast(id as double) - 5 + 9007199254740992) as b", "id % 3 = 0 as c", "id as n",
+        "explode(array(0, 60, 7200)) as more",
+    ).selectExpr("a", "b", "c", "n", f"timestamp'{START}' + make_interval(0, 0, 0, 0, 0, 0, more + n % 50) as at", "cast(n + more as int) as cell").coalesce(1).write.parquet(str(tmp_path / "in"))
+    schema = "a string, b double, c boolean, n long, at timestamp, cell int"
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    found = stream_next_state(stream, ["a", "b", "c", "n"], "at", "cell", "after", 300, "1 minute")
+    query = found.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"), "parquet", "append")
+    assert query.awaitTermination(240)
+    calls = [p.stateOperators[0].numRowsUpdated for p in query.recentProgress]
+    assert 0 < max(calls) <= 2048
+    got = spark.read.schema(found.schema).parquet(str(tmp_path / "out"))
+    stored = spark.read.schema(schema).parquet(str(tmp_path / "in"))
+    # The watermark ends a minute before the last rows: the last row of each track is open.
+    want = stored.filter(F.col("at") < START + dt.timedelta(hours=1)).withColumn("after", F.expr("if(cell = n, cell + 60, null)"))
+    assert rows_of(got) == rows_of(want.select("a", "b", "c", "n", "at", "cell", "after"))
+
+
+def test_keys_of_any_type(spark, tmp_path):
+    moment = dt.datetime(2024, 10, 27, 0, 30, 0, 123456)
+    schema = "d date, w timestamp, x binary, y decimal(20,3), z struct<p:long,q:timestamp>, f float, at timestamp, cell string"
+    rows = [(moment.date(), moment, b"\xff\x00", Decimal("1.250"), (None, moment), f, START + dt.timedelta(minutes=m), "s") for m, f in ((0, 0.0), (1, -0.0), (2, 0.1))]
+    rows += [(None, None, None, None, None, None, START, None)]
+    end = [(None, None, None, None, None, 9.0, START + dt.timedelta(days=d), None) for d in (5, 6)]
+    got = drain(stream_next_state(feed(spark, str(tmp_path / "in"), [rows, end[:1], end[1:]], schema), list("dwxyzf"), "at", "cell", "after", 900), str(tmp_path))
+    kept = spark.createDataFrame(rows, schema).withColumn("f", F.expr("f + 0.0f"))
+    want = kept.withColumn("after", F.expr(f"if(f = 0 and at = timestamp'{START}', 's', null)"))
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert rows_of(got.filter("f is null or f <> 9").withColumn("x", F.hex("x"))) == rows_of(want.withColumn("x", F.hex("x")))
+
+
 @pytest.mark.parametrize("how", ["inner", "left_outer"])
 def test_join_by_day(spark, tmp_path, how):
     def row(track, hour, n):
