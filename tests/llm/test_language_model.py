@@ -92,6 +92,15 @@ def test_ids_are_those_of_the_words():
         assert subword_ids(text, vocabulary, 7).tolist() == [*fast_encoder(vocabulary).encode_ordinary(joined), 7]
 
 
+def test_only_scored_positions_go_to_the_classes(monkeypatch):
+    model, docs = small_model()
+    inp, out, scored, _ = lm.windows(docs, 39, SMALL)
+    met, classes = [], lm.classes
+    monkeypatch.setattr(lm, "classes", lambda w, h: met.append(h.size // h.shape[-1]) or classes(w, h))
+    lm.gradients(model.weights, model.symbol[inp], model.cls[out], scored)
+    assert sum(met) == scored.sum() < scored.size
+
+
 def words_of(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return [*re.findall("[^\x20\x09-\x0d]+", low), None]

@@ -121,26 +121,36 @@ def start_model(follow: np.ndarray, shape: Shape, seed: int = 5) -> Model:
     return Model(shape, symbol.astype(np.int32), cls.astype(np.int32), seen, weights)
 
 
-def _mask(t: int) -> np.ndarray:
-    return np.where(np.tri(t, dtype=bool), 0.0, -1e9).astype(np.float32)
+def _sums(y: np.ndarray) -> np.ndarray:
+    """Sums over the last axis."""
+    return y @ np.ones(y.shape[-1], y.dtype)
 
 
 def attend(w: dict[str, np.ndarray], symbols: np.ndarray):
     """State after each symbol (window, position, width), and what the gradient needs."""
-    x = w["emb"][symbols] + w["pos"][: symbols.shape[1]]
-    q, k, v = x @ (w["q"] * np.float32(x.shape[2] ** -0.5)), x @ w["k"], x @ w["v"]
+    b, t = symbols.shape
+    x = w["emb"][symbols]
+    x += w["pos"][:t]
+    d = x.shape[2]
+    flat = x.reshape(b * t, d)
+    # One product for all three; the parts are views.
+    qkv = flat @ np.concatenate((w["q"] * x.dtype.type(d**-0.5), w["k"], w["v"]), axis=1)
+    q, k, v = (qkv[:, i * d : i * d + d].reshape(b, t, d) for i in range(3))
     a = q @ k.transpose(0, 2, 1)
-    a += _mask(symbols.shape[1])
     np.exp(np.minimum(a, 30.0, out=a), out=a)  # bounded, so no maximum has to be taken out
-    total = a.sum(axis=2, keepdims=True)
+    a *= np.tri(t, dtype=a.dtype)
+    total = _sums(a)[..., None]
     z = a @ v
     z /= total
-    return x + z @ w["o"], (x, q, k, v, a, total, z)
+    h = z.reshape(b * t, d) @ w["o"]
+    h += flat
+    return h.reshape(b, t, d), (x, q, k, v, a, total, z)
 
 
 def classes(w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
     """Logits of the class of the next id, bounded above."""
-    logits = h @ w["out"] + w["bias"]
+    logits = h @ w["out"]
+    logits += w["bias"]
     return np.minimum(logits, 60, out=logits)
 
 
@@ -151,36 +161,45 @@ def forward(w: dict[str, np.ndarray], symbols: np.ndarray):
 
 
 def log_classes(logits: np.ndarray) -> np.ndarray:
-    """log of the sum of exponentials over classes; ``forward`` bounds logits, so no maximum has to be taken out."""
-    return np.log(np.exp(logits).sum(axis=-1) + 1e-30)
+    """log of the sum of exponentials over classes; ``classes`` bounds logits, so no maximum has to be taken out."""
+    return np.log(_sums(np.exp(logits)) + 1e-30)
 
 
 def gradients(w: dict[str, np.ndarray], symbols: np.ndarray, target: np.ndarray, scored: np.ndarray):
-    """(mean loss, gradients) of class chances over the scored positions."""
-    logits, (x, q, k, v, a, z, h) = forward(w, symbols)
+    """(mean loss, gradients) of class chances over the scored positions; only these go on to the classes."""
+    h, (x, q, k, v, a, total, z) = attend(w, symbols)
     b, t, d = x.shape
-    p = np.exp(logits - log_classes(logits)[..., None])
-    n = max(1, int(scored.sum()))
-    rows = np.arange(b * t)
-    chosen = p.reshape(b * t, -1)[rows, target.ravel()]
-    loss = -np.log(np.maximum(chosen, 1e-30))[scored.ravel()].sum() / n
-    p.reshape(b * t, -1)[rows, target.ravel()] -= 1
-    p *= scored[..., None] / np.float32(n)
-    flat = lambda y: y.reshape(b * t, -1)
-    g = {"out": flat(h).T @ flat(p), "bias": flat(p).sum(axis=0)}
-    dh = p @ w["out"].T
-    g["o"] = flat(z).T @ flat(dh)
-    dz = dh @ w["o"].T
-    da = dz @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dz
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    dq, dk = ds @ k * np.float32(d**-0.5), ds.transpose(0, 2, 1) @ q  # q holds the scale already
-    g["q"], g["k"], g["v"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
+    flat = lambda y: y.reshape(b * t, d)
+    at = np.flatnonzero(scored)
+    h, chosen = flat(h)[at], (np.arange(len(at)), target.ravel()[at])
+    p = classes(w, h)
+    np.exp(p, out=p)
+    p /= (_sums(p) + 1e-30)[:, None]
+    n = max(1, len(at))
+    loss = -np.log(np.maximum(p[chosen], 1e-30)).sum() / n
+    p[chosen] -= 1
+    p *= p.dtype.type(1 / n)
+    g = {"out": h.T @ p, "bias": np.ones(len(p), p.dtype) @ p}
+    dh = np.zeros((b * t, d), p.dtype)
+    dh[at] = p @ w["out"].T
+    g["o"] = flat(z).T @ dh
+    dz = (dh @ w["o"].T).reshape(b, t, d)
+    a /= total
+    dqkv = np.empty((b * t, 3 * d), p.dtype)
+    dq, dk, dv = (dqkv[:, i * d : i * d + d].reshape(b, t, d) for i in range(3))
+    dv[...] = a.transpose(0, 2, 1) @ dz
+    ds = dz @ v.transpose(0, 2, 1)
+    ds -= _sums(dz * z)[..., None]  # the mean of ds under a, as z is that of v
+    ds *= a
+    np.multiply(ds @ k, p.dtype.type(d**-0.5), out=dq)
+    dk[...] = ds.transpose(0, 2, 1) @ q  # q holds the scale already
+    g["q"], g["k"], g["v"] = np.split(flat(x).T @ dqkv, 3, axis=1)
+    dx = dqkv @ np.concatenate((w["q"], w["k"], w["v"]), axis=1).T
+    dx += dh
     g["pos"] = np.zeros_like(w["pos"])
-    g["pos"][:t] = dx.sum(axis=0)
-    g["emb"] = np.zeros_like(w["emb"])
-    np.add.at(g["emb"], symbols.ravel(), flat(dx))
+    g["pos"][:t] = dx.reshape(b, t * d).sum(axis=0).reshape(t, d)
+    cell = symbols.reshape(-1, 1).astype(np.int64) * d + np.arange(d)
+    g["emb"] = np.bincount(cell.ravel(), dx.ravel(), w["emb"].size).astype(p.dtype).reshape(w["emb"].shape)
     return loss, g
 
 
@@ -196,9 +215,18 @@ class Adam:
         self.step += 1
         scale = self.rate * (1 - 0.999**self.step) ** 0.5 / (1 - 0.9**self.step)
         for k, x in g.items():
-            self.m[k] += np.float32(0.1) * (x - self.m[k])
-            self.v[k] += np.float32(0.001) * (x * x - self.v[k])
-            self.w[k] -= np.float32(scale) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
+            m, v = self.m[k], self.v[k]
+            some = x - m
+            some *= np.float32(0.1)
+            m += some
+            np.multiply(x, x, out=some)
+            some -= v
+            some *= np.float32(0.001)
+            v += some
+            np.sqrt(v, out=some)
+            some += np.float32(1e-8)
+            np.divide(m * np.float32(scale), some, out=some)
+            self.w[k] -= some
 
 
 def windows(docs: list[np.ndarray], start_id: int, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -234,7 +262,7 @@ def train(model: Model, docs: list[np.ndarray], start_id: int, opt: Adam, batch:
     return total / max(1, steps)
 
 
-def score(model: Model, docs: list[np.ndarray], start_id: int, batch: int = 256) -> np.ndarray:
+def score(model: Model, docs: list[np.ndarray], start_id: int, batch: int = 128) -> np.ndarray:
     """log10 probability of each document."""
     inp, out, scored, doc = windows(docs, start_id, model.shape)
     total = np.zeros(len(docs))
