@@ -138,3 +138,26 @@ def test_a_loose_group_is_verified_by_few_pairs(spark, monkeypatch):
     out = jaccard_components(spark.createDataFrame(rows, DOCS), bits=14)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=str) == slow_components(rows, 4, 85)
     assert max(counts) <= 2 * len(rows)
+
+
+def test_rounds_end_when_few_pairs_are_left(spark, monkeypatch):
+    """A small loose group among many texts takes one round, and classes are not put together again without a link."""
+    from tideway.llm import jaccard_join
+
+    rounds, near, joined = [], jaccard_join.nearest, jaccard_join.joined_classes
+
+    def met(classes, links):
+        assert not links.isEmpty()
+        return joined(classes, links)
+
+    monkeypatch.setattr(jaccard_join, "nearest", lambda *a: rounds.append(1) or near(*a))
+    monkeypatch.setattr(jaccard_join, "joined_classes", met)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(160)]
+    rows = [(i, " ".join(varied(rng, base, rng.choice((0.015, 0.02, 0.025)), 10**6)), 0, "") for i in range(30)]
+    rows += [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(6)), 0, "") for i in range(30, 1830)]
+    out = jaccard_components(spark.createDataFrame(rows, DOCS), bits=14)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=str) == slow_components(rows, 4, 85)
+    assert len(rounds) == 1
+    apart = [(1, "a b c d e f", 0, ""), (2, "g h i j k l", 0, "")]
+    assert [r.component_id for r in jaccard_components(spark.createDataFrame(apart, DOCS), bits=14).orderBy("doc_id").collect()] == [1, 2]

@@ -37,6 +37,8 @@ SKETCH, BLOCK, BITS = 20, 1024, (128, 4096)
 #: Most rounds that grow classes (a loose group halves its classes in each), and rows of a token that take part: the pairs of
 #: tokens with no more rows are bounded by their rows.
 ROUNDS, FEW = 12, 16
+#: Pairs that are left may be this part of all sets when the rounds end: the sets they move are at most half of all.
+LEFT = 4
 #: Counters of a sketch that travel in one row.
 _ROW = 4096
 #: Bits a key of the filter that spares sets without a candidate a shuffle, and its largest size in bits (64 MB).
@@ -453,14 +455,15 @@ def grown_classes(hits: DataFrame, classes: DataFrame, marks: DataFrame, stored:
 
     Every text proposes its nearest text of another class, so a loose group of n texts costs n pairs a round and its classes fall to
     half or less. Only crowded tokens take part. The rounds end when few of the proposed pairs are links or when the pairs that are
-    left are no more than the texts that have one; what is left then is for ``tile_pairs``.
+    left are no more than the texts that have one, or than a share of all sets; what is left then is for ``tile_pairs``, which
+    costs less than another round.
     """
-    crowded = hits
+    crowded, enough = hits, marks.count() // LEFT
     for _ in range(rounds):
         crowded = mixed_hits(crowded.drop("root"), classes, FEW)
         told = nearest(tiles(crowded, marks, block), least)
         texts, left = told.agg(F.count("*"), F.coalesce(F.sum("pairs"), F.lit(0))).first()
-        if left <= texts:
+        if left <= max(texts, enough):
             break
         links = verified(told.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct(), stored, least)
         made = links.count()
@@ -492,7 +495,7 @@ def similar_sets(
     more = verified(tile_pairs(tiles(mixed, marks, block), least), stored, least)
     release(stored, path)
     # Links between classes, and the classes themselves, connect the same keys as all links.
-    return joined_classes(classes, more), narrow
+    return classes if more.isEmpty() else joined_classes(classes, more), narrow
 
 
 def jaccard_components(
