@@ -161,3 +161,41 @@ def test_rounds_end_when_few_pairs_are_left(spark, monkeypatch):
     assert len(rounds) == 1
     apart = [(1, "a b c d e f", 0, ""), (2, "g h i j k l", 0, "")]
     assert [r.component_id for r in jaccard_components(spark.createDataFrame(apart, DOCS), bits=14).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_short_tables_go_by_narrow_pairs_and_few_tasks(spark, monkeypatch):
+    """Shingles that few texts share move no signatures through tiles; tables are not written by a task a partition."""
+    from tideway.llm import components, jaccard_join
+
+    met, tasks, tiles = [], [], jaccard_join.tiles
+
+    def seen(rows, *more):
+        met.append(rows.count())
+        return tiles(rows, *more)
+
+    def counted(df, label, **options):
+        out = write(df, label, **options)
+        tasks.append((label, len(out.inputFiles())))
+        return out
+
+    write = jaccard_join.materialise
+    monkeypatch.setattr(jaccard_join, "tiles", seen)
+    for module in (jaccard_join, components):
+        monkeypatch.setattr(module, "materialise", counted)
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for n in range(40):  # three texts share a third of their words and no link, a fourth is near the first
+        head, tail = fresh(30), fresh(60)
+        rows += [(4 * n + k, " ".join(head + (tail if k in (0, 3) else fresh(60)) + fresh(k)), 0, "") for k in range(4)]
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, DOCS), bits=14).collect()), key=str)
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == slow_components(rows, 4, 85) and len({r[2] for r in got}) < len(rows)
+    assert sum(met) == 0
+    assert max(n for label, n in tasks if label not in ("narrow", "linked")) <= 16

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tideway.session import materialise
 
+#: Labels are written by so many tasks at most, and one more for so many edges: short tables would else be a file a partition.
+LEAST_TASKS, EDGES_A_TASK = 16, 1 << 17
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node reachable.
@@ -16,15 +19,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Loops, repeated edges and both directions are allowed; an empty table gives an empty result.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialise(both.filter("a is not null and b is not null").distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
+    both = both.filter("a is not null and b is not null")
+    tasks = LEAST_TASKS + both.count() // EDGES_A_TASK
+    both = materialise(both.distinct().coalesce(tasks), "edges")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root"))
+    labels = materialise(labels.coalesce(tasks), "labels")
     while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         closer = labels.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        closer = materialise(closer, "labels")
+        closer = materialise(closer.coalesce(tasks), "labels")
         roots = closer.select(F.col("node").alias("root"), F.col("root").alias("jump"))
         jumped = closer.join(roots, "root").select("node", F.col("jump").alias("root"), (F.col("jump") < F.col("old")).alias("moved"))
-        jumped = materialise(jumped, "labels")
+        jumped = materialise(jumped.coalesce(tasks), "labels")
         labels = jumped.select("node", "root")
         if jumped.filter("moved").isEmpty():
             return labels

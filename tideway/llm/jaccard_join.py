@@ -6,7 +6,8 @@ share such a shingle only those of near sizes meet: bands are as wide as the sim
 one above it. Bitmaps hold each set's parity a bit; differing bits bound the overlap from above, and what is left is decided
 on the whole sorted arrays.
 
-Dense groups would meet in all pairs, so there are three steps. First every text is compared with one text of its tiles, and
+Most shared shingles are in a few texts, whose pairs are written out: no more than some a row, and narrow. Only crowded shingles
+go through tiles. Dense groups would meet in all pairs, so there are three steps. First every text is compared with one text, and
 what is alike becomes a class. Then, in rounds, every text is compared with the one text of another class that its tiles hold
 nearest by signature, and classes that have a link become one: a round has at most one pair a text, however loose the group. Last,
 all pairs that are left between different classes are compared. Joins are sort-merge joins at every size, so the plan that is
@@ -34,11 +35,15 @@ from tideway.session import materialise, materialise_at, release
 
 #: Bits of the sketch that orders shingles; rows of a block of a tile; least and most bits of a signature.
 SKETCH, BLOCK, BITS = 20, 1024, (128, 4096)
-#: Most rounds that grow classes (a loose group halves its classes in each), and rows of a token that take part: the pairs of
-#: tokens with no more rows are bounded by their rows.
+#: Most rounds that grow classes (a loose group halves its classes in each), and rows of a token whose pairs are written out: they
+#: are bounded by its rows. Tokens with more are crowded and go through tiles.
 ROUNDS, FEW = 12, 16
+#: How often a pair counts as met that was proposed from outside.
+PROPOSED = 1 << 20
 #: Pairs that are left may be this part of all sets when the rounds end: the sets they move are at most half of all.
 LEFT = 4
+#: Tables that are no longer than some rows a set are written by so many tasks at most, and one more for so many sets.
+LEAST_TASKS, SETS_A_TASK = 16, 1 << 13
 #: Counters of a sketch that travel in one row.
 _ROW = 4096
 #: Bits a key of the filter that spares sets without a candidate a shuffle, and its largest size in bits (64 MB).
@@ -125,6 +130,11 @@ def band(n, least: int):
     return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / least)) + F.lit(1e-9)).cast("int")
 
 
+def written(df: DataFrame, label: str, sets: int, **options: str) -> DataFrame:
+    """``df`` written by tasks that grow in number with ``sets``: a short table is not a file a partition of the exchange before it."""
+    return materialise(df.coalesce(LEAST_TASKS + sets // SETS_A_TASK), label, **options)
+
+
 def with_sets(df: DataFrame, width: int, prints: bool = False) -> tuple[DataFrame, str]:
     """The columns before the last, the text, and the set's size, digest (null for none), signature and hashes; written, with path.
 
@@ -207,7 +217,9 @@ def prefixes(stored: DataFrame, least: int, bits: int = SKETCH) -> tuple[DataFra
                     names=["token", "key", "n", "pos"],
                 )
 
-    some = stored.filter("n > 0").select("key", "hashes")
+    # Copies seldom pass; those that do meet in the same pairs once more.
+    first = written(stored.filter("n > 0").groupBy("key").agg(F.min("row").alias("row")).select("row"), "first-rows", stored.count())
+    some = stored.filter("n > 0").filter(filter_of(first, "row")(F.col("row"))).select("key", "hashes")
     return materialise_at(some.mapInArrow(run, "token long, key binary, n long, pos long"), "prefixes", compression="zstd")
 
 
@@ -236,35 +248,33 @@ def filter_of(df: DataFrame, column: str):
     return lambda value: may(place(value))
 
 
-def meetings(index: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b) that are all of a token, rows of the tokens that more than two sets share, with their band); written.
+def meetings(index: DataFrame, least: int, sets: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b, times) of the tokens that few sets share, rows of the crowded tokens with their band); written.
 
-    Rows are put together by token and set first, so copies of a text count once and no token's rows are in one task.
+    Pairs are those that sizes and places allow. A group of rows that comes together is one of few; no crowded token is in one task.
     """
-    shared = materialise(index.groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1").select("token"), "shared")
-    rows = index.filter(filter_of(shared, "token")(F.col("token"))).groupBy("token", "key").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    rows = materialise(rows, "met", compression="zstd")
-    one = F.struct("key", "n", "pos")
-    tokens = rows.groupBy("token").agg(F.count("*").alias("rows"), F.min(one).alias("x"), F.max(one).alias("y")).filter("rows > 1")
-    few = F.col("rows") == 2
-    tokens = materialise(tokens.select("token", "rows", F.when(few, F.col("x")).alias("x"), F.when(few, F.col("y")).alias("y")), "tokens", compression="zstd")
-    alone = tokens.filter(few).select(*[F.col(f"{side}.{c}").alias(c + end) for side, end in (("x", "_c"), ("y", "")) for c in ("key", "n", "pos")])
-    pairs = alone.filter(_close(least)).select(F.col("key_c").alias("a"), F.col("key").alias("b"))
-    many = materialise(tokens.filter(~few).select("token"), "crowded")
-    hits = rows.filter(filter_of(many, "token")(F.col("token"))).join(many.hint("merge"), "token")
-    return materialise(pairs.distinct(), "lone-pairs"), materialise(hits.withColumn("band", band(F.col("n"), least)), "meetings", compression="zstd")
+    shared = written(index.groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1"), "shared", sets)
+    few, many = shared.filter(F.col("rows") <= FEW).select("token"), shared.filter(F.col("rows") > FEW).select("token")
+    rows = index.filter(filter_of(few, "token")(F.col("token"))).join(few.hint("merge"), "token")
+    met = rows.groupBy("token").agg(F.collect_list(F.struct("key", "n", "pos")).alias("met"))
+    met = met.select("met", F.explode("met").alias("x")).select("x", F.explode("met").alias("y")).filter("x.key < y.key")
+    met = met.select(*[F.col(f"{side}.{c}").alias(c + end) for side, end in (("x", "_c"), ("y", "")) for c in ("key", "n", "pos")])
+    pairs = met.filter(_close(least)).groupBy(F.col("key_c").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("times"))
+    hits = index.filter(filter_of(many, "token")(F.col("token"))).join(many.hint("merge"), "token").withColumn("band", band(F.col("n"), least))
+    return written(pairs, "few-pairs", sets), written(hits, "meetings", sets, compression="zstd")
 
 
 def some_sets(stored: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, hashes), once a key, of the sets in ``keys``; written."""
     first = stored.filter("n > 0").select("key", "row").join(keys, "key").groupBy("key").agg(F.min("row").alias("row"))
-    first = materialise(first, "set-rows")
+    many = keys.count()
+    first = written(first, "set-rows", many)
     rows = stored.select("row", "hashes").filter(filter_of(first, "row")(F.col("row")))
-    return materialise(rows.join(first.hint("merge"), "row").select("key", "hashes"), "some-sets", compression="zstd")
+    return written(rows.join(first.hint("merge"), "row").select("key", "hashes"), "some-sets", many, compression="zstd")
 
 
 def bounded(pairs: DataFrame, bits: DataFrame, least: int) -> DataFrame:
-    """The ``pairs`` (a, b) of keys whose signatures (key, n, bits) leave enough overlap possible; written."""
+    """The ``pairs`` (a, b, times) of keys whose signatures (key, n, bits) leave enough overlap possible; written."""
     both = pairs.join(bits.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")).hint("merge"), "a")
     both = both.join(bits.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")).hint("merge"), "b")
 
@@ -275,14 +285,16 @@ def bounded(pairs: DataFrame, bits: DataFrame, least: int) -> DataFrame:
             for i, (x, y) in enumerate(zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())):
                 size = min(len(x), len(y))
                 differ[i] = np.bitwise_count(fold(np.frombuffer(x, np.uint8), size) ^ fold(np.frombuffer(y, np.uint8), size)).sum()
-            yield batch.select(["a", "b"]).filter(pa.array((n + m - differ) // 2 >= needed(n, m, least)))
+            yield batch.select(["a", "b", "times"]).filter(pa.array((n + m - differ) // 2 >= needed(n, m, least)))
 
-    return materialise(both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a binary, b binary"), "bounded")
+    some = both.select("a", "b", "times", "n_a", "n_b", "bits_a", "bits_b")
+    return written(some.mapInArrow(run, "a binary, b binary, times long"), "bounded", bits.count())
 
 
 def verified(pairs: DataFrame, stored: DataFrame, least: int) -> DataFrame:
     """The ``pairs`` (a, b) of keys that are similar enough, by their sorted arrays; written."""
     sets = some_sets(stored, pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    many = sets.count() + pairs.count()
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("one")).hint("merge"), "a")
     both = both.join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("two")).hint("merge"), "b").select("a", "b", "one", "two")
 
@@ -295,7 +307,7 @@ def verified(pairs: DataFrame, stored: DataFrame, least: int) -> DataFrame:
                 alike.append(100 * common >= least * (len(one) + len(two) - common))
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    return materialise(both.mapInArrow(run, "a binary, b binary"), "links")
+    return written(both.mapInArrow(run, "a binary, b binary"), "links", many)
 
 
 def _close(least: int):
@@ -304,25 +316,39 @@ def _close(least: int):
     return F.least(n - i, m - j) >= F.ceil(F.lit(least) * (n + m) / F.lit(100 + least))
 
 
-def first_pairs(hits: DataFrame, least: int) -> DataFrame:
-    """Each set with one other: of the smallest digests of its tokens and bands, the one it meets most often."""
+def first_pairs(hits: DataFrame, least: int, sets: int) -> DataFrame:
+    """(a, b, times): each set with one other: of the smallest digests of its tokens and bands, the one it meets most often."""
     least_of = F.min(F.struct("key", "n", "pos"))
     centres = hits.groupBy("token", "band").agg(least_of.alias("c"), F.count("*").alias("rows")).filter("rows > 1")
-    centres = materialise(centres.select("token", "band", F.col("c.key").alias("a"), F.col("c.n").alias("n_c"), F.col("c.pos").alias("pos_c")), "centres")
+    centres = centres.select("token", "band", F.col("c.key").alias("a"), F.col("c.n").alias("n_c"), F.col("c.pos").alias("pos_c"))
+    centres = written(centres, "centres", sets)
     pairs = hits.join(centres.hint("merge"), ["token", "band"]).filter(F.col("key") > F.col("a")).filter(_close(least))
     met = pairs.groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("times"))
-    return materialise(met.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"), "first-pairs")
+    return most_met(met)
+
+
+def most_met(pairs: DataFrame) -> DataFrame:
+    """Of the ``pairs`` (a, b, times) one for every b, the one that is met most often."""
+    return pairs.groupBy("b").agg(F.max(F.struct("times", "a")).alias("one")).select("one.a", "b", "one.times")
 
 
-def mixed_hits(hits: DataFrame, classes: DataFrame, few: int = 0) -> DataFrame:
-    """Rows of the tokens with more than ``few`` rows that sets of more than one class share, with their class as ``root``; written."""
+def apart(pairs: DataFrame, classes: DataFrame, sets: int) -> DataFrame:
+    """The ``pairs`` (a, b, times) of different classes; written."""
+    of = lambda c: classes.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")).hint("merge")
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return written(both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "times"), "apart", sets)
+
+
+def mixed_hits(hits: DataFrame, classes: DataFrame, sets: int) -> DataFrame:
+    """Rows of the tokens that sets of more than one class share, with their class as ``root``; written."""
     rows = hits.join(classes.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"))
-    mixed = materialise(mixed.filter((F.col("low") < F.col("high")) & (F.col("rows") > few)).select("token"), "mixed")
-    return materialise(rows.join(mixed.hint("merge"), "token"), "mixed-hits", compression="zstd")
+    rows = written(rows, "rooted", sets, compression="zstd")
+    mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = written(mixed.filter(F.col("low") < F.col("high")).select("token"), "mixed", sets)
+    return written(rows.join(mixed.hint("merge"), "token"), "mixed-hits", sets, compression="zstd")
 
 
-def tiles(rows: DataFrame, bits: DataFrame, block: int = BLOCK) -> DataFrame:
+def tiles(rows: DataFrame, bits: DataFrame, sets: int, block: int = BLOCK) -> DataFrame:
     """Rows of the tiles that hold more than one class, with class and signature, cut into pairs of blocks.
 
     A tile is a token, a band and the band above. Rows of its largest class need not meet each other, so their blocks meet only
@@ -341,7 +367,7 @@ def tiles(rows: DataFrame, bits: DataFrame, block: int = BLOCK) -> DataFrame:
         F.when(small, 1).otherwise(F.ceil((F.col("rows") - F.col("in_main")) / block)).cast("int").alias("others"),
         F.when(small, 0).otherwise(F.ceil(F.col("in_main") / block)).cast("int").alias("mains"),
     )
-    cut = rows.join(materialise(per, "tiles"), ["token", "tile"])
+    cut = rows.join(written(per, "tiles", sets), ["token", "tile"])
     at_main = (F.col("mains") > 0) & (F.col("root") == F.col("main"))
     spread = F.xxhash64("key")
     place = F.when(at_main, F.col("others") + F.pmod(spread, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(spread, F.greatest("others", F.lit(1)))).cast("int")
@@ -410,7 +436,7 @@ def _per_tile(cut: DataFrame, compare, names: Sequence[str], more: Sequence[tupl
     return dealt.mapInArrow(run, ", ".join([f"{n} binary" for n in names] + [f"{n} {kinds[t]}" for n, t in more]))
 
 
-def tile_pairs(cut: DataFrame, least: int) -> DataFrame:
+def tile_pairs(cut: DataFrame, least: int, sets: int) -> DataFrame:
     """Pairs (a, b) of keys in one tile, of different classes, whose sizes, places and signatures allow a link; written."""
 
     def compare(rows: dict[str, np.ndarray], lo: int, hi: int):
@@ -418,10 +444,10 @@ def tile_pairs(cut: DataFrame, least: int) -> DataFrame:
         return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
 
     pairs = _per_tile(cut, compare, ["one", "two"], [])
-    return materialise(pairs.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct(), "tile-pairs")
+    return written(pairs.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct(), "tile-pairs", sets)
 
 
-def nearest(cut: DataFrame, least: int) -> DataFrame:
+def nearest(cut: DataFrame, least: int, sets: int) -> DataFrame:
     """(one, two, alike, pairs) for every key that meets another class: the key of another class that is nearest by signature, the
     greatest similarity with it, and the number of pairs that ``tile_pairs`` would make of it; written.
     """
@@ -442,7 +468,7 @@ def nearest(cut: DataFrame, least: int) -> DataFrame:
     rows = _per_tile(cut, compare, ["one", "two"], [("alike", pa.float64()), ("pairs", pa.int64())])
     one = F.max_by(F.struct("two", "alike"), F.struct("alike", "two"))
     told = rows.groupBy("one").agg(one.alias("best"), F.sum("pairs").alias("pairs"))
-    return materialise(told.select("one", "best.two", "best.alike", "pairs"), "nearest")
+    return written(told.select("one", "best.two", "best.alike", "pairs"), "nearest", sets)
 
 
 def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -450,28 +476,36 @@ def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
     return connected_components(links.unionByName(classes.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
-def grown_classes(hits: DataFrame, classes: DataFrame, marks: DataFrame, stored: DataFrame, least: int, block: int, rounds: int = ROUNDS):
-    """(classes, rows of the tokens that are still mixed): classes that a link joins are one, round by round.
+def grown_classes(
+    hits: DataFrame, pairs: DataFrame, classes: DataFrame, marks: DataFrame, stored: DataFrame, least: int, block: int, rounds: int = ROUNDS
+) -> tuple[DataFrame, DataFrame]:
+    """(classes, pairs (a, b) that are left between them): classes that a link joins are one, round by round.
 
     Every text proposes its nearest text of another class, so a loose group of n texts costs n pairs a round and its classes fall to
-    half or less. Only crowded tokens take part. The rounds end when few of the proposed pairs are links or when the pairs that are
-    left are no more than the texts that have one, or than a share of all sets; what is left then is for ``tile_pairs``, which
-    costs less than another round.
+    half or less. Rows of crowded tokens propose by ``nearest``, the ``pairs`` (a, b, times) of the others as they are met. The rounds
+    end when few of the proposed pairs are links or when the pairs that are left are no more than the texts that have one, or than a
+    share of all sets; these cost less than another round.
     """
-    crowded, enough = hits, marks.count() // LEFT
-    for _ in range(rounds):
-        crowded = mixed_hits(crowded.drop("root"), classes, FEW)
-        told = nearest(tiles(crowded, marks, block), least)
-        texts, left = told.agg(F.count("*"), F.coalesce(F.sum("pairs"), F.lit(0))).first()
-        if left <= max(texts, enough):
+    sets = marks.count()
+    enough = sets // LEFT
+    for nth in range(rounds + 1):
+        hits, pairs = mixed_hits(hits.drop("root"), classes, sets), apart(pairs, classes, sets)
+        cut = tiles(hits, marks, sets, block)
+        told = nearest(cut, least, sets)
+        asked = told.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).union(most_met(pairs).select("a", "b"))
+        asked = written(asked.distinct(), "asked", sets)
+        left, texts = told.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0], asked.count()
+        if nth == rounds or left + pairs.count() <= max(texts, enough):
             break
-        links = verified(told.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct(), stored, least)
+        links = verified(asked, stored, least)
         made = links.count()
         if made:
             classes = joined_classes(classes, links)
         if 10 * made < texts:
             break
-    return classes, mixed_hits(hits, classes)
+    pairs = pairs.select("a", "b")
+    # Classes that the last round joined make pairs too many here, never too few.
+    return classes, (written(pairs.union(tile_pairs(cut, least, sets)).distinct(), "left", sets) if left else pairs)
 
 
 def similar_sets(
@@ -479,20 +513,22 @@ def similar_sets(
 ) -> tuple[DataFrame, DataFrame]:
     """((node, root) of the keys that links of similarity ``least`` / 100 connect, ``stored`` without sets).
 
-    Keys without links are left out. The large tables at ``path`` and of the first shingles are given back on the way. The pairs
-    (a, b) in ``proposed`` are compared first; those that are links make classes before the tiles meet.
+    Keys without links are left out. The large tables at ``path`` and of the first shingles are given back on the way. Of the pairs
+    (a, b) in ``proposed`` each b has one compared first; those that are links make classes before the tiles meet.
     """
     index, at = prefixes(stored, least, bits)
-    lone, hits = meetings(index, least)
+    sets = stored.count()
+    few, hits = meetings(index, least, sets)
     release(index, at)
     narrow = materialise(stored.drop("hashes", "row"), "narrow")
     marks = narrow.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    marks = materialise(marks, "signatures")
-    pairs = first_pairs(hits, least).union(lone)
-    pairs = pairs if proposed is None else pairs.unionByName(proposed)
-    first = verified(bounded(pairs.distinct(), marks, least), stored, least)
-    classes, mixed = grown_classes(hits, connected_components(first), marks, stored, least, block)
-    more = verified(tile_pairs(tiles(mixed, marks, block), least), stored, least)
+    marks = written(marks, "signatures", sets)
+    pairs = few.unionByName(first_pairs(hits, least, sets))
+    pairs = pairs if proposed is None else pairs.unionByName(proposed.select("a", "b", F.lit(PROPOSED).cast("long").alias("times")))
+    pairs = bounded(pairs.groupBy("a", "b").agg(F.sum("times").alias("times")), marks, least)
+    first = verified(written(most_met(pairs).select("a", "b"), "first-pairs", sets), stored, least)
+    classes, left = grown_classes(hits, pairs, connected_components(first), marks, stored, least, block)
+    more = verified(left, stored, least)
     release(stored, path)
     # Links between classes, and the classes themselves, connect the same keys as all links.
     return classes if more.isEmpty() else joined_classes(classes, more), narrow
