@@ -194,11 +194,17 @@ def crowding(stored: DataFrame, bits: int = SKETCH) -> np.ndarray:
 def prefixes(stored: DataFrame, least: int, bits: int = SKETCH) -> tuple[DataFrame, str]:
     """(token, key, n, pos) of the first shingles of every set, in the order of crowding; written, with path."""
     sent = stored.sparkSession.sparkContext.broadcast(crowding(stored, bits))
+    first = written(stored.filter("n > 0").groupBy("key").agg(F.min("row").alias("row")).select("row"), "first-rows", stored.count())
+    mask, place = bits_of(first, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
+                # Copies seldom pass; those that do meet in the same pairs once more.
                 batch = whole.slice(at, 512)
+                batch = batch.filter(pa.array(among(mask.value, batch.column("place").to_numpy())))
+                if not batch.num_rows:
+                    continue
                 tokens, keys, sizes, places = [], [], [], []
                 for key, raw in zip(batch.column("key").to_pylist(), batch.column("hashes").to_pylist()):
                     found = unpacked(raw)
@@ -217,18 +223,12 @@ def prefixes(stored: DataFrame, least: int, bits: int = SKETCH) -> tuple[DataFra
                     names=["token", "key", "n", "pos"],
                 )
 
-    # Copies seldom pass; those that do meet in the same pairs once more.
-    first = written(stored.filter("n > 0").groupBy("key").agg(F.min("row").alias("row")).select("row"), "first-rows", stored.count())
-    some = stored.filter("n > 0").filter(filter_of(first, "row")(F.col("row"))).select("key", "hashes")
+    some = stored.filter("n > 0").select("key", "hashes", place("row").alias("place"))
     return materialise_at(some.mapInArrow(run, "token long, key binary, n long, pos long"), "prefixes", compression="zstd")
 
 
-def filter_of(df: DataFrame, column: str):
-    """Function of a column that is true wherever its value is among the longs of ``df``, and seldom elsewhere.
-
-    It spares rows that a join would drop the shuffle before it. The bits grow with the values of ``df``, up to a fixed size;
-    beyond that more rows pass and the join after it drops them.
-    """
+def bits_of(df: DataFrame, column: str):
+    """(broadcast bits, function of a column that gives its place in them) of the longs of ``df``; the bits grow with them, up to a size."""
     bits = min(_MOST, max(1 << 16, 1 << math.ceil(math.log2(1 + _PER_KEY * df.count()))))
 
     def place(value):
@@ -238,12 +238,25 @@ def filter_of(df: DataFrame, column: str):
     at = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most _MOST / 64 numbers
     mask = np.zeros(bits // 64, np.int64)
     mask[at.column("word").to_numpy()] = at.column("bits").to_numpy()
-    sent = df.sparkSession.sparkContext.broadcast(mask)
+    return df.sparkSession.sparkContext.broadcast(mask), place
+
+
+def among(mask: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Whether the bits are set."""
+    return (mask[where >> 6] >> (where & 63)) & 1 == 1
+
+
+def filter_of(df: DataFrame, column: str):
+    """Function of a column that is true wherever its value is among the longs of ``df``, and seldom elsewhere.
+
+    It spares rows that a join would drop the shuffle before it. The bits grow with the values of ``df``, up to a fixed size;
+    beyond that more rows pass and the join after it drops them.
+    """
+    sent, place = bits_of(df, column)
 
     @F.pandas_udf("boolean")
     def may(where: pd.Series) -> pd.Series:
-        where = where.to_numpy()
-        return pd.Series((sent.value[where >> 6] >> (where & 63)) & 1 == 1)
+        return pd.Series(among(sent.value, where.to_numpy()))
 
     return lambda value: may(place(value))
 
